@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ["trips"]
+AREAS = ["trips", "timeline", "shopping"]
 
 
 def load_all() -> None:
