@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ["trips", "timeline", "shopping"]
+AREAS = ["trips", "timeline", "shopping", "changes", "quality", "exports", "replies", "expressions"]
 
 
 def load_all() -> None:

@@ -197,11 +197,11 @@ from items where day_number is not null""",
     ),
     "cascade_requests": (
         ("items",),
-        "select trip_id, min(id) as target_id, '10:00' as new_time from items group by trip_id",
+        "select trip_id as request_id, trip_id, min(id) as target_id, '10:00' as new_time from items group by trip_id",
     ),
     "cascade_picks": (
         ("items",),
-        "select trip_id, case when confirm_required then -id else id end as item_id from items",
+        "select trip_id as request_id, case when confirm_required then -id else id end as item_id from items",
     ),
     "single_requests": (
         ("items",),
