@@ -13,9 +13,8 @@ from pyspark.sql import functions as F
 
 from wayledger.functions.text import blank_as_null, js_trim, text_or
 from wayledger.operators.planning import append_sort_order
-from wayledger.operators.skew import ranked
+from wayledger.operators.skew import HotKeys, hot_keys, ranked, with_part
 from wayledger.schemas import DEFAULTS, schema
-from wayledger.session import PART_ROWS, setting
 
 REORDERED = "重新排序 Day "
 
@@ -97,16 +96,16 @@ def set_flags(table: DataFrame, requests: DataFrame) -> DataFrame:
     return patch_items(table, requests)
 
 
-def adjustment_log(updates: DataFrame, order: str = "pos") -> DataFrame:
+def adjustment_log(updates: DataFrame, order: str = "pos", hot: HotKeys | None = None) -> DataFrame:
     """History rows of applied changes, per trip and instruction.
 
     A very long change set is logged as several rows, numbered by ``part``.
     """
     keys = ["trip_id", "instruction"]
-    size = setting(updates.sparkSession, PART_ROWS)
-    placed = ranked(updates.select(*keys, "id", "start_time", order), keys, [F.col(order), F.col("id")], "_k")
-    cut = placed.withColumn("part", F.expr(f"cast((_k - 1) div {size} as int)"))
-    entries = cut.groupBy(*keys, "part").agg(F.sort_array(F.collect_list(F.struct("_k", "id", "start_time"))).alias("_all"))
+    rows = updates.select(*keys, "id", "start_time", order)
+    placed = ranked(rows, keys, [F.col(order), F.col("id")], "_k", hot)
+    entry = F.struct("_k", "id", "start_time")
+    entries = with_part(placed, "_k").groupBy(*keys, "part").agg(F.sort_array(F.collect_list(entry)).alias("_all"))
     changed = F.transform("_all", lambda e: F.struct(e["id"].alias("id"), e["start_time"].alias("start_time")))
     return entries.select(*keys, "part", changed.alias("items_changed"))
 
@@ -114,7 +113,9 @@ def adjustment_log(updates: DataFrame, order: str = "pos") -> DataFrame:
 def apply_plans(items: DataFrame, updates: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Items with their planned times and positions, and the history rows of the plan."""
     changes = updates.select(F.col("id").alias("item_id"), "start_time", F.col("sort_order"))
-    return patch_items(items, changes), adjustment_log(updates)
+    # A plan has one row per item, so the items bound the rows per trip.
+    log = adjustment_log(updates, hot=hot_keys(items, ["trip_id"]))
+    return patch_items(items, changes), log
 
 
 def reorder_updates(plan: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ from wayledger.operators.shopping import (
     flag,
     trimmed_tag,
 )
-from wayledger.operators.skew import is_last_part, ranked, text_parts
+from wayledger.operators.skew import hot_keys, is_last_part, ranked, text_parts
 
 # Formats, labels and addresses of the exported texts.
 CSV_HEADER = ["name", "location", "day", "time", "notes"]
@@ -89,7 +89,8 @@ def ics_documents(
     )
     events = ics_events(trips, items).withColumn("block", block)
     order = [*down("confirm_required"), *up("is_confirmed", "day_number", "start_time", "id")]
-    parts = text_parts(events, ["trip_id"], order, "block", {"trip_name": F.first("trip_name")})
+    placed = ranked(events, ["trip_id"], order, "_pos", hot_keys(items, ["trip_id"]))
+    parts = text_parts(placed, ["trip_id"], "_pos", "block", {"trip_name": F.first("trip_name")})
     head = F.concat(
         F.lit(f"BEGIN:VCALENDAR{CRLF}VERSION:2.0{CRLF}PRODID:{product}{CRLF}CALSCALE:GREGORIAN{CRLF}"),
         line("X-WR-CALNAME:", ics_escape(F.coalesce(_present("trip_name"), F.lit(CALENDAR_NAME)))),
@@ -129,7 +130,8 @@ def maps_csv_documents(items: DataFrame) -> DataFrame:
     cells = F.concat_ws(",", *[csv_escape(F.col(c)) for c in CSV_HEADER])
     rows = maps_csv_rows(items).withColumn("line", F.concat(cells, F.lit(CRLF)))
     order = [*down("confirm_required"), *up("is_confirmed", "day_number", "start_time", "id")]
-    parts = text_parts(rows, ["trip_id"], order, "line")
+    placed = ranked(rows, ["trip_id"], order, "_pos", hot_keys(items, ["trip_id"]))
+    parts = text_parts(placed, ["trip_id"], "_pos", "line")
     return _document(parts, ["trip_id"], F.lit(",".join(CSV_HEADER) + CRLF), F.lit(""))
 
 
@@ -189,16 +191,11 @@ def buylist_markdown(buylist: DataFrame) -> DataFrame:
     lines = rows.unionByName(titles, allowMissingColumns=True)
     order = [(F.col("tag") == "").asc(), *up("tag", "kind", "bought", "created_at", "id")]
     # A blank line ends every section; it is written in front of all titles but the first.
-    placed = ranked(lines, ["list_id"], order, "_line_no")
+    placed = ranked(lines, ["list_id"], order, "_line_no", hot_keys(buylist, ["list_id"]))
     gap = F.when((F.col("kind") == 0) & (F.col("_line_no") > 1), F.lit("\n")).otherwise("")
     placed = placed.withColumn("line", F.concat(gap, "line"))
-    parts = text_parts(
-        placed,
-        ["list_id"],
-        up("_line_no"),
-        "line",
-        {"_items": F.count("id"), "_amount": exact_sum(F.col("amount"))},
-    )
+    sums = {"_items": F.count("id"), "_amount": exact_sum(F.col("amount"))}
+    parts = text_parts(placed, ["list_id"], "_line_no", "line", sums)
     whole = Window.partitionBy("list_id")
     items, amount = F.sum("_items").over(whole), F.sum("_amount").over(whole)
     totalled = parts.withColumns({"_items": items, "_amount": amount})
@@ -220,7 +217,8 @@ def public_share(buylist: DataFrame, requests: DataFrame) -> DataFrame:
     label = labelled(F.col("urgency"), PUBLIC_URGENCY_LABELS, "")
     open_items = buylist.where(~flag("bought")).select("list_id", *PUBLIC_FIELDS, label.alias("urgency_label"))
     shared = open_items.join(_valid_requests(requests), ["list_id", "tag"], "left_semi")
-    return ranked(shared, ["list_id", "tag"], [*down("price"), *up("id")])
+    hot = hot_keys(open_items, ["list_id", "tag"])
+    return ranked(shared, ["list_id", "tag"], [*down("price"), *up("id")], hot=hot)
 
 
 def share_json(buylist: DataFrame, requests: DataFrame) -> DataFrame:
@@ -229,7 +227,7 @@ def share_json(buylist: DataFrame, requests: DataFrame) -> DataFrame:
     fields = F.struct(*PUBLIC_FIELDS, "urgency_label")
     entry = F.concat(F.lit(","), F.to_json(fields, {"ignoreNullFields": "false"}))
     rows = public_share(buylist, requests).withColumn("entry", entry)
-    parts = text_parts(rows, keys, up("rank"), "entry", {"_n": F.count("*")})
+    parts = text_parts(rows, keys, "rank", "entry", {"_n": F.count("*")})
     marked = parts.withColumns({"_last": is_last_part(keys), "_n": F.sum("_n").over(Window.partitionBy(*keys))})
     joined = _valid_requests(requests).join(marked, keys, "left").fillna(0, ["part", "_n"])
     body = F.when(F.col("part") == 0, F.substr("body", F.lit(2))).otherwise(F.col("body"))

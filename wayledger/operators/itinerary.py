@@ -174,9 +174,12 @@ def day_plan(trips: DataFrame, items: DataFrame) -> DataFrame:
     return spread_under(trip_days(trips, items), placed, keys, "item_id", hot)
 
 
-def trip_summary(trips: DataFrame, items: DataFrame) -> DataFrame:
+def trip_summary(trips: DataFrame, items: DataFrame, *more: Column) -> DataFrame:
+    """Each trip with its days and item counts; ``more`` aggregates come from the same pass."""
     counts = items.groupBy("trip_id").agg(
-        F.count("day_number").alias("scheduled"), F.count_if(F.col("day_number").isNull()).alias("candidates")
+        F.count("day_number").alias("scheduled"),
+        F.count_if(F.col("day_number").isNull()).alias("candidates"),
+        *more,
     )
     days = clock.total_days(F.col("start_date"), F.col("end_date"))
     joined = trips.select(F.col("id").alias("trip_id"), "name", days.alias("total_days")).join(

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayledger.functions import clock
-from wayledger.operators.skew import Running, match, ranked, running
+from wayledger.operators.skew import Running, hot_keys, match, ranked, running
 
 DAY = ["trip_id", "day_number"]
 
@@ -44,7 +44,9 @@ def reorder_plan(items: DataFrame, requests: DataFrame) -> DataFrame:
     timed = timed.where(F.col("_s").isNotNull())
     opening = timed.groupBy(*DAY).agg(F.min("_s").alias("_first"))
     asked = requests.join(timed.drop("_s"), [*DAY, "item_id"])
-    chained = running(asked, DAY, [F.col("pos"), F.col("item_id")], {"_gone": Running("sum", "_d", inclusive=False)})
+    order = [F.col("pos"), F.col("item_id")]
+    gone = {"_gone": Running("sum", "_d", inclusive=False)}
+    chained = running(asked, DAY, order, gone, hot_keys(requests, DAY))
     start = F.col("_first") + F.coalesce("_gone", F.lit(0))
     placed = chained.join(opening, DAY).withColumn("_start", start)
     last = placed.groupBy(*DAY, "item_id").agg(

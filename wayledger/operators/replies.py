@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from wayledger.functions import clock
 from wayledger.functions.text import blank_as_null, js_parse_int, js_trim
 from wayledger.operators.itinerary import up
-from wayledger.operators.skew import ranked
+from wayledger.operators.skew import HotKeys, ranked
 
 # The categories replies may use, and what stands for missing answers.
 REPLY_CATEGORIES = ["restaurant", "hotel", "attraction", "shopping", "transport", "other"]
@@ -193,9 +193,9 @@ def imported_items(reply_rows: DataFrame, trips: DataFrame) -> DataFrame:
     )
 
 
-def suggestions_by_day(suggested: DataFrame) -> DataFrame:
+def suggestions_by_day(suggested: DataFrame, hot: HotKeys | None = None) -> DataFrame:
     """Position of each suggestion in its reply, by day and time."""
-    return ranked(suggested, ["reply_id"], up("day_number", "start_time", "pos"))
+    return ranked(suggested, ["reply_id"], up("day_number", "start_time", "pos"), hot=hot)
 
 
 def import_result(reply_rows: DataFrame) -> DataFrame:

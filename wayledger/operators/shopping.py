@@ -190,7 +190,8 @@ def category_rollup(visible: DataFrame, order: list[str] | None = None) -> DataF
     )
     known = F.array_position(F.array(*[F.lit(c) for c in order]), F.col("category"))
     groups = groups.withColumn("_known", F.nullif(known, F.lit(0).cast("long")))
-    placed = ranked(groups, ["list_id"], [F.col("_known").asc_nulls_last(), F.col("_first").asc()], "place")
+    place = [F.col("_known").asc_nulls_last(), F.col("_first").asc()]
+    placed = ranked(groups, ["list_id"], place, "place", hot_keys(visible, ["list_id"]))
     return placed.withColumn("all_bought", F.col("unbought") == 0).drop("_first", "_known")
 
 
@@ -202,7 +203,7 @@ def _with_cell(wanted: DataFrame) -> DataFrame:
     """
     rows = wanted.withColumn("_price", or_zero(F.col("price")))
     hot = hot_keys(rows, ["list_id"])
-    cold, heavy = hot.split(rows, ["list_id"])
+    cold, heavy = hot.split(rows)
     whole = Window.partitionBy("list_id")
     upto = whole.orderBy("_price").rangeBetween(Window.unboundedPreceding, 0)
     out = cold.withColumns(
@@ -218,7 +219,7 @@ def _with_cell(wanted: DataFrame) -> DataFrame:
         sizes = prices.groupBy("list_id").agg(
             F.sum("_same").alias("_n"), F.coalesce(F.sum(F.when(F.col("_price") <= 0, F.col("_same"))), F.lit(0)).alias("_free")
         )
-        counted = running(prices, ["list_id"], [F.col("_price")], {"_upto": Running("sum", "_same")}).drop("_same")
+        counted = running(prices, ["list_id"], [F.col("_price")], {"_upto": Running("sum", "_same")}, hot).drop("_same")
         out = out.unionByName(heavy.join(counted, ["list_id", "_price"]).join(sizes, "list_id"))
     need = F.expr("_n div 2 + 1")
     high = (F.col("_upto") >= need) & (F.col("_free") < need)
@@ -258,7 +259,7 @@ def matrix_counts(buylist: DataFrame) -> DataFrame:
 
 def distinct_tags(buylist: DataFrame) -> DataFrame:
     tags = buylist.select("list_id", trimmed_tag().alias("tag")).where(F.col("tag") != "").distinct()
-    return ranked(tags, ["list_id"], up("tag"))
+    return ranked(tags, ["list_id"], up("tag"), hot=hot_keys(buylist, ["list_id"]))
 
 
 def reset_vanished_tag(buylist: DataFrame, chosen: DataFrame) -> DataFrame:

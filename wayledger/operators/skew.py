@@ -45,14 +45,17 @@ class Running:
 
 @dataclass(frozen=True)
 class HotKeys:
-    """Keys above the row limit, or ``frame is None`` when there are none."""
+    """Values of ``keys`` above the row limit; ``frame is None`` when there are none."""
 
-    frame: DataFrame | None
+    keys: list[str]
+    frame: DataFrame | None = None
+    stretches: int = 1
 
-    def split(self, df: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame | None]:
+    def split(self, df: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+        """The rows of ordinary keys, and those of hot ones if any."""
         if self.frame is None:
             return df, None
-        return match(df, self.frame, keys, "left_anti"), match(df, self.frame, keys, "left_semi")
+        return match(df, self.frame, self.keys, "left_anti"), match(df, self.frame, self.keys, "left_semi")
 
 
 def match(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
@@ -67,14 +70,18 @@ def hot_keys(df: DataFrame, keys: list[str], limit: int | None = None) -> HotKey
     """Measure the keys with more than ``limit`` rows: one pass over the key columns.
 
     Counting is combined map-side.  At most ``rows / limit`` keys can pass, and the
-    result is broadcast only when its counted size allows it.
+    result is broadcast only when its counted size allows it.  Where ``df`` is costly to
+    compute, measure the table it comes from instead: more rows per key than ``df`` has
+    only make a key count as hot sooner.
     """
     limit = setting(df.sparkSession, HOT_ROWS) if limit is None else limit
-    above = df.groupBy(*keys).count().where(F.col("count") > limit).select(*keys)
+    above = df.groupBy(*keys).count().where(F.col("count") > limit)
     if above.isEmpty():
-        return HotKeys(None)
+        return HotKeys(keys)
     above = checkpointed(above)
-    return HotKeys(F.broadcast(above) if above.count() <= BROADCAST_KEYS else above)
+    found, rows = above.agg(F.count("*"), F.sum("count")).first()
+    frame = above.select(*keys)
+    return HotKeys(keys, F.broadcast(frame) if found <= BROADCAST_KEYS else frame, rows // limit + 1)
 
 
 def running(
@@ -84,22 +91,29 @@ def running(
     specs: dict[str, Running],
     hot: HotKeys | None = None,
 ) -> DataFrame:
-    """Add running values within ``keys`` in a total ``order``."""
+    """Add running values within ``keys`` in a total ``order``.
+
+    ``hot`` may be measured on some of the ``keys`` only.
+    """
     hot = hot or hot_keys(df, keys)
-    cold, heavy = hot.split(df, keys)
+    cold, heavy = hot.split(df)
     window = Window.partitionBy(*keys).orderBy(*order)
     out = cold.withColumns({name: spec.over(window) for name, spec in specs.items()})
-    return out if heavy is None else out.unionByName(_running_sorted(heavy, keys, order, specs))
+    return out if heavy is None else out.unionByName(_running_sorted(heavy, keys, order, specs, hot.stretches))
 
 
-def _running_sorted(heavy, keys, order, specs) -> DataFrame:
+def _running_sorted(heavy, keys, order, specs, stretches) -> DataFrame:
+    by = [*[F.col(k) for k in keys], *order]
+    # Stretches hold about the row limit each, however many rows a single key has.
     placed = checkpointed(
-        heavy.orderBy(*[F.col(k) for k in keys], *order).withColumn("_at", F.monotonically_increasing_id())
+        heavy.repartitionByRange(stretches, *by)
+        .sortWithinPartitions(*by)
+        .withColumn("_at", F.monotonically_increasing_id())
     ).withColumn("_stretch", F.shiftright("_at", 33))
     stretch = ["_stretch", *keys]
     within = Window.partitionBy(*stretch).orderBy("_at")
     local = placed.withColumns({name: spec.over(within) for name, spec in specs.items()})
-    # One row per sorted partition and hot key, so this window and the broadcast stay small.
+    # One row per stretch and key, so this window stays small.
     before = Window.partitionBy(*keys).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
     totals = placed.groupBy(*stretch).agg(*[s.total().alias(f"_t_{n}") for n, s in specs.items()])
     carries = totals.select(
@@ -111,8 +125,7 @@ def _running_sorted(heavy, keys, order, specs) -> DataFrame:
     )
     joined = match(local, carries, stretch, "inner")
     return joined.select(
-        *[c for c in heavy.columns],
-        *[s.joined(F.col(n), F.col(f"_c_{n}")).alias(n) for n, s in specs.items()],
+        *heavy.columns, *[s.joined(F.col(n), F.col(f"_c_{n}")).alias(n) for n, s in specs.items()]
     )
 
 
@@ -121,13 +134,14 @@ def ranked(
 ) -> DataFrame:
     """1-based position of each row in its key group; ``order`` must be total."""
     hot = hot or hot_keys(df, keys)
-    cold, heavy = hot.split(df, keys)
+    cold, heavy = hot.split(df)
     number = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long")
     out = cold.withColumn(name, number)
     if heavy is None:
         return out
     ones = heavy.withColumn("_one", F.lit(1).cast("long"))
-    return out.unionByName(_running_sorted(ones, keys, order, {name: Running("sum", "_one")}).drop("_one"))
+    counted = _running_sorted(ones, keys, order, {name: Running("sum", "_one")}, hot.stretches)
+    return out.unionByName(counted.drop("_one"))
 
 
 def salted_lookup(left: DataFrame, right: DataFrame, keys: list[str], spread: str, how: str = "left") -> DataFrame:
@@ -138,27 +152,25 @@ def salted_lookup(left: DataFrame, right: DataFrame, keys: list[str], spread: st
 
 
 def text_parts(
-    lines: DataFrame,
-    keys: list[str],
-    order: list[Column],
-    text: str,
-    extras: dict[str, Column] | None = None,
+    placed: DataFrame, keys: list[str], position: str, text: str, extras: dict[str, Column] | None = None
 ) -> DataFrame:
-    """Concatenate ``text`` per key into ordered parts of bounded length.
+    """Concatenate ``text`` per key, by 1-based ``position``, into parts of bounded length.
 
     An ordinary group gives one part, 0.  A longer one gives several; the document is
     their concatenation in ``part`` order, so no task ever holds more than one part.
     ``extras`` are aggregates computed per part.
     """
-    size = setting(lines.sparkSession, PART_ROWS)
-    placed = ranked(lines, keys, order, "_pos")
-    cut = placed.withColumn("part", F.expr(f"cast((_pos - 1) div {size} as int)"))
-    return cut.groupBy(*keys, "part").agg(
-        F.expr(f"listagg({text}, '') within group (order by _pos)").alias("body"),
+    return with_part(placed, position).groupBy(*keys, "part").agg(
+        F.expr(f"listagg({text}, '') within group (order by {position})").alias("body"),
         *[value.alias(name) for name, value in (extras or {}).items()],
     )
 
 
+def with_part(placed: DataFrame, position: str) -> DataFrame:
+    size = setting(placed.sparkSession, PART_ROWS)
+    return placed.withColumn("part", F.expr(f"cast(({position} - 1) div {size} as int)"))
+
+
 def is_last_part(keys: list[str]) -> Column:
     every = Window.partitionBy(*keys)
     return F.col("part") == F.max("part").over(every)
@@ -167,11 +179,13 @@ def is_last_part(keys: list[str]) -> Column:
 def spread_under(spine: DataFrame, rows: DataFrame, keys: list[str], spread: str, hot: HotKeys) -> DataFrame:
     """Left join of one row per key to many rows per key.
 
-    An outer join cannot split its right side, so when a key of ``rows`` is hot the match
-    is an inner join salted by ``spread`` and the spine rows without a match are added.
+    An outer join cannot split its right side, so the hot keys of ``rows`` are matched by
+    an inner join salted by ``spread``; only their spine rows are repeated per salt, and
+    each of them has rows to match.
     """
-    if hot.frame is None:
+    calm, heavy = hot.split(rows)
+    if heavy is None:
         return spine.join(rows, keys, "left")
-    inner = salted_lookup(rows, spine, keys, spread, "inner")
-    alone = spine.join(rows.select(*keys).distinct(), keys, "left_anti")
-    return inner.unionByName(alone, allowMissingColumns=True)
+    calm_spine, heavy_spine = hot.split(spine)
+    calm_join = calm_spine.join(calm, keys, "left")
+    return calm_join.unionByName(salted_lookup(heavy, heavy_spine, keys, spread, "inner"))

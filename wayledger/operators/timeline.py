@@ -61,7 +61,7 @@ def _neighbours(rows: DataFrame) -> DataFrame:
     at most 6,040, and the items look their minute up over salted keys.
     """
     hot = hot_keys(rows, DAY)
-    cold, heavy = hot.split(rows, DAY)
+    cold, heavy = hot.split(rows)
     out = _facing(_minute_columns(cold)).drop("far", "first")
     if heavy is None:
         return out
@@ -121,9 +121,13 @@ def timeline_columns(items: DataFrame) -> DataFrame:
     Clusters of ordinary size are packed as one sorted array.  Larger ones go minute by
     minute over the cluster's columns as distributed rows.
     """
-    rows = overlap_clusters(items)
+    rows = timed(items)
     limit = min(PACK_ROWS, setting(items.sparkSession, HOT_ROWS))
-    small, large = hot_keys(rows, CLUSTER, limit).split(rows, CLUSTER)
+    # No cluster outgrows its day, so the days are measured before anything is computed.
+    if hot_keys(rows, DAY, limit).frame is None:
+        return _pack_arrays(_clusters(rows, HotKeys(DAY)))
+    clusters = _clusters(rows)
+    small, large = hot_keys(clusters, CLUSTER, limit).split(clusters)
     out = _pack_arrays(small)
     return out if large is None else out.unionByName(_pack_minutes(large))
 
@@ -203,6 +207,6 @@ def _place(now: DataFrame, state: DataFrame, minute: int) -> DataFrame:
 def trip_overview(trips: DataFrame, items: DataFrame) -> DataFrame:
     """Trips with their scheduled, candidate, conflicting and unconfirmed-required counts."""
     conflicts = conflict_flags(items).groupBy("trip_id").agg(F.count_if("conflict").alias("conflicts"))
-    open_items = items.groupBy("trip_id").agg(F.count_if(needs_attention()).alias("attention"))
-    joined = trip_summary(trips, items).join(open_items, "trip_id", "left").join(conflicts, "trip_id", "left")
+    attention = F.count_if(needs_attention()).alias("attention")
+    joined = trip_summary(trips, items, attention).join(conflicts, "trip_id", "left")
     return joined.fillna(0, ["conflicts", "attention"])

@@ -209,7 +209,7 @@ def _(t):
     from plan group by trip_id, day_number""",
 )
 def _(t):
-    return changes.adjustment_log(_updates(t)).withColumn("items_changed", F.to_json("items_changed"))
+    return changes.apply_plans(t.items, _updates(t))[1].withColumn("items_changed", F.to_json("items_changed"))
 
 
 @query("delete_rows", "select id, trip_id from items where not (category = 'unknown' and day_number is null)")

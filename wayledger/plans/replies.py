@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wayledger.operators import replies
+from wayledger.operators.skew import hot_keys
 from wayledger.plans.registry import query
 
 
@@ -112,7 +113,8 @@ def _(t):
       row_number() over (partition by reply_id order by d, t, pos) as rank from suggested""",
 )
 def _(t):
-    placed = replies.suggestions_by_day(replies.suggested_items(t.reply_rows, t.trips))
+    hot = hot_keys(t.reply_rows, ["reply_id"])
+    placed = replies.suggestions_by_day(replies.suggested_items(t.reply_rows, t.trips), hot)
     return placed.select("reply_id", "pos", "day_number", "start_time", "rank")
 
 

@@ -52,7 +52,24 @@ def _(t):
     return timeline.overlap_clusters(t.items).select("trip_id", "day_number", "id", "cluster")
 
 
-@query("timeline_columns")
+@query(
+    "timeline_columns",
+    f"""with recursive {_CLUSTERS},
+    numbered as (select *, sum(case when reach is null or s >= reach then 1 else 0 end) over
+      (partition by trip_id, day_number order by s, id rows unbounded preceding) as cluster from reached),
+    steps as (select *, row_number() over (partition by trip_id, day_number, cluster order by s, id) as k from numbered),
+    walk as (
+      select trip_id, day_number, cluster, k, id, 0 as col, [{{'c': 0, 's': s, 'e': e}}] as placed from steps where k = 1
+      union all
+      select trip_id, day_number, cluster, k, id, col, list_append(placed, {{'c': col, 's': s, 'e': e}}) from (
+        select n.trip_id, n.day_number, n.cluster, n.k, n.id, n.s, n.e, w.placed,
+          cast(list_min(list_filter(range(0, len(w.placed) + 1), lambda c: len(list_filter(w.placed,
+            lambda o: o.c = c and o.s < n.e and n.s < o.e)) = 0)) as int) as col
+        from walk w join steps n on n.trip_id = w.trip_id and n.day_number = w.day_number and n.cluster = w.cluster
+          and n.k = w.k + 1))
+    select trip_id, day_number, cast(cluster as bigint) as cluster, id, col,
+      max(col) over (partition by trip_id, day_number, cluster) + 1 as cols from walk""",
+)
 def _(t):
     return timeline.timeline_columns(t.items)
 

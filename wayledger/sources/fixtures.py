@@ -303,7 +303,8 @@ def with_views(sql: str) -> str:
             visit(name)
     blocks = [f"{name} as ({VIEWS[name][1].strip()}\n)" for name in wanted]
     own = sql.strip()
-    if own.lower().startswith("with "):
-        blocks.append(own[5:])
-        return "with " + ",\n".join(blocks)
+    for opening in ("with recursive ", "with "):
+        if own.lower().startswith(opening):
+            blocks.append(own[len(opening) :])
+            return opening + ",\n".join(blocks)
     return ("with " + ",\n".join(blocks) + "\n" + own) if blocks else own
