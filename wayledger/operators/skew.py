@@ -69,12 +69,15 @@ def match(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataF
 def hot_keys(df: DataFrame, keys: list[str], limit: int | None = None) -> HotKeys:
     """Measure the keys with more than ``limit`` rows: one pass over the key columns.
 
-    Counting is combined map-side.  At most ``rows / limit`` keys can pass, and the
+    A table of no more than ``limit`` rows in all is settled by its row count, which
+    columnar files know without being read.  Counting per key is combined map-side.  At most ``rows / limit`` keys can pass, and the
     result is broadcast only when its counted size allows it.  Where ``df`` is costly to
     compute, measure the table it comes from instead: more rows per key than ``df`` has
     only make a key count as hot sooner.
     """
     limit = setting(df.sparkSession, HOT_ROWS) if limit is None else limit
+    if df.count() <= limit:
+        return HotKeys(keys)
     above = df.groupBy(*keys).count().where(F.col("count") > limit)
     if above.isEmpty():
         return HotKeys(keys)

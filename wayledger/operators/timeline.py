@@ -54,14 +54,18 @@ def _minute_columns(rows: DataFrame) -> DataFrame:
     )
 
 
-def _neighbours(rows: DataFrame) -> DataFrame:
+def _hot_days(items: DataFrame, limit: int | None = None) -> HotKeys:
+    """Hot days by all scheduled items, which spares reading the times once more."""
+    return hot_keys(items.where(F.col("day_number").isNotNull()), DAY, limit)
+
+
+def _neighbours(items: DataFrame) -> DataFrame:
     """Each timed item with its surroundings.
 
     A hot trip day is first reduced to its start minutes, of which the time grammar allows
     at most 6,040, and the items look their minute up over salted keys.
     """
-    hot = hot_keys(rows, DAY)
-    cold, heavy = hot.split(rows)
+    cold, heavy = _hot_days(items).split(timed(items))
     out = _facing(_minute_columns(cold)).drop("far", "first")
     if heavy is None:
         return out
@@ -90,7 +94,7 @@ def overlap_pairs(items: DataFrame) -> DataFrame:
         .when(lasts & (other != F.col("id")), other)
         .when(F.col("next.s") < F.col("e"), F.col("next.id"))
     )
-    paired = _neighbours(timed(items)).withColumn("partner_id", partner)
+    paired = _neighbours(items).withColumn("partner_id", partner)
     return paired.where(F.col("partner_id").isNotNull()).select(*DAY, "id", "partner_id")
 
 
@@ -98,16 +102,15 @@ def conflict_flags(items: DataFrame) -> DataFrame:
     """Whether each timed item overlaps any other of its day."""
     shared = (F.col("e") > F.col("s")) & (F.col("low") < F.col("high"))
     conflict = (F.col("reach.e") > F.col("s")) | (F.col("next.s") < F.col("e")) | shared
-    return _neighbours(timed(items)).select(*DAY, "id", F.coalesce(conflict, F.lit(False)).alias("conflict"))
+    return _neighbours(items).select(*DAY, "id", F.coalesce(conflict, F.lit(False)).alias("conflict"))
 
 
 def overlap_clusters(items: DataFrame) -> DataFrame:
     """Number the groups of items that hang together in time, from 1 per day."""
-    return _clusters(timed(items))
+    return _clusters(timed(items), _hot_days(items))
 
 
-def _clusters(rows: DataFrame, hot: HotKeys | None = None) -> DataFrame:
-    hot = hot or hot_keys(rows, DAY)
+def _clusters(rows: DataFrame, hot: HotKeys) -> DataFrame:
     order = [F.col("s"), F.col("id")]
     reached = running(rows, DAY, order, {"_end": Running("max", "e", inclusive=False)}, hot)
     opens = F.when(F.col("_end").isNull() | (F.col("s") >= F.col("_end")), 1).otherwise(0)
@@ -124,9 +127,9 @@ def timeline_columns(items: DataFrame) -> DataFrame:
     rows = timed(items)
     limit = min(PACK_ROWS, setting(items.sparkSession, HOT_ROWS))
     # No cluster outgrows its day, so the days are measured before anything is computed.
-    if hot_keys(rows, DAY, limit).frame is None:
+    if _hot_days(items, limit).frame is None:
         return _pack_arrays(_clusters(rows, HotKeys(DAY)))
-    clusters = _clusters(rows)
+    clusters = _clusters(rows, _hot_days(items))
     small, large = hot_keys(clusters, CLUSTER, limit).split(clusters)
     out = _pack_arrays(small)
     return out if large is None else out.unionByName(_pack_minutes(large))
