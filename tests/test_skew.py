@@ -108,3 +108,35 @@ def test_written_map_rows_are_whole(spark, folder, tmp_path):
     exports.write_maps_csv(items, str(tmp_path / "maps"), folders=4)
     back = spark.read.csv(str(tmp_path / "maps"), header=True, quote='"', escape='"', multiLine=True)
     assert back.count() == exports.maps_csv_rows(items).count()
+
+
+def test_a_hot_trip_is_split_in_the_join(spark):
+    """Matching a third of all rows to their one trip is spread by the skew split."""
+    import datetime
+
+    from wayledger.operators import itinerary
+
+    options = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        # The small test has few partitions and bytes, so what counts as skewed is lowered.
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4KB",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4KB",
+    }
+    day = datetime.date(2026, 1, 1)
+    trips = spark.range(1, 4001).select("id", F.lit(day).alias("start_date"), F.date_add(F.lit(day), 3).alias("end_date"))
+    trip = F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id") % 4000 + 1)
+    items = spark.range(60_000).select("id", trip.alias("trip_id"), F.lit(1).alias("day_number"))
+    for key, value in options.items():
+        spark.conf.set(key, value)
+    try:
+        dated = itinerary.item_dates(trips, items)
+        dated.write.format("noop").mode("overwrite").save()
+        rows = dated.collect()
+        plan = dated._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for key in options:
+            spark.conf.unset(key)
+    assert len(rows) == 60_000
+    assert "skew=true" in plan

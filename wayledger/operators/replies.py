@@ -138,10 +138,16 @@ def _text(rows: DataFrame, name: str) -> Column:
     return js_trim(F.coalesce(F.col(name), F.lit(""))) if name in rows.columns else F.lit("")
 
 
+def _whole_number(name: str) -> Column:
+    """Leading whole number of a field, no larger than its column can hold."""
+    number = js_parse_int(F.col(name))
+    return F.when(number.isNotNull(), F.least(number, F.lit(2**31 - 1).cast("long")))
+
+
 def _common(rows: DataFrame, trips: DataFrame) -> DataFrame:
     """Named elements with their day and category made legal."""
     named = rows.withColumn("name", _text(rows, "name")).where(F.col("name") != "")
-    day = F.greatest(F.coalesce(js_parse_int(F.col("day")), F.lit(1)), F.lit(1))
+    day = F.greatest(F.coalesce(_whole_number("day"), F.lit(1)), F.lit(1))
     within = F.when((F.col("total_days") > 0) & (day > F.col("total_days")), F.col("total_days")).otherwise(day)
     category = F.lower(_text(rows, "category"))
     legal = F.when(category.isin(REPLY_CATEGORIES), category).otherwise("other")
@@ -155,7 +161,7 @@ def _two_digit_hour(time: Column, grammar: str) -> Column:
 def suggested_items(reply_rows: DataFrame, trips: DataFrame) -> DataFrame:
     """Reply elements as item rows: illegal values replaced, nameless ones dropped."""
     rows = _common(reply_rows, trips)
-    minutes = js_parse_int(F.col("duration_minutes"))
+    minutes = _whole_number("duration_minutes")
     return rows.select(
         "reply_id",
         "trip_id",

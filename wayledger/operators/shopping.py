@@ -177,17 +177,20 @@ def category_rollup(visible: DataFrame, order: list[str] | None = None) -> DataF
     """Per list and category of the visible items: sizes, unbought sum and display place.
 
     Known categories come in their fixed order, others by their first item in the
-    default order, found as a minimum so that no item has to be ranked.
+    default order, found as a minimum over just those, so that no item has to be ranked.
     """
     order = order or CATEGORIES
+    keys = ["list_id", "category"]
     unbought = ~flag("bought")
-    rows = visible.withColumn("category", category()).withColumn("_first", F.struct(*_default_order()))
-    groups = rows.groupBy("list_id", "category").agg(
+    rows = visible.withColumn("category", category())
+    groups = rows.groupBy(*keys).agg(
         F.count("*").alias("items"),
         F.count_if(unbought).alias("unbought"),
         exact_sum(F.when(unbought, or_zero(F.col("price")))).alias("unbought_sum"),
-        F.min("_first").alias("_first"),
     )
+    others = rows.where(~F.col("category").isin(order))
+    first = others.groupBy(*keys).agg(F.min(F.struct(*_default_order())).alias("_first"))
+    groups = groups.join(first, keys, "left")
     known = F.array_position(F.array(*[F.lit(c) for c in order]), F.col("category"))
     groups = groups.withColumn("_known", F.nullif(known, F.lit(0).cast("long")))
     place = [F.col("_known").asc_nulls_last(), F.col("_first").asc()]

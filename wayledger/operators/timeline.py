@@ -169,23 +169,21 @@ def _pack_minutes(rows: DataFrame) -> DataFrame:
     """
     spark = rows.sparkSession
     folder = shared_folder(spark, "columns")
-    rows.write.partitionBy("s").parquet(f"{folder}/rows")
-    rows = spark.read.schema(rows.schema).parquet(f"{folder}/rows")
+    last = rows.groupBy(*CLUSTER).agg(F.max("s").alias("until"))
+    rows.join(last, CLUSTER).write.partitionBy("s").parquet(f"{folder}/rows")
+    rows = spark.read.parquet(f"{folder}/rows")
     minutes = [r.s for r in rows.select("s").distinct().orderBy("s").collect()]
-    state = None
+    column = [*CLUSTER, "until", "col"]
+    state = rows.select(*CLUSTER, "until", F.lit(0).alias("col"), F.lit(0).alias("busy")).where(F.lit(False))
     for step, minute in enumerate(minutes):
-        now = rows.where(F.col("s") == minute).select(*CLUSTER, "id", "e")
-        if state is None:
-            state = now.select(*CLUSTER, F.lit(0).alias("col"), F.lit(0).alias("busy")).limit(0)
-        placed = _place(now, state, minute).select(*CLUSTER, "id", "e", "col")
-        placed.write.parquet(f"{folder}/placed/step={step}")
+        _place(rows.where(F.col("s") == minute), state, minute).write.parquet(f"{folder}/placed/step={step}")
         placed = spark.read.parquet(f"{folder}/placed/step={step}")
-        taken = placed.groupBy(*CLUSTER, "col").agg(F.max("e").alias("busy"))
-        merged = state.unionByName(taken.withColumn("busy", F.col("busy").cast("int")))
-        merged.groupBy(*CLUSTER, "col").agg(F.max("busy").alias("busy")).write.parquet(f"{folder}/state/step={step}")
+        # Only clusters with items still to come keep their columns.
+        taken = placed.select(*column, F.col("e").alias("busy")).unionByName(state).where(F.col("until") > minute)
+        taken.groupBy(*column).agg(F.max("busy").alias("busy")).write.parquet(f"{folder}/state/step={step}")
         state = spark.read.parquet(f"{folder}/state/step={step}")
-    widths = state.groupBy(*CLUSTER).agg((F.max("col") + 1).alias("cols"))
     placed = spark.read.parquet(f"{folder}/placed").select(*CLUSTER, "id", "col")
+    widths = placed.groupBy(*CLUSTER).agg((F.max("col") + 1).alias("cols"))
     return placed.join(widths, CLUSTER).select(*CLUSTER, "id", "col", "cols")
 
 
@@ -203,8 +201,8 @@ def _place(now: DataFrame, state: DataFrame, minute: int) -> DataFrame:
     fresh = F.col("n") + F.col("k") - F.col("f") - 1
     lasting = match(lasting, free, [*CLUSTER, "k"], "left").withColumn("at", F.coalesce("free_col", fresh))
     points = sized.where(F.col("e") <= minute).withColumn("at", F.coalesce("first_free", "n"))
-    both = lasting.select(*CLUSTER, "id", "e", "at").unionByName(points.select(*CLUSTER, "id", "e", "at"))
-    return both.withColumn("col", F.col("at").cast("int"))
+    kept = [*CLUSTER, "until", "id", "e", F.col("at").cast("int").alias("col")]
+    return lasting.select(*kept).unionByName(points.select(*kept))
 
 
 def trip_overview(trips: DataFrame, items: DataFrame) -> DataFrame:
