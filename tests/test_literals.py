@@ -193,6 +193,10 @@ def test_reply_status(spark):
         "null": "not_array",
         "no json at all": "unparsable",
         "] then [": "unparsable",
+        "```": "unparsable",
+        "[1] tail": "ok",
+        "{'a': 1}": "unparsable",
+        "[1, ]": "unparsable",
         "[]": "empty_array",
         '["a"]': "ok",
     }

@@ -41,6 +41,8 @@ def insert_items(items: DataFrame, batch: DataFrame, source: str = "manual") ->
     ``request_id`` orders the batch and, added to the largest id, names the new row.
     """
     named = batch.withColumn("id", F.col("request_id") + _next_id(items)).withColumn("source", F.lit(source))
+    if "category" in batch.columns:
+        named = named.withColumn("category", F.nullif("category", F.lit("")))
     placed = append_sort_order(items, named, "request_id")
     fresh = _with_defaults(placed, "itinerary_items", [c for c in items.columns if c != "created_at"])
     return items.unionByName(fresh, allowMissingColumns=True)
@@ -92,8 +94,11 @@ def unschedule_items(items: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def set_flags(table: DataFrame, requests: DataFrame) -> DataFrame:
-    """Set confirmation, purchase or price fields of the named rows."""
-    return patch_items(table, requests)
+    """Set confirmation, purchase, status or price fields of the named rows.
+
+    Requests may say ``purchased`` for the column ``bought``.
+    """
+    return patch_items(table, requests.withColumnRenamed("purchased", "bought"))
 
 
 def adjustment_log(updates: DataFrame, order: str = "pos", hot: HotKeys | None = None) -> DataFrame:
@@ -176,6 +181,7 @@ def insert_buylist(table: DataFrame, batch: DataFrame, added_by: str = "") -> Da
             "id": F.col("request_id") + _next_id(table),
             "category": text_or(F.col("category"), DEFAULTS["buylist_items"]["category"]),
             "added_by": F.lit(added_by),
+            **{c: js_trim(F.col(c)) for c in ("note", "link", "tag") if c in batch.columns},
         }
     )
     fresh = _with_defaults(named, "buylist_items", [c for c in table.columns if c != "created_at"])

@@ -18,6 +18,7 @@ ACCESS_LABELS = {"tw_easy": "台灣容易", "overseas": "需國外", "rare": "
 PUBLIC_URGENCY_LABELS = {"need": "很想要", "want": "想要", "maybe": "還在考慮"}
 CATEGORIES = ["3C", "家電", "服飾", "美妝", "食品", "生活", "書籍", "其他"]
 DEFAULT_CATEGORY = "其他"
+SCOPES = {"pending": "還沒買的", "purchased": "已買到的", None: "全部"}
 CELLS = ["lo-need", "hi-need", "lo-low", "hi-low"]
 DAY_SECONDS = 86_400
 
@@ -276,12 +277,14 @@ def tag_unbought_counts(buylist: DataFrame) -> DataFrame:
     return buylist.groupBy("list_id", trimmed_tag().alias("tag")).agg(F.count_if(~flag("bought")).alias("unbought"))
 
 
-def list_headline(listing: DataFrame) -> DataFrame:
-    """Per list: how many items of a listing and the first three names."""
+def list_headline(buylist: DataFrame, status: str | None = None) -> DataFrame:
+    """Per list: how many items a status listing has and the first three names."""
+    known = None if status is None else status.strip().lower()
+    chosen = {None: buylist, "pending": buylist.where(~flag("bought")), "purchased": buylist.where(flag("bought"))}[known]
     newest = -F.unix_micros(F.col("created_at").cast("timestamp"))
-    lines = headline(listing, ["list_id"], [newest, F.col("id")], F.col("name"))
-    summary = F.concat(F.lit("共 "), F.col("n").cast("string"), F.lit(" 筆，例如："), "head", F.lit("。"))
-    return lines.withColumn("summary", summary)
+    lines = headline(chosen, ["list_id"], [newest, F.col("id")], F.col("name"))
+    count = F.concat(F.lit(f"購物清單{SCOPES[known]}共 "), F.col("n").cast("string"))
+    return lines.withColumn("summary", F.concat(count, F.lit(" 筆，例如："), "head", F.lit("。")))
 
 
 def markdown_totals(buylist: DataFrame) -> DataFrame:

@@ -229,11 +229,11 @@ def _(t):
     "list_headline",
     """with r as (select *, row_number() over (partition by list_id order by created_at desc, id) as k,
         count(*) over (partition by list_id) as n from buylist_items where not bought)
-    select list_id, n, '共 ' || n || ' 筆，例如：' || string_agg(name, '、' order by k) || '。' as summary
+    select list_id, n, '購物清單還沒買的共 ' || n || ' 筆，例如：' || string_agg(name, '、' order by k) || '。' as summary
     from r where k <= 3 group by list_id, n""",
 )
 def _(t):
-    return shopping.list_headline(t.buylist_items.where(~F.col("bought"))).select("list_id", "n", "summary")
+    return shopping.list_headline(t.buylist_items, "pending").select("list_id", "n", "summary")
 
 
 @query(

@@ -1,14 +1,14 @@
 """Shopping lists kept current from a stream of row changes.
 
 Each micro-batch is reduced to the last change per item and appended to a change log,
-partitioned by list bucket; the current table is the log reduced once more, and folding
-the log keeps that short.  A replayed batch rewrites its own folder, so every change
-counts once.  The last write, by event time and then event id, wins.
+partitioned by list bucket; the current table is the log reduced once more.  A replayed
+batch rewrites its own folder, so every change counts once.  The last write, by event time and then event id, wins.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -21,6 +21,7 @@ CHANGE = (
     "event_id LONG, ts TIMESTAMP, id LONG, list_id LONG, op STRING, price DECIMAL(12,2), bought BOOLEAN, "
     "starred BOOLEAN, k INT"
 )
+LOGGED = f"{CHANGE}, batch LONG, list_bucket INT"
 
 
 def read_changes(spark: SparkSession, path: str, schema: str | T.StructType, files: str = "*.parquet") -> DataFrame:
@@ -49,7 +50,7 @@ def deduped_changes(feed: DataFrame, delay: str = "1 day") -> DataFrame:
     return feed.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def bucket() -> F.Column:
+def bucket() -> Column:
     return F.pmod(F.hash("list_id"), F.lit(BUCKETS))
 
 
@@ -66,36 +67,34 @@ def present(changes: DataFrame) -> DataFrame:
 
 
 class LiveLists:
-    """The change log of one deployment and the tables read from it."""
+    """The change log of one deployment and the tables read from it.
 
-    def __init__(self, spark: SparkSession, folder: str):
+    Batches are kept in epochs of ``fold_every``.  At its end an epoch is reduced into the
+    first entry of the next one, so readers only ever list and read one epoch.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, fold_every: int = 100):
         self.spark = spark
-        self.log = f"{folder}/changes"
-        self.folds = f"{folder}/folds"
-        self.marks = f"{folder}/fold_marks"
-        self.budgets = f"{folder}/budgets"
-        self.rollups = f"{folder}/rollups"
-        self.checkpoints = f"{folder}/checkpoints"
-
-    def _folded(self) -> int:
-        marks = self.spark.read.schema("upto LONG").option("ignoreMissingFiles", "true")
+        self.folder = folder
+        self.fold_every = fold_every
+        self.marks = f"{folder}/finished_epochs"
+
+    def _path(self, kind: str, epoch: int, batch_id: int | None = None) -> str:
+        path = f"{self.folder}/{kind}/epoch={epoch}"
+        return path if batch_id is None else f"{path}/batch={batch_id}"
+
+    def epoch(self) -> int:
+        """The epoch readers use: the one after the last that was folded and marked."""
         try:
-            return marks.parquet(self.marks).agg(F.max("upto")).first()[0]
-        except Exception as missing:
-            if "PATH_NOT_FOUND" in str(missing):
-                return -1
+            return self.spark.read.schema("epoch LONG").parquet(self.marks).agg(F.max("epoch")).first()[0] + 1
+        except AnalysisException as missing:
+            if missing.getCondition() == "PATH_NOT_FOUND":
+                return 0
             raise
 
     def history(self, buckets: list[int] | None = None) -> DataFrame:
-        """Changes still relevant: the last fold and the batches after it."""
-        typed = f"{CHANGE}, batch LONG, list_bucket INT"
-        upto = self._folded()
-        rows = self.spark.read.schema(typed).parquet(self.log).where(F.col("batch") > upto)
-        if upto >= 0:
-            rows = rows.unionByName(
-                self.spark.read.schema(f"{CHANGE}, list_bucket INT").parquet(f"{self.folds}/upto={upto}"),
-                allowMissingColumns=True,
-            )
+        """The changes that can still decide a row; ``buckets`` prunes the folders read."""
+        rows = self.spark.read.schema(LOGGED).parquet(self._path("changes", self.epoch()))
         if buckets is not None:
             rows = rows.where(F.col("list_bucket").isin(buckets))
         return rows.drop("batch", "list_bucket")
@@ -105,27 +104,20 @@ class LiveLists:
 
     def append(self, batch: DataFrame, batch_id: int) -> None:
         """Log one micro-batch; running it again for the same id changes nothing."""
-        reduced = latest(batch).withColumn("list_bucket", bucket())
-        reduced.write.mode("overwrite").partitionBy("list_bucket").parquet(f"{self.log}/batch={batch_id}")
-
-    def fold(self, upto: int) -> None:
-        """Reduce the log up to a batch; readers switch once its mark is written."""
-        typed = f"{CHANGE}, batch LONG, list_bucket INT"
-        older = self.spark.read.schema(typed).parquet(self.log).where(F.col("batch") <= upto).drop("batch")
-        before = self._folded()
-        if before >= upto:
-            return
-        if before >= 0:
-            earlier = self.spark.read.schema(f"{CHANGE}, list_bucket INT").parquet(f"{self.folds}/upto={before}")
-            fresh = self.spark.read.schema(typed).parquet(self.log)
-            older = fresh.where((F.col("batch") > before) & (F.col("batch") <= upto)).drop("batch").unionByName(earlier)
-        folded = latest(older.drop("list_bucket")).withColumn("list_bucket", bucket())
-        folded.write.mode("overwrite").partitionBy("list_bucket").parquet(f"{self.folds}/upto={upto}")
-        self.spark.range(1).select(F.lit(upto).cast("long").alias("upto")).write.mode("append").parquet(self.marks)
-
-    def refresh(self, batch: DataFrame, batch_id: int, budget: DataFrame) -> None:
-        """Recompute budget and categories of just the lists a batch touched."""
-        touched = self.spark.read.parquet(f"{self.log}/batch={batch_id}").select("list_id", "list_bucket").distinct()
+        self._log(latest(batch), batch_id // self.fold_every, batch_id)
+
+    def _log(self, changes: DataFrame, epoch: int, batch_id: int) -> None:
+        spread = changes.withColumn("list_bucket", bucket())
+        spread.write.mode("overwrite").partitionBy("list_bucket").parquet(self._path("changes", epoch, batch_id))
+
+    def _keep(self, kind: str, rows: DataFrame, epoch: int, batch_id: int) -> None:
+        rows.write.mode("overwrite").parquet(self._path(kind, epoch, batch_id))
+
+    def refresh(self, batch_id: int, budget: DataFrame) -> None:
+        """Recompute budget and categories of just the lists a logged batch touched."""
+        epoch = batch_id // self.fold_every
+        logged = self.spark.read.parquet(self._path("changes", epoch, batch_id))
+        touched = logged.select("list_id", "list_bucket").distinct()
         # At most BUCKETS small numbers; they prune the folders of the log that are read.
         buckets = [r.list_bucket for r in touched.select("list_bucket").distinct().collect()]
         lists = touched.select("list_id")
@@ -133,37 +125,48 @@ class LiveLists:
         status = budget_status(budget.join(lists, "list_id", "left_semi"), items)
         # A touched list with neither budget nor items left still gets its empty state.
         status = lists.join(status, "list_id", "left").fillna("none", ["status"])
-        status.write.mode("overwrite").parquet(f"{self.budgets}/batch={batch_id}")
-        category_rollup(items).write.mode("overwrite").parquet(f"{self.rollups}/batch={batch_id}")
+        self._keep("budgets", status, epoch, batch_id)
+        self._keep("rollups", category_rollup(items), epoch, batch_id)
+
+    def fold(self, batch_id: int, with_budget: bool) -> None:
+        """End the epoch of ``batch_id``; readers move on once its mark is written."""
+        epoch = batch_id // self.fold_every
+        if epoch < self.epoch():
+            return
+        self._log(latest(self.history()), epoch + 1, batch_id)
+        if with_budget:
+            self._keep("budgets", self.live_budget(), epoch + 1, batch_id)
+            self._keep("rollups", self.live_rollup(), epoch + 1, batch_id)
+        self.spark.range(epoch, epoch + 1).toDF("epoch").write.mode("append").parquet(self.marks)
 
     def live_budget(self) -> DataFrame:
         """Status of every list as of the last batch that touched it."""
-        rows = self.spark.read.parquet(self.budgets)
+        rows = self.spark.read.parquet(self._path("budgets", self.epoch()))
         fields = [c for c in rows.columns if c not in ("list_id", "batch")]
         last = F.max_by(F.struct(*fields), "batch").alias("_last")
         return rows.groupBy("list_id").agg(last).select("list_id", "_last.*")
 
     def live_rollup(self) -> DataFrame:
         """Categories of every list as of the last batch that touched it."""
-        state = self.spark.read.parquet(self.budgets).groupBy("list_id").agg(F.max("batch").alias("batch"))
-        return self.spark.read.parquet(self.rollups).join(state, ["list_id", "batch"], "left_semi").drop("batch")
-
-    def start(self, changes: DataFrame, budget: DataFrame | None = None, fold_every: int = 50) -> StreamingQuery:
+        epoch = self.epoch()
+        touched = self.spark.read.parquet(self._path("budgets", epoch)).groupBy("list_id").agg(F.max("batch").alias("batch"))
+        rows = self.spark.read.parquet(self._path("rollups", epoch))
+        return rows.join(touched, ["list_id", "batch"], "left_semi").drop("batch")
+
+    def take(self, batch: DataFrame, batch_id: int, budget: DataFrame | None = None) -> None:
+        """Everything done for one micro-batch; safe to repeat after a failure."""
+        self.append(batch, batch_id)
+        if batch_id // self.fold_every < self.epoch():
+            return  # repeated after its epoch was folded
+        if budget is not None:
+            self.refresh(batch_id, budget)
+        if (batch_id + 1) % self.fold_every == 0:
+            self.fold(batch_id, budget is not None)
+
+    def start(self, changes: DataFrame, budget: DataFrame | None = None) -> StreamingQuery:
         """Process what the source holds now, then stop; run again to go on."""
-
-        def take(batch: DataFrame, batch_id: int) -> None:
-            self.append(batch, batch_id)
-            if budget is not None:
-                self.refresh(batch, batch_id, budget)
-            if batch_id and batch_id % fold_every == 0:
-                self.fold(batch_id)
-
-        return (
-            changes.writeStream.foreachBatch(take)
-            .option("checkpointLocation", self.checkpoints)
-            .trigger(availableNow=True)
-            .start()
-        )
+        sink = changes.writeStream.foreachBatch(lambda batch, batch_id: self.take(batch, batch_id, budget))
+        return sink.option("checkpointLocation", f"{self.folder}/checkpoints").trigger(availableNow=True).start()
 
 
 def as_buylist(current: DataFrame) -> DataFrame:
