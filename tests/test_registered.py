@@ -38,7 +38,11 @@ def test_every_query_is_checked():
 
 @pytest.mark.parametrize("key", sorted(QUERIES))
 def test_query(spark, db, folder, key):
-    assert spark_rows(QUERIES[key](spark, folder)) == sql_rows(db, ORACLES[key])
+    result = QUERIES[key](spark, folder)
+    assert spark_rows(result) == sql_rows(db, ORACLES[key])
+    plan = result._jdf.queryExecution().executedPlan().toString()
+    for bad in ("NestedLoop", "CartesianProduct", "Python"):
+        assert bad not in plan
 
 
 @pytest.mark.parametrize("key", HOT)

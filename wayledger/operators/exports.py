@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from wayledger.functions import clock
 from wayledger.functions.money import exact_sum, money_text, or_zero
 from wayledger.functions.text import component_encode, csv_escape, form_encode, ics_escape, js_trim
-from wayledger.operators.itinerary import down, labelled, up
+from wayledger.operators.itinerary import down, labelled, not_true, up
 from wayledger.operators.quality import TAG_LENGTH
 from wayledger.operators.shopping import (
     PUBLIC_URGENCY_LABELS,
@@ -215,7 +215,7 @@ def _valid_requests(requests: DataFrame) -> DataFrame:
 def public_share(buylist: DataFrame, requests: DataFrame) -> DataFrame:
     """Unbought items of each asked tag, allowed columns only, dearest first."""
     label = labelled(F.col("urgency"), PUBLIC_URGENCY_LABELS, "")
-    open_items = buylist.where(~flag("bought")).select("list_id", *PUBLIC_FIELDS, label.alias("urgency_label"))
+    open_items = buylist.where(not_true("bought")).select("list_id", *PUBLIC_FIELDS, label.alias("urgency_label"))
     shared = open_items.join(_valid_requests(requests), ["list_id", "tag"], "left_semi")
     hot = hot_keys(open_items, ["list_id", "tag"])
     return ranked(shared, ["list_id", "tag"], [*down("price"), *up("id")], hot=hot)

@@ -75,8 +75,18 @@ def items_candidates(items: DataFrame) -> DataFrame:
     return ranked(items.where(F.col("day_number").isNull()), ["trip_id"], up("id"))
 
 
+def is_true(name: str) -> Column:
+    """Filter form of a flag: reaches the file scan."""
+    return F.col(name)
+
+
+def not_true(name: str) -> Column:
+    """Filter form of a flag that is false or missing: reaches the file scan."""
+    return F.col(name).isNull() | ~F.col(name)
+
+
 def needs_attention() -> Column:
-    return F.coalesce("confirm_required", F.lit(False)) & ~F.coalesce("is_confirmed", F.lit(False))
+    return is_true("confirm_required") & not_true("is_confirmed")
 
 
 def items_unconfirmed_required(items: DataFrame) -> DataFrame:
@@ -95,7 +105,7 @@ def items_filtered(
     elif day is not None:
         chosen = chosen.where(F.col("day_number") == day)
     if only_unconfirmed:
-        chosen = chosen.where(~F.coalesce("is_confirmed", F.lit(False)))
+        chosen = chosen.where(not_true("is_confirmed"))
     return ranked(chosen, ["trip_id"], up("day_number", "start_time", "id"))
 
 

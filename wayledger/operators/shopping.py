@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wayledger.functions.money import exact_sum, money_text, or_zero
 from wayledger.functions.text import js_trim, text_or
-from wayledger.operators.itinerary import down, headline, labelled, up
+from wayledger.operators.itinerary import down, headline, is_true, labelled, not_true, up
 from wayledger.operators.skew import Running, hot_keys, ranked, running
 
 # Labels shown for stored codes, the category order, the urgency order.
@@ -32,6 +32,11 @@ def active() -> Column:
     return flag("this_month") & ~flag("bought")
 
 
+def wanted() -> Column:
+    """``active`` as a filter."""
+    return is_true("this_month") & not_true("bought")
+
+
 def category() -> Column:
     return text_or(F.col("category"), DEFAULT_CATEGORY)
 
@@ -56,11 +61,11 @@ def buylist_visible(
 ) -> DataFrame:
     """Items matching every given filter; the search text is literal, never a pattern."""
     out = buylist
-    wanted = search.strip().lower()
-    if wanted:
+    sought = search.strip().lower()
+    if sought:
         fields = [F.lower(F.coalesce(c, F.lit(""))) for c in ("name", "note", "tag", "category")]
-        out = out.where(F.greatest(*[f.contains(wanted) for f in fields]))
-    conditions = {"month": active(), "bought": flag("bought"), "starred": flag("bought") & flag("starred")}
+        out = out.where(F.greatest(*[f.contains(sought) for f in fields]))
+    conditions = {"month": wanted(), "bought": is_true("bought"), "starred": is_true("bought") & is_true("starred")}
     if status in conditions:
         out = out.where(conditions[status])
     if category_is != "all":
@@ -69,11 +74,11 @@ def buylist_visible(
 
 
 def buylist_this_month(buylist: DataFrame) -> DataFrame:
-    return buylist.where(active())
+    return buylist.where(wanted())
 
 
 def repurchase_candidates(buylist: DataFrame) -> DataFrame:
-    return ranked(buylist.where(flag("bought") & flag("starred")), ["list_id"], [*down("created_at"), *up("id")])
+    return ranked(buylist.where(is_true("bought") & is_true("starred")), ["list_id"], [*down("created_at"), *up("id")])
 
 
 def wishlist_by_status(buylist: DataFrame, status: str | None = None) -> DataFrame:
@@ -81,11 +86,16 @@ def wishlist_by_status(buylist: DataFrame, status: str | None = None) -> DataFra
     known = None if status is None else status.strip().lower()
     if known not in (None, "pending", "purchased"):
         raise ValueError(f"status must be pending or purchased, not {status!r}")
-    listed = buylist.withColumn("status", F.when(flag("bought"), "purchased").otherwise("pending"))
-    chosen = listed if known is None else listed.where(F.col("status") == known)
+    chosen = _of_status(buylist, known).withColumn("status", F.when(flag("bought"), "purchased").otherwise("pending"))
     return ranked(chosen, ["list_id"], [*down("created_at"), *up("id")])
 
 
+def _of_status(buylist: DataFrame, status: str | None) -> DataFrame:
+    if status is None:
+        return buylist
+    return buylist.where(is_true("bought") if status == "purchased" else not_true("bought"))
+
+
 def legacy_wishlist(wishlist: DataFrame) -> DataFrame:
     """The older list per user, in sections by status with their sizes."""
     known = wishlist.where(F.col("status").isin("pending", "purchased"))
@@ -95,8 +105,8 @@ def legacy_wishlist(wishlist: DataFrame) -> DataFrame:
 
 
 def sauces_ranked(sauces: DataFrame, search: str = "") -> DataFrame:
-    wanted = search.strip().lower()
-    chosen = sauces.where(F.lower(F.coalesce("name", F.lit(""))).contains(wanted)) if wanted else sauces
+    sought = search.strip().lower()
+    chosen = sauces.where(F.lower(F.coalesce("name", F.lit(""))).contains(sought)) if sought else sauces
     return ranked(chosen, ["list_id"], [*down("repurchase", "created_at"), *up("id")])
 
 
@@ -154,9 +164,9 @@ def buylist_sort_days(buylist: DataFrame, as_of: datetime.datetime) -> DataFrame
 
 def budget_status(budget: DataFrame, buylist: DataFrame) -> DataFrame:
     """Month total against the budget of each list; lists on either side are kept."""
-    wanted = F.when(active(), or_zero(F.col("price")))
+    now = F.when(active(), or_zero(F.col("price")))
     later = F.when(active(), or_zero(F.col("recurring_cost")))
-    totals = buylist.groupBy("list_id").agg(exact_sum(wanted).alias("total"), exact_sum(later).alias("recurring"))
+    totals = buylist.groupBy("list_id").agg(exact_sum(now).alias("total"), exact_sum(later).alias("recurring"))
     joined = budget.select("list_id", "monthly_budget").join(totals, "list_id", "full")
     zero = F.lit(0).cast("decimal(20,2)")
     limit = F.coalesce(F.col("monthly_budget").cast("decimal(20,2)"), zero)
@@ -199,13 +209,13 @@ def category_rollup(visible: DataFrame, order: list[str] | None = None) -> DataF
     return placed.withColumn("all_bought", F.col("unbought") == 0).drop("_first", "_known")
 
 
-def _with_cell(wanted: DataFrame) -> DataFrame:
+def _with_cell(items: DataFrame) -> DataFrame:
     """Cell of each wanted item: urgent or not, and at or above the upper median price.
 
     Prices are compared through counts: an item is at or above the median when at least
     ``n div 2 + 1`` prices of its list are not greater than its own.
     """
-    rows = wanted.withColumn("_price", or_zero(F.col("price")))
+    rows = items.withColumn("_price", or_zero(F.col("price")))
     hot = hot_keys(rows, ["list_id"])
     cold, heavy = hot.split(rows)
     whole = Window.partitionBy("list_id")
@@ -235,7 +245,7 @@ def _with_cell(wanted: DataFrame) -> DataFrame:
 
 
 def price_urgency_matrix(buylist: DataFrame) -> DataFrame:
-    return _with_cell(buylist.where(active()))
+    return _with_cell(buylist.where(wanted()))
 
 
 def matrix_counts(buylist: DataFrame) -> DataFrame:
@@ -280,9 +290,8 @@ def tag_unbought_counts(buylist: DataFrame) -> DataFrame:
 def list_headline(buylist: DataFrame, status: str | None = None) -> DataFrame:
     """Per list: how many items a status listing has and the first three names."""
     known = None if status is None else status.strip().lower()
-    chosen = {None: buylist, "pending": buylist.where(~flag("bought")), "purchased": buylist.where(flag("bought"))}[known]
     newest = -F.unix_micros(F.col("created_at").cast("timestamp"))
-    lines = headline(chosen, ["list_id"], [newest, F.col("id")], F.col("name"))
+    lines = headline(_of_status(buylist, known), ["list_id"], [newest, F.col("id")], F.col("name"))
     count = F.concat(F.lit(f"購物清單{SCOPES[known]}共 "), F.col("n").cast("string"))
     return lines.withColumn("summary", F.concat(count, F.lit(" 筆，例如："), "head", F.lit("。")))
 
@@ -320,7 +329,7 @@ def bulk_add_rows(pastes: DataFrame, added_by: str = "") -> DataFrame:
 
 def repurchase_copy(buylist: DataFrame, picks: DataFrame, added_by: str, as_of: datetime.datetime) -> DataFrame:
     """Picked starred items as new, not yet bought rows; ``source_id`` names the original."""
-    chosen = buylist.where(flag("bought") & flag("starred")).join(picks.select("id"), "id", "left_semi")
+    chosen = buylist.where(is_true("bought") & is_true("starred")).join(picks.select("id"), "id", "left_semi")
     return chosen.select(
         F.col("id").alias("source_id"),
         "list_id",

@@ -107,7 +107,8 @@ class LiveLists:
         self._log(latest(batch), batch_id // self.fold_every, batch_id)
 
     def _log(self, changes: DataFrame, epoch: int, batch_id: int) -> None:
-        spread = changes.withColumn("list_bucket", bucket())
+        # Few files per bucket, more where a bucket is large.
+        spread = changes.withColumn("list_bucket", bucket()).hint("rebalance", F.col("list_bucket"))
         spread.write.mode("overwrite").partitionBy("list_bucket").parquet(self._path("changes", epoch, batch_id))
 
     def _keep(self, kind: str, rows: DataFrame, epoch: int, batch_id: int) -> None:
