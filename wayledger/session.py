@@ -17,6 +17,8 @@ _RUNTIME = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # A join in front of a window keeps its skew split even though that costs one more exchange.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Automatic broadcasts go by file sizes; in memory the rows take several times as much.
+    "spark.sql.sources.fileCompressionFactor": "4.0",
 }
 
 

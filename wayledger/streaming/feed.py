@@ -122,12 +122,16 @@ class LiveLists:
         # At most BUCKETS small numbers; they prune the folders of the log that are read.
         buckets = [r.list_bucket for r in touched.select("list_bucket").distinct().collect()]
         lists = touched.select("list_id")
-        items = as_buylist(self.current_items(buckets)).join(lists, "list_id", "left_semi")
-        status = budget_status(budget.join(lists, "list_id", "left_semi"), items)
-        # A touched list with neither budget nor items left still gets its empty state.
-        status = lists.join(status, "list_id", "left").fillna("none", ["status"])
-        self._keep("budgets", status, epoch, batch_id)
-        self._keep("rollups", category_rollup(items), epoch, batch_id)
+        # Both results read the touched lists' items, which are reduced from the log once.
+        items = as_buylist(self.current_items(buckets)).join(lists, "list_id", "left_semi").persist()
+        try:
+            status = budget_status(budget.join(lists, "list_id", "left_semi"), items)
+            # A touched list with neither budget nor items left still gets its empty state.
+            status = lists.join(status, "list_id", "left").fillna("none", ["status"])
+            self._keep("budgets", status, epoch, batch_id)
+            self._keep("rollups", category_rollup(items), epoch, batch_id)
+        finally:
+            items.unpersist()
 
     def fold(self, batch_id: int, with_budget: bool) -> None:
         """End the epoch of ``batch_id``; readers move on once its mark is written."""
