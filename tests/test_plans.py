@@ -72,6 +72,7 @@ def test_shuffles(stored):
     items, trips, buylist = stored["items"], stored["trips"], stored["buylist_items"]
     assert shuffles(itinerary.checklist_order(items)) == 1
     assert shuffles(timeline.conflict_flags(items)) == 1
+    assert shuffles(timeline.overlap_counts(items)) == 1
     assert shuffles(timeline.overlap_clusters(items)) == 1
     assert shuffles(timeline.timeline_columns(items)) == 1
     assert shuffles(itinerary.checklist_sections(items)) == 0

@@ -14,6 +14,7 @@ HOT = [
     "checklist_order",
     "day_plan",
     "overlap_pairs",
+    "overlap_counts",
     "conflict_flags",
     "overlap_clusters",
     "buylist_sort_default",

@@ -38,7 +38,7 @@ def overlap(a, b):
 
 
 def walk(data):
-    """(cluster, column, columns, conflict) per item, by trying one item after the other."""
+    """(cluster, column, columns, overlaps) per item, by trying one item after the other."""
     days, out = {}, {}
     for id_, trip, number, start, length in data:
         if number is not None and start and start.replace(":", "").isdigit():
@@ -58,8 +58,8 @@ def walk(data):
                 at = free[0] if free else len(columns)
                 columns += [[]] if not free else []
                 columns[at].append(item)
-                conflict = any(o[2] != item[2] and overlap(o, item) for o in items)
-                out[item[2]] = [cluster, at, None, conflict]
+                overlaps = sum(o[2] != item[2] and overlap(o, item) for o in items)
+                out[item[2]] = [cluster, at, None, overlaps]
             for item in group:
                 out[item[2]][2] = len(columns)
     return {k: tuple(v) for k, v in out.items()}
@@ -73,11 +73,13 @@ def test_columns_and_conflicts_match_the_walk(spark, data, hot_rows):
     try:
         columns = timeline.timeline_columns(items).collect()
         conflicts = {r.id: r.conflict for r in timeline.conflict_flags(items).collect()}
+        counts = {r.id: r.overlaps for r in timeline.overlap_counts(items).collect()}
         pairs = {r.id: r.partner_id for r in timeline.overlap_pairs(items).collect()}
     finally:
         spark.conf.unset(HOT_ROWS)
     want = walk(data)
-    assert {r.id: (r.cluster, r.col, r.cols, conflicts[r.id]) for r in columns} == want
+    assert {r.id: (r.cluster, r.col, r.cols, counts[r.id]) for r in columns} == want
+    assert conflicts == {k: v[3] > 0 for k, v in want.items()}
     assert set(pairs) == {k for k, v in want.items() if v[3]}
     spans = {d[0]: (minutes(d[3]), minutes(d[3]) + (d[4] or 0)) for d in data if d[0] in want}
     assert all(overlap(spans[a], spans[b]) and a != b for a, b in pairs.items())

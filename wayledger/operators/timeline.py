@@ -84,8 +84,8 @@ def overlap_pairs(items: DataFrame) -> DataFrame:
     """One overlapping partner for each timed item that has any.
 
     The partner is the furthest-reaching earlier item, else the first lasting item of the
-    same minute (for that one itself, the last), else the next item.  The result has at most one row per item, where
-    listing every pair would grow with the square of a busy day.
+    same minute (for that one itself, the last), else the next item.  ``overlap_counts``
+    tells how many there are in all.
     """
     lasts = F.col("e") > F.col("s")
     other = F.when(F.col("low") != F.col("id"), F.col("low")).otherwise(F.col("high"))
@@ -98,6 +98,55 @@ def overlap_pairs(items: DataFrame) -> DataFrame:
     return paired.where(F.col("partner_id").isNotNull()).select(*DAY, "id", "partner_id")
 
 
+def overlap_counts(items: DataFrame) -> DataFrame:
+    """How many other items of its day each timed item overlaps.
+
+    An item overlaps all that begin before its end, less those that end by its start; both
+    numbers are running counts over the day's minutes, so no pair is ever formed.
+    """
+    cold, heavy = _hot_days(items).split(timed(items))
+    counted = _running_marks(_marks(cold))
+    opening, closing = F.col("opens") == 1, F.col("closes") == 1
+    out = counted.groupBy(*DAY, "id").agg(
+        F.max(F.when(opening, F.col("ended"))).alias("ended"),
+        F.max(F.when(opening, F.col("points"))).alias("points"),
+        F.max(F.when(closing, F.col("begun"))).alias("begun"),
+        F.max("lasts").alias("lasts"),
+    )
+    if heavy is not None:
+        sums = [F.sum(c).alias(c) for c in ("opens", "closes", "point")]
+        minutes = _running_marks(_marks(heavy).groupBy(*DAY, "t").agg(*sums))
+        starts = minutes.select(*DAY, F.col("t").alias("s"), "ended", "points")
+        ends = minutes.select(*DAY, F.col("t").alias("e"), "begun")
+        found = salted_lookup(heavy, starts, [*DAY, "s"], "id", "inner")
+        found = salted_lookup(found, ends, [*DAY, "e"], "id", "inner").withColumn("lasts", F.col("e") > F.col("s"))
+        out = out.unionByName(found.select(*out.columns))
+    others = F.when(F.col("lasts"), F.col("begun") - F.col("ended") - 1).otherwise(
+        F.col("begun") - F.col("ended") + F.col("points")
+    )
+    return out.select(*DAY, "id", others.alias("overlaps"))
+
+
+def _marks(rows: DataFrame) -> DataFrame:
+    """Two rows per item: where it begins and where it ends."""
+    point = (F.col("e") <= F.col("s")).cast("int")
+    opens = F.struct(F.col("s").alias("t"), F.lit(1).alias("opens"), F.lit(0).alias("closes"), point.alias("point"))
+    closes = F.struct(F.col("e").alias("t"), F.lit(0).alias("opens"), F.lit(1).alias("closes"), F.lit(0).alias("point"))
+    return rows.select(*DAY, "id", (F.col("e") > F.col("s")).alias("lasts"), F.inline(F.array(opens, closes)))
+
+
+def _running_marks(marks: DataFrame) -> DataFrame:
+    """Ends up to each minute, beginnings before it, and items without length in it."""
+    order = Window.partitionBy(*DAY).orderBy("t")
+    return marks.withColumns(
+        {
+            "ended": F.sum("closes").over(order.rangeBetween(Window.unboundedPreceding, 0)),
+            "begun": F.coalesce(F.sum("opens").over(order.rangeBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+            "points": F.sum("point").over(order.rangeBetween(0, 0)),
+        }
+    )
+
+
 def conflict_flags(items: DataFrame) -> DataFrame:
     """Whether each timed item overlaps any other of its day."""
     shared = (F.col("e") > F.col("s")) & (F.col("low") < F.col("high"))

@@ -28,6 +28,15 @@ def _(t):
     return timeline.overlap_pairs(t.items)
 
 
+@query(
+    "overlap_counts",
+    f"""with {_TIMED}
+    select trip_id, day_number, id, (select count(*) from timed b where {_PAIR}) as overlaps from timed a""",
+)
+def _(t):
+    return timeline.overlap_counts(t.items)
+
+
 @query(
     "conflict_flags",
     f"""with {_TIMED}
