@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wayledger.llm import notices, sharding
 from wayledger.llm.pieces import Pieces
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,3 +41,46 @@ def pieces(spark: SparkSession, folder: str) -> DataFrame:
         model.decode(F.col("ids")).eqNullSafe(F.col("text")).alias("round_trip"),
         "ids",
     )
+
+
+@query("op5_shards")
+def shards(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents shuffled into 16 shards of counts at most one apart."""
+    documents = table(spark, folder, "documents")
+    size = sharding.record_bytes(F.col("text"))
+    buckets = sharding.count_buckets(documents, size)
+    shuffled = sharding.shuffle_into_shards(documents, ["doc_id", "text"], 16, buckets)
+    return shuffled.select(
+        "doc_id",
+        size.alias("size"),
+        F.crc32(F.col("text").cast("binary")).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+@query("op6_notices")
+def licence_notices(spark: SparkSession, folder: str) -> DataFrame:
+    """Licence notices of every document: places of the base phrases, labels, and how near the best notice is."""
+    documents = table(spark, folder, "documents")
+    found = documents.select("doc_id", notices.notice_spans(spark, F.col("text")).alias("found"))
+    found = found.select("doc_id", "found.n_words", "found.spans")
+    base = F.filter("spans", lambda s: (s.edits == 0) & s.phrase.isin(*notices.BASE))
+
+    def labels(spans):
+        return F.array_join(F.array_sort(F.array_distinct(F.transform(spans, lambda s: s.label))), ",")
+
+    nearness = F.transform("spans", lambda s: 1 - s.edits / F.length(s.phrase))
+    return found.withColumn("base", base).select(
+        "doc_id",
+        "n_words",
+        F.size("base").cast("long").alias("n_base"),
+        F.array_min(F.transform("base", lambda s: s.first_word)).alias("first_word"),
+        F.array_max(F.transform("base", lambda s: s.first_word)).alias("last_word"),
+        labels("base").alias("base_labels"),
+        labels("spans").alias("labels"),
+        F.coalesce(F.array_max(nearness), F.lit(0.0)).alias("score"),
+        "spans",
+    )
