@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayledger.llm import notices, sharding
+from wayledger.llm import notices, quality, sharding, toxicity
 from wayledger.llm.pieces import Pieces
+from wayledger.llm.training import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -84,3 +85,25 @@ def licence_notices(spark: SparkSession, folder: str) -> DataFrame:
         F.coalesce(F.array_max(nearness), F.lit(0.0)).alias("score"),
         "spans",
     )
+
+
+def judged(documents: DataFrame, folds: int, held_out: int, score) -> DataFrame:
+    """The columns that the queries of trained operators return."""
+    scored = documents.select("doc_id", (fold(F.col("doc_id"), folds) == held_out).alias("held_out"), score.alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+@query("op9_toxicity")
+def toxic(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's probability of being toxic, learnt from the labels outside fold 0 of 5."""
+    documents, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    model = toxicity.train(documents, labels, fold(F.col("doc_id"), 5) != 0)
+    return judged(documents, 5, 0, model.score(spark, F.col("text")))
+
+
+@query("op4_quality")
+def good(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's probability of being of good quality, learnt from the labels outside fold 1 of 3."""
+    documents, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    model = quality.train(documents, labels, fold(F.col("doc_id"), 3) != 1)
+    return judged(documents, 3, 1, model.score(spark, F.col("text")))
