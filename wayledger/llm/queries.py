@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayledger.llm import notices, quality, sharding, toxicity
+from wayledger.llm import leaks, near, notices, quality, sharding, toxicity
 from wayledger.llm.pieces import Pieces
 from wayledger.llm.training import fold
 
@@ -107,3 +107,36 @@ def good(spark: SparkSession, folder: str) -> DataFrame:
     documents, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
     model = quality.train(documents, labels, fold(F.col("doc_id"), 3) != 1)
     return judged(documents, 3, 1, model.score(spark, F.col("text")))
+
+
+_A_TO_Z = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+
+@query(
+    "op7_near_duplicates",
+    rf"""with recursive words as (
+      select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), {_A_TO_Z}), '[\x20\x09-\x0D]+'),
+        lambda x: x <> '') as w from documents),
+    sets as (select doc_id, case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
+      else list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) end as s from words),
+    each as (select doc_id, len(s) as n, unnest(s) as shingle from sets),
+    pairs as (select a.doc_id as a, b.doc_id as b, any_value(a.n) as n_a, any_value(b.n) as n_b, count(*) as shared
+      from each a join each b on a.shingle = b.shingle and a.doc_id <> b.doc_id group by all),
+    links as (select a, b from pairs where 100 * shared >= 80 * (n_a + n_b - shared)),
+    reached as (select doc_id, doc_id as other from documents
+      union select r.doc_id, l.b from reached r join links l on l.a = r.other)
+    select s.doc_id, any_value(len(s)) as n_shingles, min(other) as component_id, s.doc_id = min(other) as kept
+    from sets s join reached r on r.doc_id = s.doc_id group by s.doc_id""",
+)
+def near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    """Component of every document under links of four-word shingle sets that overlap by 80 percent."""
+    found = near.near_classes(table(spark, folder, "documents"), forest=near.Forest(words=4))
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
+
+
+@query("op1_benchmark_leaks")
+def benchmark_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    """One row for each document and benchmark item of which it holds a passage."""
+    documents = table(spark, folder, "documents")
+    found = leaks.leaks(F.col("text"), table(spark, folder, "benchmark"))
+    return documents.select("doc_id", F.inline(found))
