@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayledger.llm import leaks, near, notices, quality, sharding, toxicity
+from wayledger.llm import chat, hosts, leaks, near, notices, quality, sharding, topk, toxicity
 from wayledger.llm.pieces import Pieces
 from wayledger.llm.training import fold
 
@@ -140,3 +140,41 @@ def benchmark_leaks(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
     found = leaks.leaks(F.col("text"), table(spark, folder, "benchmark"))
     return documents.select("doc_id", F.inline(found))
+
+
+#: The rules that url verdicts begin with.
+RULES = [
+    hosts.Rule("block", "net", "/"),
+    hosts.Rule("allow", "example.net", "/en/"),
+    hosts.Rule("block", "example.com", "/de/"),
+    hosts.Rule("allow", "org", "/fr/"),
+]
+
+
+@query("op2_url_verdicts")
+def url_verdicts(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page's verdict by rule or, without one, by the trust and distrust that reach its host."""
+    return hosts.judge(table(spark, folder, "pages"), RULES)
+
+
+_WHOLE = "list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint))"
+
+
+@query(
+    "op8_top_k",
+    f"""with vectors as (select vec_id, {_WHOLE} as v from embeddings where embedding is not null
+      and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+    scores as (select q.vec_id as query_id, c.vec_id, cast(list_dot_product(q.v, c.v) as bigint) as score
+      from vectors q join vectors c on q.vec_id <> c.vec_id where q.vec_id % 20 = 0),
+    ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scores)
+    select query_id, cast(rank as int) as rank, vec_id, score from ranked where rank <= 20""",
+)
+def top_k(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 best inner products of every twentieth vector with all others."""
+    return topk.top_k(table(spark, folder, "embeddings"), "vec_id", "embedding", F.col("id") % 20 == 0, 20, 64)
+
+
+@query("op3_chat_repair")
+def chat_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """The pieces of every conversation after the cheapest repair of its roles, as rendered."""
+    return chat.repair(table(spark, folder, "conversations"))
