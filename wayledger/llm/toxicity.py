@@ -6,8 +6,8 @@ the others.  Logistic regression on the features times their ratios is fitted by
 sample's partitions; its intercept is moved to the class shares of all labelled rows.  Features in few texts or with a
 small ratio have weight 0.
 
-Null and empty texts have no features and get the score of the intercept.  Without labelled rows of both classes every
-score is that of the class shares (0 if there are no labels at all).
+Null and empty texts have next to no features and get about the score of the intercept.  Without labelled texts of both
+classes every score is that of the class shares (0 if there are no labels at all).
 """
 
 from __future__ import annotations
@@ -103,7 +103,10 @@ def fit(sample: DataFrame, shares: tuple[int, int]) -> ToxicityModel:
         counts = [np.bincount(ids[of == k], minlength=size) for k in (0, 1)]
         return np.concatenate([*counts, [len(labels) - labels.sum(), labels.sum()]]).astype(float)
 
-    sums = partition_sums(rows, count)
+    # Whole numbers up to the sample's size, which four bytes hold.
+    sums = partition_sums(rows, count, "f4")
+    if sums is None or not sums[-2:].all():
+        return ToxicityModel(np.zeros(size), float(np.log(positive / negative)))
     q, p, (n_q, n_p) = sums[:size], sums[size:-2], sums[-2:]
     ratio = np.log((p + 1) / (n_p + 2)) - np.log((q + 1) / (n_q + 2))
     ratio[(p + q < FEWEST_TEXTS) | (np.abs(ratio) < LEAST_RATIO)] = 0

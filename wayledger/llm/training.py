@@ -42,8 +42,8 @@ def class_counts(labels: DataFrame) -> tuple[int, int]:
     return counts.get(0, 0), counts.get(1, 0)
 
 
-def partition_sums(rows: DataFrame, add: Callable[[pa.RecordBatch], np.ndarray]) -> np.ndarray | None:
-    """Sum ``add`` over all batches: each task sends one array, and there are as many as the sample has tasks."""
+def partition_sums(rows: DataFrame, add: Callable[[pa.RecordBatch], np.ndarray], kind: str = "f8") -> np.ndarray | None:
+    """Sum ``add`` over all batches: at most SAMPLE_TASKS tasks send one array each, of numbers of ``kind``."""
 
     def summed(batches):
         total = None
@@ -51,7 +51,11 @@ def partition_sums(rows: DataFrame, add: Callable[[pa.RecordBatch], np.ndarray])
             part = add(batch)
             total = part if total is None else total + part
         if total is not None:
-            yield pa.RecordBatch.from_pydict({"part": pa.array([total.tobytes()], pa.binary())})
-
-    parts = [np.frombuffer(row["part"]) for row in rows.mapInArrow(summed, "part binary").collect()]
-    return sum(parts) if parts else None
+            yield pa.RecordBatch.from_pydict({"part": pa.array([total.astype(kind).tobytes()], pa.binary())})
+
+    parts = rows.coalesce(SAMPLE_TASKS).mapInArrow(summed, "part binary").collect()
+    total = None
+    for row in parts:
+        part = np.frombuffer(row["part"], kind)
+        total = part.astype("f8") if total is None else total + part
+    return total
