@@ -60,12 +60,10 @@ def shuffle_into_shards(
 ) -> DataFrame:
     """All records with their shard and, from 0 without gaps, their place in it.
 
-    ``key`` names the columns that tell records apart.  Columns of ``records`` named like ``shard`` or ``slot`` are
-    refused, as are those starting with ``_shuffle``.
+    ``key`` names the columns that tell records apart.  Columns of ``records`` named like ``shard`` or ``slot`` give
+    way to the new ones.
     """
-    taken = {shard, slot} & set(records.columns) or [c for c in records.columns if c.startswith("_shuffle")]
-    if taken:
-        raise ValueError(f"column names in use: {sorted(taken)}")
+    records = records.drop(shard, slot)
     # A null and an absent value hash alike, so nulls get a place of their own.
     parts = [x for c in key for x in (F.col(c), F.col(c).isNull())]
     bucket = F.pmod(F.xxhash64(F.lit(seed), F.lit("bucket"), *parts), F.lit(buckets)).cast("int")
@@ -83,7 +81,8 @@ def shuffle_into_shards(
     placed = _offsets(counts).repartition(parts_n, "_bucket").sortWithinPartitions("_bucket")
     permuted = placed.select("_bucket", "_first", drawn).select("_bucket", "_first", F.posexplode("_drawn").alias("_at", "_to"))
     place = (F.col("_first") + F.col("_to")).alias("_place")
-    found = scattered.join(permuted, ["_bucket", "_at"]).select("_shuffle_row", place)
+    # Both sides lie by bucket, so the merge join moves nothing; a broadcast would grow with the records.
+    found = scattered.join(permuted.hint("merge"), ["_bucket", "_at"]).select("_shuffle_row", place)
     # Whole-number division, exact at any size.
     found = found.withColumn("_shard", F.expr(f"({shards} * (_place + 1) - 1) div greatest({total}, 1)"))
     within = F.expr(f"_place - (_shard * {total}L) div {shards}").alias(slot)
