@@ -95,6 +95,62 @@ def test_cascade(spark):
     assert cascade(spark, [(1, "09:00"), (2, None)], 1, "08:00", [2, 77, 1]) == {1: ("08:00", -60, None)}
     assert cascade(spark, [(1, None)], 1, "10:00", [1]) == {None: (None, None, "untimed_target")}
     assert cascade(spark, day, 9, "10:00", [2]) == {None: (None, None, "unknown_target")}
+    for unreadable in ("noon", "25:99", None, ""):
+        assert cascade(spark, day, 1, unreadable, [2]) == {None: (None, None, "bad_time")}
+
+
+def test_several_changes_of_one_row(spark):
+    """Each change starts from the state that the last one left, and the table keeps its rows."""
+    items = spark.createDataFrame([(1, 1, 1, "09:00", 60, 0), (2, 1, 1, "10:00", 60, 1), (3, 1, None, None, 60, 0)], PLAN_ITEM)
+    items = items.withColumn("is_confirmed", F.lit(False))
+    cols = "item_id long, at int, day_number int, start_time string, is_confirmed boolean, clear array<string>"
+    back = ["day_number", "start_time"]
+    patches = spark.createDataFrame(
+        [
+            (1, 1, None, None, None, back), (1, 2, None, None, True, []),
+            (2, 1, 2, "11:00", None, []), (2, 2, None, None, None, back), (2, 3, None, "12:00", None, None),
+            (3, 2, None, None, None, ["start_time"]), (3, 1, 1, "08:00", True, []), (3, 3, None, None, None, ["duration_minutes"]),
+        ],
+        cols,
+    )
+    rows = changes.patch_items(items, patches, "at").collect()
+    after = {r.id: (r.day_number, r.start_time, r.is_confirmed, r.duration_minutes) for r in rows}
+    assert len(rows) == 3
+    assert after == {1: (None, None, True, 60), 2: (None, "12:00", False, 60), 3: (1, None, True, None)}
+    twice = patches.select("item_id", "is_confirmed").where("item_id = 1")
+    assert changes.set_flags(items, twice.unionByName(twice)).count() == 3
+    ids = items.select("id").where("id < 3")
+    assert changes.unschedule_items(items.drop("is_confirmed"), ids.unionByName(ids)).count() == 3
+
+
+def test_requests_keep_their_order(spark):
+    items = spark.createDataFrame([(i, 1, None, None, 60, 0) for i in (1, 2)] + [(3, 1, 1, "09:00", 60, 4)], PLAN_ITEM)
+    asked = spark.createDataFrame(
+        [(2, 1, 1, "10:00"), (1, 2, 1, "11:00"), (2, 3, 1, "12:00"), (1, 0, 2, "01:00")],
+        "item_id long, at int, day_number int, start_time string",
+    )
+    rows = {r.id: (r.day_number, r.start_time, r.sort_order) for r in changes.schedule_items(items, asked, "at").collect()}
+    assert rows == {1: (1, "11:00", 5), 2: (1, "12:00", 6), 3: (1, "09:00", 4)}
+    budget = spark.createDataFrame([(1, Decimal(5), "2026-01")], "list_id long, monthly_budget decimal(12,2), last_cleared string")
+    asked = spark.createDataFrame([(1, 1, 7), (1, 2, 8), (2, 2, 4), (2, 1, 9)], "list_id long, at int, monthly_budget int")
+    stored = {r.list_id: r.monthly_budget for r in changes.upsert_budget(budget, asked, "at").collect()}
+    assert stored == {1: 8, 2: 4} and changes.upsert_budget(budget, asked.drop("at")).count() == 2
+
+
+def test_cascades_and_single_moves_are_applied_and_logged(spark):
+    items = spark.createDataFrame([(i, 1, 1, f"{8 + i:02d}:00", 60, i) for i in (1, 2, 3)], PLAN_ITEM)
+    requests = spark.createDataFrame([(5, 1, 2, "11:00")], "request_id long, trip_id long, target_id long, new_time string")
+    picks = spark.createDataFrame([(5, 3), (5, 2)], "request_id long, item_id long")
+    plan = planning.cascade_plan(items, requests, picks)
+    after, log = changes.apply_plans(items, changes.cascade_updates(items, plan))
+    assert {r.id: (r.start_time, r.sort_order) for r in after.collect()} == {1: ("09:00", 1), 2: ("11:00", 2), 3: ("12:00", 3)}
+    entry = log.first()
+    assert entry.instruction == changes.ADJUSTED
+    assert [(c.id, c.start_time) for c in entry.items_changed] == [(2, "11:00"), (3, "12:00")]
+    moves = spark.createDataFrame([(1, 1, "10:15"), (2, 2, "noon"), (3, 1, "9:40")], "request_id long, item_id long, new_time string")
+    after, log = changes.apply_plans(items, changes.cascade_updates(items, planning.single_plan(moves)))
+    assert {r.id: r.start_time for r in after.collect()} == {1: "9:40", 2: "10:00", 3: "11:00"}
+    assert log.count() == 1
 
 
 TRIP = "id long, username string, name string, start_date date, end_date date"

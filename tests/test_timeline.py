@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from wayledger.operators import timeline
+from wayledger.operators import quality, timeline
 from wayledger.session import HOT_ROWS
 
 ITEM = "id long, trip_id long, day_number int, start_time string, duration_minutes int"
@@ -85,6 +85,24 @@ def test_columns_and_conflicts_match_the_walk(spark, data, hot_rows):
     assert all(overlap(spans[a], spans[b]) and a != b for a, b in pairs.items())
 
 
+@pytest.mark.parametrize("pack_rows", [1, 4])
+def test_columns_packed_in_groups(spark, data, monkeypatch, pack_rows):
+    """Clusters over the size of the small ones, below the hot-key limit."""
+    monkeypatch.setattr(timeline, "PACK_ROWS", pack_rows)
+    columns = timeline.timeline_columns(spark.createDataFrame(data, ITEM)).collect()
+    want = walk(data)
+    assert {r.id: (r.cluster, r.col, r.cols) for r in columns} == {k: v[:3] for k, v in want.items()}
+
+
+def test_negative_lengths_take_no_part(spark):
+    items = spark.createDataFrame([(1, 1, 1, "09:00", 30), (2, 1, 1, "09:20", -60), (3, 1, 1, "09:25", 10)], ITEM)
+    assert {r.id: r.conflict for r in timeline.conflict_flags(items).collect()} == {1: True, 3: True}
+    assert {r.id: r.overlaps for r in timeline.overlap_counts(items).collect()} == {1: 1, 3: 1}
+    assert {(r.id, r.partner_id) for r in timeline.overlap_pairs(items).collect()} == {(1, 3), (3, 1)}
+    assert {r.id for r in timeline.timeline_columns(items).collect()} == {1, 3}
+    assert [r.id for r in quality.find(items, quality.bad_duration()).collect()] == [2]
+
+
 def test_same_minute_conflicts_only_when_both_last(spark):
     items = spark.createDataFrame(
         [(1, 1, 1, "09:00", 0), (2, 1, 1, "09:00", 30), (3, 2, 1, "09:00", 10), (4, 2, 1, "09:00", 30)], ITEM

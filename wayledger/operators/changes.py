@@ -16,7 +16,9 @@ from wayledger.operators.planning import append_sort_order
 from wayledger.operators.skew import HotKeys, hot_keys, ranked, with_part
 from wayledger.schemas import DEFAULTS, schema
 
+# Instructions of the history.
 REORDERED = "重新排序 Day "
+ADJUSTED = "手動調整"
 
 
 def _next_id(table: DataFrame) -> Column:
@@ -48,18 +50,42 @@ def insert_items(items: DataFrame, batch: DataFrame, source: str = "manual") ->
     return items.unionByName(fresh, allowMissingColumns=True)
 
 
-def fold_patches(patches: DataFrame, order: str) -> DataFrame:
-    """One patch per item: for every field the last value given."""
-    fields = [c for c in patches.columns if c not in ("item_id", order)]
-    last = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in fields]
-    return patches.groupBy("item_id").agg(*last)
+def _order(order: str | None, columns: list[str]) -> Column:
+    """The order of requests; without one, any that is the same each time."""
+    return F.col(order) if order is not None else F.xxhash64(*columns)
 
 
-def patch_items(table: DataFrame, patches: DataFrame) -> DataFrame:
-    """Overwrite the given fields of the named rows; one patch per row.
+def fold_patches(patches: DataFrame, order: str | None = None) -> DataFrame:
+    """One patch per item: for every field the last event, be it a value or a clearing, decides.
 
-    A field is set to null only when ``clear``, an array of field names, lists it.
+    A patch that gives a field and lists it in ``clear`` clears it.  The result has ``clear`` if ``patches`` has.
     """
+    fields = [c for c in patches.columns if c not in ("item_id", "clear", order)]
+    at = _order(order, patches.columns)
+    if "clear" not in patches.columns:
+        last = [F.max_by(c, F.when(F.col(c).isNotNull(), at)).alias(c) for c in fields]
+        return patches.groupBy("item_id").agg(*last) if last else patches.select("item_id").distinct()
+
+    def event(name: str) -> Column:
+        cleared = F.coalesce(F.array_contains("clear", name), F.lit(False))
+        value = F.when(~cleared, F.col(name)).alias("value")
+        return F.max_by(F.struct(value, cleared.alias("cleared")), F.when(cleared | F.col(name).isNotNull(), at))
+
+    # Fields that no patch gives can only have been cleared; distinct lists are few.
+    others = F.array_except(F.flatten(F.collect_set("clear")), F.array(*map(F.lit, fields)).cast("array<string>"))
+    folded = patches.groupBy("item_id").agg(others.alias("_others"), *[event(c).alias(f"_last_{c}") for c in fields])
+    gone = F.array(*[F.when(F.col(f"_last_{c}.cleared"), F.lit(c)) for c in fields]).cast("array<string>")
+    values = [F.col(f"_last_{c}.value").alias(c) for c in fields]
+    return folded.select("item_id", *values, F.concat(F.filter(gone, F.isnotnull), "_others").alias("clear"))
+
+
+def patch_items(table: DataFrame, patches: DataFrame, order: str | None = None) -> DataFrame:
+    """Overwrite the given fields of the named rows.
+
+    Several patches of one row are folded in ``order`` first, so the table keeps its rows.  A field is set to null
+    only when ``clear``, an array of field names, lists it.
+    """
+    patches = fold_patches(patches, order)
     fields = [c for c in patches.columns if c not in ("item_id", "clear")]
     clear = F.col("clear") if "clear" in patches.columns else F.array().cast("array<string>")
     given = patches.select(
@@ -80,10 +106,17 @@ def patch_items(table: DataFrame, patches: DataFrame) -> DataFrame:
     return joined.select(*[value(c) for c in table.columns])
 
 
-def schedule_items(items: DataFrame, requests: DataFrame) -> DataFrame:
-    """Put items on a day and time, behind the items that day already has."""
+def schedule_items(items: DataFrame, requests: DataFrame, order: str | None = None) -> DataFrame:
+    """Put items on a day and time, behind the items that day already has, in the order of the requests.
+
+    Of several requests for one item the last counts.  Without ``order`` the item id orders.
+    """
+    order = order or "item_id"
+    rest = [c for c in requests.columns if c != "item_id"]
+    at = F.struct(order, F.xxhash64(*requests.columns))
+    last = requests.groupBy("item_id").agg(F.max_by(F.struct(*rest), at).alias("_last")).select("item_id", "_last.*")
     known = items.select(F.col("id").alias("item_id"), "trip_id")
-    placed = append_sort_order(items, requests.join(known, "item_id"), "item_id")
+    placed = append_sort_order(items, last.join(known, "item_id"), order)
     return patch_items(items, placed.select("item_id", "day_number", "start_time", "sort_order"))
 
 
@@ -93,12 +126,12 @@ def unschedule_items(items: DataFrame, ids: DataFrame) -> DataFrame:
     return patch_items(items, ids.select(F.col("id").alias("item_id"), F.lit(0).alias("sort_order"), clear.alias("clear")))
 
 
-def set_flags(table: DataFrame, requests: DataFrame) -> DataFrame:
+def set_flags(table: DataFrame, requests: DataFrame, order: str | None = None) -> DataFrame:
     """Set confirmation, purchase, status or price fields of the named rows.
 
-    Requests may say ``purchased`` for the column ``bought``.
+    Requests may say ``purchased`` for the column ``bought``; those for one row are folded in ``order``.
     """
-    return patch_items(table, requests.withColumnRenamed("purchased", "bought"))
+    return patch_items(table, requests.withColumnRenamed("purchased", "bought"), order)
 
 
 def adjustment_log(updates: DataFrame, order: str = "pos", hot: HotKeys | None = None) -> DataFrame:
@@ -116,8 +149,12 @@ def adjustment_log(updates: DataFrame, order: str = "pos", hot: HotKeys | None =
 
 
 def apply_plans(items: DataFrame, updates: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Items with their planned times and positions, and the history rows of the plan."""
-    changes = updates.select(F.col("id").alias("item_id"), "start_time", F.col("sort_order"))
+    """Items with their planned times and positions, and the history rows of the plan.
+
+    ``updates`` has one row per item, as ``reorder_updates`` and ``cascade_updates`` give them; a null position leaves
+    an item's as it is.
+    """
+    changes = updates.select(F.col("id").alias("item_id"), "start_time", "sort_order")
     # A plan has one row per item, so the items bound the rows per trip.
     log = adjustment_log(updates, hot=hot_keys(items, ["trip_id"]))
     return patch_items(items, changes), log
@@ -129,6 +166,20 @@ def reorder_updates(plan: DataFrame) -> DataFrame:
     return plan.select("trip_id", "id", "start_time", "sort_order", F.col("sort_order").alias("pos"), told.alias("instruction"))
 
 
+def cascade_updates(items: DataFrame, plan: DataFrame, instruction: str = ADJUSTED) -> DataFrame:
+    """A cascade or single plan as updates: its rows without error, of an item moved more than once the last request.
+
+    The target comes first in the history row, then the items that move with it.
+    """
+    moved = plan.where(F.col("error").isNull())
+    first = F.when(F.col("is_target"), 0).otherwise(1)
+    last = F.max_by(F.struct("start_time", first.alias("pos")), "request_id").alias("_last")
+    last = moved.groupBy("id").agg(last).select("id", "_last.*")
+    known = items.select("id", "trip_id")
+    told, kept = F.lit(instruction).alias("instruction"), F.lit(None).cast("int").alias("sort_order")
+    return last.join(known, "id").select("trip_id", "id", "start_time", kept, "pos", told)
+
+
 def delete_rows(table: DataFrame, ids: DataFrame) -> DataFrame:
     return table.join(ids.select("id"), "id", "left_anti")
 
@@ -146,10 +197,10 @@ def orphan_items(trips: DataFrame, items: DataFrame) -> DataFrame:
     return items.join(trips.select(F.col("id").alias("trip_id")), "trip_id", "left_anti")
 
 
-def upsert_budget(budget: DataFrame, requests: DataFrame) -> DataFrame:
-    """Set the budget of each named list, adding lists that have none yet."""
-    asked = requests.select("list_id", F.coalesce("monthly_budget", F.lit(0)).cast("decimal(12,2)").alias("_new"))
-    joined = budget.join(asked, "list_id", "full")
+def upsert_budget(budget: DataFrame, requests: DataFrame, order: str | None = None) -> DataFrame:
+    """Set the budget of each named list, adding lists that have none yet; of several requests the last counts."""
+    asked = F.max_by(F.coalesce("monthly_budget", F.lit(0)).cast("decimal(12,2)"), _order(order, requests.columns))
+    joined = budget.join(requests.groupBy("list_id").agg(asked.alias("_new")), "list_id", "full")
     return joined.select(
         "list_id",
         F.coalesce("_new", "monthly_budget").alias("monthly_budget"),

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import datetime
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayledger.functions import clock
@@ -22,7 +22,7 @@ from wayledger.operators.shopping import (
     flag,
     trimmed_tag,
 )
-from wayledger.operators.skew import hot_keys, is_last_part, ranked, text_parts
+from wayledger.operators.skew import HotKeys, document_parts, hot_keys, ranked, spread_under
 
 # Formats, labels and addresses of the exported texts.
 CSV_HEADER = ["name", "location", "day", "time", "notes"]
@@ -89,8 +89,9 @@ def ics_documents(
     )
     events = ics_events(trips, items).withColumn("block", block)
     order = [*down("confirm_required"), *up("is_confirmed", "day_number", "start_time", "id")]
-    placed = ranked(events, ["trip_id"], order, "_pos", hot_keys(items, ["trip_id"]))
-    parts = text_parts(placed, ["trip_id"], "_pos", "block", {"trip_name": F.first("trip_name")})
+    hot = hot_keys(items, ["trip_id"])
+    placed = ranked(events, ["trip_id"], order, "_pos", hot)
+    parts = document_parts(placed, ["trip_id"], "_pos", "block", hot, extras={"trip_name": F.first("trip_name")})
     head = F.concat(
         F.lit(f"BEGIN:VCALENDAR{CRLF}VERSION:2.0{CRLF}PRODID:{product}{CRLF}CALSCALE:GREGORIAN{CRLF}"),
         line("X-WR-CALNAME:", ics_escape(F.coalesce(_present("trip_name"), F.lit(CALENDAR_NAME)))),
@@ -99,11 +100,10 @@ def ics_documents(
 
 
 def _document(parts: DataFrame, keys: list[str], head: Column, tail: Column) -> DataFrame:
-    marked = parts.withColumn("_last", is_last_part(keys))
     text = F.concat(
         F.when(F.col("part") == 0, head).otherwise(""), "body", F.when(F.col("_last"), tail).otherwise("")
     )
-    return marked.select(*keys, "part", text.alias("document"))
+    return parts.select(*keys, "part", text.alias("document"))
 
 
 def maps_csv_rows(items: DataFrame) -> DataFrame:
@@ -130,8 +130,10 @@ def maps_csv_documents(items: DataFrame) -> DataFrame:
     cells = F.concat_ws(",", *[csv_escape(F.col(c)) for c in CSV_HEADER])
     rows = maps_csv_rows(items).withColumn("line", F.concat(cells, F.lit(CRLF)))
     order = [*down("confirm_required"), *up("is_confirmed", "day_number", "start_time", "id")]
-    placed = ranked(rows, ["trip_id"], order, "_pos", hot_keys(items, ["trip_id"]))
-    parts = text_parts(placed, ["trip_id"], "_pos", "line")
+    hot = hot_keys(items, ["trip_id"])
+    placed = ranked(rows, ["trip_id"], order, "_pos", hot)
+    # No closing text, so nothing asks which part is the last and Catalyst drops what would tell.
+    parts = document_parts(placed, ["trip_id"], "_pos", "line", hot)
     return _document(parts, ["trip_id"], F.lit(",".join(CSV_HEADER) + CRLF), F.lit(""))
 
 
@@ -191,14 +193,12 @@ def buylist_markdown(buylist: DataFrame) -> DataFrame:
     lines = rows.unionByName(titles, allowMissingColumns=True)
     order = [(F.col("tag") == "").asc(), *up("tag", "kind", "bought", "created_at", "id")]
     # A blank line ends every section; it is written in front of all titles but the first.
-    placed = ranked(lines, ["list_id"], order, "_line_no", hot_keys(buylist, ["list_id"]))
+    hot = hot_keys(buylist, ["list_id"])
+    placed = ranked(lines, ["list_id"], order, "_line_no", hot)
     gap = F.when((F.col("kind") == 0) & (F.col("_line_no") > 1), F.lit("\n")).otherwise("")
     placed = placed.withColumn("line", F.concat(gap, "line"))
     sums = {"_items": F.count("id"), "_amount": exact_sum(F.col("amount"))}
-    parts = text_parts(placed, ["list_id"], "_line_no", "line", sums)
-    whole = Window.partitionBy("list_id")
-    items, amount = F.sum("_items").over(whole), F.sum("_amount").over(whole)
-    totalled = parts.withColumns({"_items": items, "_amount": amount})
+    totalled = document_parts(placed, ["list_id"], "_line_no", "line", hot, sums)
     tail = F.concat(
         F.lit("\n> 共 "), F.col("_items").cast("string"), F.lit(" 項，未購合計 "), money_text(F.col("_amount"))
     )
@@ -212,12 +212,12 @@ def _valid_requests(requests: DataFrame) -> DataFrame:
     return asked.where(F.length("tag") <= TAG_LENGTH).distinct()
 
 
-def public_share(buylist: DataFrame, requests: DataFrame) -> DataFrame:
+def public_share(buylist: DataFrame, requests: DataFrame, hot: HotKeys | None = None) -> DataFrame:
     """Unbought items of each asked tag, allowed columns only, dearest first."""
     label = labelled(F.col("urgency"), PUBLIC_URGENCY_LABELS, "")
     open_items = buylist.where(not_true("bought")).select("list_id", *PUBLIC_FIELDS, label.alias("urgency_label"))
     shared = open_items.join(_valid_requests(requests), ["list_id", "tag"], "left_semi")
-    hot = hot_keys(open_items, ["list_id", "tag"])
+    hot = hot or hot_keys(buylist, ["list_id", "tag"])
     return ranked(shared, ["list_id", "tag"], [*down("price"), *up("id")], hot=hot)
 
 
@@ -226,10 +226,10 @@ def share_json(buylist: DataFrame, requests: DataFrame) -> DataFrame:
     keys = ["list_id", "tag"]
     fields = F.struct(*PUBLIC_FIELDS, "urgency_label")
     entry = F.concat(F.lit(","), F.to_json(fields, {"ignoreNullFields": "false"}))
-    rows = public_share(buylist, requests).withColumn("entry", entry)
-    parts = text_parts(rows, keys, "rank", "entry", {"_n": F.count("*")})
-    marked = parts.withColumns({"_last": is_last_part(keys), "_n": F.sum("_n").over(Window.partitionBy(*keys))})
-    joined = _valid_requests(requests).join(marked, keys, "left").fillna(0, ["part", "_n"])
+    hot = hot_keys(buylist, keys)
+    rows = public_share(buylist, requests, hot).withColumn("entry", entry)
+    marked = document_parts(rows, keys, "rank", "entry", hot, {"_n": F.count("*")})
+    joined = spread_under(_valid_requests(requests), marked, keys, "part", hot).fillna(0, ["part", "_n"])
     body = F.when(F.col("part") == 0, F.substr("body", F.lit(2))).otherwise(F.col("body"))
     head = F.concat(
         F.lit('{"tag":'), F.to_json(F.array("tag")).substr(F.lit(2), F.length(F.to_json(F.array("tag"))) - 2),

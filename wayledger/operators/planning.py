@@ -6,7 +6,7 @@ over tasks; ``request_rows`` turns arrays of ids into that form.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayledger.functions import clock
@@ -59,14 +59,16 @@ def reorder_plan(items: DataFrame, requests: DataFrame) -> DataFrame:
 def cascade_plan(items: DataFrame, requests: DataFrame, picks: DataFrame) -> DataFrame:
     """New times of a target and of the items picked to move with it.
 
-    A request whose target is missing or has no time gives one row with ``error`` set.
+    A request whose target is missing or has no time, or whose new time can't be read, gives one row with ``error`` set.
     """
     times = items.select("trip_id", F.col("id"), "start_time", clock.time_to_minutes(F.col("start_time")).alias("_s"))
     targets = times.select("trip_id", F.col("id").alias("target_id"), "_s", F.lit(True).alias("_known"))
     resolved = requests.join(targets, ["trip_id", "target_id"], "left")
-    error = F.when(F.col("_known").isNull(), "unknown_target").when(F.col("_s").isNull(), "untimed_target")
+    error = (
+        F.when(F.col("_known").isNull(), "unknown_target").when(F.col("_s").isNull(), "untimed_target").when(bad_time(), "bad_time")
+    )
     resolved = resolved.withColumn("error", error).withColumn(
-        "delta_minutes", clock.time_to_minutes(F.col("new_time")) - F.col("_s")
+        "delta_minutes", F.when(F.col("error").isNull(), clock.time_to_minutes(F.col("new_time")) - F.col("_s"))
     )
     ahead = resolved.select(
         "request_id",
@@ -74,6 +76,7 @@ def cascade_plan(items: DataFrame, requests: DataFrame, picks: DataFrame) -> Dat
         F.when(F.col("error").isNull(), F.col("new_time")).alias("start_time"),
         "delta_minutes",
         "error",
+        F.lit(True).alias("is_target"),
     )
     going = resolved.where(F.col("error").isNull()).select("request_id", "trip_id", "target_id", "delta_minutes")
     along = (
@@ -89,13 +92,21 @@ def cascade_plan(items: DataFrame, requests: DataFrame, picks: DataFrame) -> Dat
         clock.minutes_to_time(F.col("_s") + F.col("delta_minutes")).alias("start_time"),
         "delta_minutes",
         F.lit(None).cast("string").alias("error"),
+        F.lit(False).alias("is_target"),
     )
     return ahead.unionByName(shifted)
 
 
+def bad_time() -> Column:
+    """Whether a request's new time is missing or no time of day."""
+    return ~clock.valid_time(F.col("new_time"), "suggestion")
+
+
 def single_plan(requests: DataFrame) -> DataFrame:
-    """Move one item, leave the rest."""
-    return requests.select(F.col("item_id").alias("id"), F.col("new_time").alias("start_time"))
+    """Move one item, leave the rest; a time that can't be read gives a row with ``error`` set and no time."""
+    error = F.when(bad_time(), F.lit("bad_time"))
+    time = F.when(~bad_time(), F.col("new_time")).alias("start_time")
+    return requests.select("request_id", F.col("item_id").alias("id"), time, error.alias("error"), F.lit(True).alias("is_target"))
 
 
 def append_sort_order(items: DataFrame, batch: DataFrame, order: str) -> DataFrame:

@@ -42,6 +42,11 @@ def bad_time() -> Column:
     return reason("bad_time", given & ~clock.valid_time(F.col("start_time"), "strict"))
 
 
+def bad_duration() -> Column:
+    """A length below zero; such items take no part in the overlap rules."""
+    return reason("bad_duration", F.col("duration_minutes") < 0)
+
+
 def time_without_day() -> Column:
     return reason("time_without_day", F.col("start_time").isNotNull() & F.col("day_number").isNull())
 
@@ -56,9 +61,11 @@ def time_on_candidate() -> Column:
     return reason("time_on_candidate", F.col("start_time").isNotNull() & day.isNull())
 
 
-def empty_patch(columns: list[str]) -> Column:
+def empty_patch(columns: list[str], candidates: bool = True) -> Column:
+    """No field given; going back to candidate is a change too where there are ``candidates``."""
     fields = [F.col(c).cast("string") for c in columns if c not in PATCH_KEYS]
-    return reason("empty_patch", ~F.coalesce("to_candidate", F.lit(False)) & F.coalesce(*fields).isNull())
+    kept = ~F.coalesce("to_candidate", F.lit(False)) if candidates else F.lit(True)
+    return reason("empty_patch", kept & F.coalesce(*fields).isNull())
 
 
 def unknown_id() -> Column:
@@ -175,5 +182,29 @@ def validate_patches(patches: DataFrame, items: DataFrame, trips: DataFrame) ->
     return ready.drop("to_candidate"), rejected
 
 
+def judge_trips(new_trips: DataFrame) -> DataFrame:
+    return new_trips.withColumn("reason", bad_date_range())
+
+
 def validate_trips(new_trips: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return _split(new_trips.withColumn("reason", bad_date_range()), new_trips.columns)
+    return _split(judge_trips(new_trips), new_trips.columns)
+
+
+def judge_buylist(batch: DataFrame) -> DataFrame:
+    """New shopping items: a name is needed, a given urgency must be known."""
+    return batch.withColumn("reason", F.coalesce(blank_name(), bad_urgency()))
+
+
+def judge_buylist_patches(patches: DataFrame, buylist: DataFrame) -> DataFrame:
+    """Changes of shopping items, one row per ``item_id``: known item, known urgency, at least one field given."""
+    known = buylist.select(F.col("id").alias("item_id"), F.lit(True).alias("known"))
+    reasons = F.coalesce(unknown_id(), bad_urgency(), empty_patch(patches.columns, False))
+    return patches.join(known, "item_id", "left").withColumn("reason", reasons)
+
+
+def validate_buylist(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return _split(judge_buylist(batch), batch.columns)
+
+
+def validate_buylist_patches(patches: DataFrame, buylist: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return _split(judge_buylist_patches(patches, buylist), patches.columns)

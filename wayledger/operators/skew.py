@@ -174,21 +174,44 @@ def with_part(placed: DataFrame, position: str) -> DataFrame:
     return placed.withColumn("part", F.expr(f"cast(({position} - 1) div {size} as int)"))
 
 
-def is_last_part(keys: list[str]) -> Column:
-    every = Window.partitionBy(*keys)
-    return F.col("part") == F.max("part").over(every)
+def document_parts(
+    placed: DataFrame,
+    keys: list[str],
+    position: str,
+    text: str,
+    hot: HotKeys,
+    sums: dict[str, Column] | None = None,
+    extras: dict[str, Column] | None = None,
+) -> DataFrame:
+    """``text_parts`` with ``_last`` and, over the whole document, the ``sums``.
+
+    With hot keys these come from one row per key, made from the rows and looked up over spread parts, so the texts of
+    a long document stay where they are; else from a window over parts that already lie by key.
+    """
+    sums, extras = sums or {}, extras or {}
+    if hot.frame is None:
+        every = Window.partitionBy(*keys)
+        whole = {name: F.sum(name).over(every) for name in sums}
+        parts = text_parts(placed, keys, position, text, sums | extras)
+        return parts.withColumns({"_last": F.col("part") == F.max("part").over(every), **whole})
+    size = setting(placed.sparkSession, PART_ROWS)
+    totals = placed.groupBy(*keys).agg(F.max(position).alias("_rows"), *[v.alias(n) for n, v in sums.items()])
+    joined = salted_lookup(text_parts(placed, keys, position, text, extras), totals, keys, "part", "inner")
+    return joined.withColumn("_last", F.col("part") == F.expr(f"cast((_rows - 1) div {size} as int)")).drop("_rows")
 
 
 def spread_under(spine: DataFrame, rows: DataFrame, keys: list[str], spread: str, hot: HotKeys) -> DataFrame:
     """Left join of one row per key to many rows per key.
 
     An outer join cannot split its right side, so the hot keys of ``rows`` are matched by
-    an inner join salted by ``spread``; only their spine rows are repeated per salt, and
-    each of them has rows to match.
+    an inner join salted by ``spread``; only their spine rows are repeated per salt.  Those
+    that turn out to have no rows are added after it.
     """
     calm, heavy = hot.split(rows)
     if heavy is None:
         return spine.join(rows, keys, "left")
     calm_spine, heavy_spine = hot.split(spine)
     calm_join = calm_spine.join(calm, keys, "left")
-    return calm_join.unionByName(salted_lookup(heavy, heavy_spine, keys, spread, "inner"))
+    alone = match(heavy_spine, heavy.select(*keys).distinct(), keys, "left_anti")
+    matched = salted_lookup(heavy, heavy_spine, keys, spread, "inner")
+    return calm_join.unionByName(matched).unionByName(alone, allowMissingColumns=True)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,15 +15,21 @@ from wayledger.session import HOT_ROWS, setting, shared_folder
 
 DAY = ["trip_id", "day_number"]
 CLUSTER = [*DAY, "cluster"]
+#: Clusters up to so many rows are packed by one expression, whose cost grows with the square.
 PACK_ROWS = 2_000
 
 
 def timed(items: DataFrame) -> DataFrame:
-    """Scheduled items with a readable time, as start and end minute."""
+    """Scheduled items with a readable time, as start and end minute.
+
+    Items of negative length are left out: an item that ends before it begins overlaps nothing and has no column.
+    ``quality.bad_duration`` finds them.
+    """
     start = clock.time_to_minutes(F.col("start_time"))
     return (
         items.where(F.col("day_number").isNotNull() & start.isNotNull())
         .select(*DAY, "id", start.alias("s"), clock.overlap_minutes(F.col("duration_minutes")).alias("_d"))
+        .where(F.col("_d") >= 0)
         .select(*DAY, "id", "s", (F.col("s") + F.col("_d")).alias("e"))
     )
 
@@ -170,18 +179,23 @@ def _clusters(rows: DataFrame, hot: HotKeys) -> DataFrame:
 def timeline_columns(items: DataFrame) -> DataFrame:
     """First free column of each item among those it hangs together with.
 
-    Clusters of ordinary size are packed as one sorted array.  Larger ones go minute by
-    minute over the cluster's columns as distributed rows.
+    Small clusters are packed as one sorted array; those up to the hot-key limit item by item within their task.
+    Beyond that limit clusters go minute by minute over their columns as distributed rows.
     """
     rows = timed(items)
-    limit = min(PACK_ROWS, setting(items.sparkSession, HOT_ROWS))
+    most = setting(items.sparkSession, HOT_ROWS)
+    limit = min(PACK_ROWS, most)
     # No cluster outgrows its day, so the days are measured before anything is computed.
     if _hot_days(items, limit).frame is None:
         return _pack_arrays(_clusters(rows, HotKeys(DAY)))
     clusters = _clusters(rows, _hot_days(items))
     small, large = hot_keys(clusters, CLUSTER, limit).split(clusters)
     out = _pack_arrays(small)
-    return out if large is None else out.unionByName(_pack_minutes(large))
+    if large is None:
+        return out
+    medium, huge = hot_keys(large, CLUSTER, most).split(large)
+    out = out.unionByName(_pack_groups(medium))
+    return out if huge is None else out.unionByName(_pack_minutes(huge))
 
 
 # Per column only its furthest-reaching item can still block; a new item takes the first
@@ -209,6 +223,36 @@ def _pack_arrays(rows: DataFrame) -> DataFrame:
     return each.select(*CLUSTER, F.col("x.id").alias("id"), F.col("x.col").alias("col"), "cols")
 
 
+def _pack_groups(rows: DataFrame) -> DataFrame:
+    """Pack clusters of bounded size one by one: free columns wait in one heap, taken ones in another by their end."""
+
+    def packed(cluster: pa.Table) -> pa.Table:
+        cluster = cluster.sort_by([("s", "ascending"), ("id", "ascending")])
+        free, taken, columns, width, minute, opening = [], [], [], 0, None, 0
+        for start, end in zip(cluster["s"].to_pylist(), cluster["e"].to_pylist(), strict=True):
+            while taken and taken[0][0] <= start:
+                heapq.heappush(free, heapq.heappop(taken)[1])
+            if start != minute:
+                minute, opening = start, free[0] if free else width
+            if end > start:
+                at = heapq.heappop(free) if free else width
+                heapq.heappush(taken, (end, at))
+            else:
+                # Without length it blocks nothing, and only what began earlier is in its way.
+                at = opening
+                if at == width:
+                    heapq.heappush(free, at)
+            width = max(width, at + 1)
+            columns.append(at)
+        kept = cluster.select([*CLUSTER, "id"])
+        kept = kept.append_column("col", pa.array(columns, pa.int32()))
+        return kept.append_column("cols", pa.array([width] * len(columns), pa.int32()))
+
+    kinds = dict(rows.dtypes)
+    fields = [f"{c} {kinds[c]}" for c in [*CLUSTER, "id"]]
+    return rows.groupBy(*CLUSTER).applyInArrow(packed, ", ".join([*fields, "col int", "cols int"]))
+
+
 def _pack_minutes(rows: DataFrame) -> DataFrame:
     """Pack large clusters one start minute at a time.
 
@@ -219,7 +263,9 @@ def _pack_minutes(rows: DataFrame) -> DataFrame:
     spark = rows.sparkSession
     folder = shared_folder(spark, "columns")
     last = rows.groupBy(*CLUSTER).agg(F.max("s").alias("until"))
-    rows.join(last, CLUSTER).write.partitionBy("s").parquet(f"{folder}/rows")
+    # Few files per minute, more where a minute holds many rows.
+    spread = rows.join(last, CLUSTER).hint("rebalance", F.col("s"))
+    spread.write.partitionBy("s").parquet(f"{folder}/rows")
     rows = spark.read.parquet(f"{folder}/rows")
     minutes = [r.s for r in rows.select("s").distinct().orderBy("s").collect()]
     column = [*CLUSTER, "until", "col"]

@@ -69,12 +69,16 @@ _CASCADE = f"""r as (select c.*, i.id as known, case when i.start_time is not nu
     where delta is not null and i.id <> target_id and i.start_time is not null""",
 )
 def _(t):
-    return planning.cascade_plan(t.items, t.cascade_requests, t.cascade_picks)
+    return planning.cascade_plan(t.items, t.cascade_requests, t.cascade_picks).drop("is_target")
 
 
-@query("single_plan", "select item_id as id, new_time as start_time from single_requests")
+@query(
+    "single_plan",
+    """select item_id as id, nullif(new_time, 'noon') as start_time,
+      case when new_time = 'noon' then 'bad_time' end as error from single_requests""",
+)
 def _(t):
-    return planning.single_plan(t.single_requests)
+    return planning.single_plan(t.single_requests).select("id", "start_time", "error")
 
 
 _NAMED = "n as (select * from new_items where trip_id > 0 and trim(coalesce(name, '')) <> '')"
@@ -212,6 +216,66 @@ def _(t):
     return changes.apply_plans(t.items, _updates(t))[1].withColumn("items_changed", F.to_json("items_changed"))
 
 
+_CASCADED = f"""{_CASCADE},
+    plan as (select r.trip_id, target_id as id, new_time as s, 0 as pos from r where delta is not null
+      union all select r.trip_id, i.id, {_clock(f"({_minutes('i.start_time')} + delta)")}, 1
+      from r join cascade_picks p on p.request_id = r.request_id
+        join items i on i.id = p.item_id and i.trip_id = r.trip_id
+      where delta is not null and i.id <> target_id and i.start_time is not null)"""
+
+
+def _cascaded(t):
+    plan = planning.cascade_plan(t.items, t.cascade_requests, t.cascade_picks)
+    return changes.apply_plans(t.items, changes.cascade_updates(t.items, plan))
+
+
+@query(
+    "apply_cascade",
+    f"""with {_CASCADED} select i.id, coalesce(p.s, i.start_time) as start_time, i.sort_order
+    from items i left join plan p on p.id = i.id""",
+)
+def _(t):
+    return _cascaded(t)[0].select("id", "start_time", "sort_order")
+
+
+@query(
+    "cascade_log",
+    f"""with {_CASCADED} select trip_id, '手動調整' as instruction, 0 as part, '[' || string_agg('{{"id":' || id ||
+      ',"start_time":"' || s || '"}}', ',' order by pos, id) || ']' as items_changed from plan group by trip_id""",
+)
+def _(t):
+    return _cascaded(t)[1].withColumn("items_changed", F.to_json("items_changed"))
+
+
+@query(
+    "apply_single",
+    """select i.id, coalesce(nullif(r.new_time, 'noon'), i.start_time) as start_time, i.sort_order
+    from items i left join single_requests r on r.item_id = i.id""",
+)
+def _(t):
+    updates = changes.cascade_updates(t.items, planning.single_plan(t.single_requests))
+    return changes.apply_plans(t.items, updates)[0].select("id", "start_time", "sort_order")
+
+
+@query(
+    "patch_sequence",
+    """select id, case when category = 'hotel' and duration_minutes > 60 then null
+        when category = 'hotel' or duration_minutes > 90 then 2 when confirm_required then null else day_number end
+        as day_number,
+      case when category = 'hotel' and duration_minutes > 60 then null
+        when category = 'hotel' or duration_minutes > 90 then '08:15' when confirm_required then null else start_time
+        end as start_time,
+      case when duration_minutes > 60 then true when confirm_required is not null then not confirm_required
+        else is_confirmed end as is_confirmed
+    from items""",
+)
+def _(t):
+    back = F.array(F.lit("day_number"), F.lit("start_time"))
+    clear = F.when(F.coalesce("to_candidate", F.lit(False)), back).otherwise(F.array().cast("array<string>"))
+    patches = t.patch_sequence.withColumn("clear", clear).drop("to_candidate")
+    return changes.patch_items(t.items, patches, "at").select("id", "day_number", "start_time", "is_confirmed")
+
+
 @query("delete_rows", "select id, trip_id from items where not (category = 'unknown' and day_number is null)")
 def _(t):
     gone = t.items.where((F.col("category") == "unknown") & F.col("day_number").isNull()).select("id")

@@ -2,27 +2,50 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayledger.functions import clock, money, text
 from wayledger.plans.registry import query
-from wayledger.sources.fixtures import RAW
+from wayledger.session import shared_folder
+from wayledger.sources.tables import fill_defaults, read_table, write_snapshot
 
 _LAX = "regexp_full_match(start_time, '[0-9]{1,2}:[0-9]{2}')"
 _MIN = f"""case when {_LAX} then cast(split_part(start_time, ':', 1) as int) * 60
   + cast(split_part(start_time, ':', 2) as int) end"""
 
 
+#: The declared tables: the view each is made from and the key its snapshots are clustered by.
+_STORED = {
+    "trips": ("trips", "id"),
+    "itinerary_items": ("items", "trip_id"),
+    "wishlist": ("wishlist", "id"),
+    "buylist_items": ("buylist_items", "list_id"),
+    "buylist_budget": ("buylist_budget", "list_id"),
+    "sauces": ("sauces", "list_id"),
+}
+
+
 @query(
     "read_tables",
-    " union all ".join(f"select '{name}' as name, count(*) as n from {name}" for name in RAW),
+    " union all ".join(
+        f"select '{name}' as name, count(*) as n, count(distinct {key}) as keys from {view}"
+        for name, (view, key) in (_STORED | {"trip_adjustments": ("items", "trip_id")}).items()
+    ),
 )
 def _(t):
-    out = None
-    for name in RAW:
-        counted = getattr(t, name).select(F.lit(name).alias("name")).groupBy("name").agg(F.count("*").alias("n"))
-        out = counted if out is None else out.unionByName(counted)
-    return out
+    """Every table written as a snapshot with its declared schema, read back and counted."""
+    root, out = shared_folder(t.spark, "tables"), []
+    log = t.items.select("id", "trip_id", F.lit("moved").alias("instruction"))
+    frames = {name: (getattr(t, view), key) for name, (view, key) in _STORED.items()} | {"trip_adjustments": (log, "trip_id")}
+    for name, (rows, key) in frames.items():
+        write_snapshot(fill_defaults(rows, name), f"{root}/{name}", key, "id" if "id" in rows.columns else key)
+        stored = read_table(t.spark, f"{root}/{name}", name)
+        counts = stored.agg(F.count("*").alias("n"), F.countDistinct(key).alias("keys"))
+        out.append(counts.select(F.lit(name).alias("name"), "n", "keys"))
+    return reduce(DataFrame.unionByName, out)
 
 
 @query("time_to_minutes", f"select request_id, {_MIN} as minutes from new_items")

@@ -42,7 +42,7 @@ def _(t):
 @query("deduped_changes", _FEED)
 def _(t):
     twice = _stream(t).unionByName(_stream(t))
-    return _shown(_written(t, feed.deduped_changes(twice), "deduped-changes"))
+    return _shown(_written(t, feed.deduped_changes(twice, "1 day"), "deduped-changes"))
 
 
 _PRESENT = """last as (select *, row_number() over (partition by id order by ts desc, event_id desc) as newest

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayledger.operators import quality
@@ -185,13 +188,50 @@ def _(t):
 )
 def _(t):
     parts = [
-        ("insert", quality.validate_inserts(t.new_items, t.trips), "request_id"),
-        ("patch", quality.validate_patches(t.item_patches, t.items, t.trips), "item_id"),
-        ("trip", quality.validate_trips(t.new_trips), "request_id"),
+        ("insert", quality.judge_inserts(t.new_items, t.trips), "request_id"),
+        ("patch", quality.judge_patches(t.item_patches, t.items, t.trips), "item_id"),
+        ("trip", quality.judge_trips(t.new_trips), "request_id"),
     ]
-    out = None
-    for kind, (accepted, rejected), key in parts:
-        for rows, outcome in ((accepted, F.lit("accepted")), (rejected, F.col("reason"))):
-            part = rows.select(F.lit(kind).alias("kind"), F.col(key).alias("id"), outcome.alias("outcome"))
-            out = part if out is None else out.unionByName(part)
-    return out
+    outcome = F.coalesce("reason", F.lit("accepted")).alias("outcome")
+    judged = [rows.select(F.lit(kind).alias("kind"), F.col(key).alias("id"), outcome) for kind, rows, key in parts]
+    return reduce(DataFrame.unionByName, judged)
+
+
+_WISH = "trim(coalesce(name, ''))"
+
+
+@query(
+    "validate_shopping",
+    f"""select 'insert' as kind, request_id as id, case when {_WISH} = '' then 'blank_name'
+      when urgency not in ('need', 'want', 'maybe') then 'bad_enum' else 'accepted' end as outcome from new_wishes
+    union all
+    select 'patch', p.request_id, case when b.id is null then 'unknown_id'
+      when p.urgency not in ('need', 'want', 'maybe') then 'bad_enum'
+      when p.price is null and p.quantity is null and p.urgency is null then 'empty_patch' else 'accepted' end
+    from new_wishes p left join buylist_items b on b.id = p.request_id""",
+)
+def _(t):
+    asked = t.new_wishes.select(F.col("request_id").alias("item_id"), "price", "quantity", "urgency")
+    outcome = F.coalesce("reason", F.lit("accepted")).alias("outcome")
+    fresh = quality.judge_buylist(t.new_wishes)
+    changed = quality.judge_buylist_patches(asked, t.buylist_items)
+    return fresh.select(F.lit("insert").alias("kind"), F.col("request_id").alias("id"), outcome).unionByName(
+        changed.select(F.lit("patch").alias("kind"), F.col("item_id").alias("id"), outcome)
+    )
+
+
+@query("bad_duration", "select item_id, 'bad_duration' as reason from edits where duration_minutes < 0")
+def _(t):
+    return quality.find(t.edits, quality.bad_duration()).select("item_id", "reason")
+
+
+@query(
+    "listing_day_errors",
+    f"""select s.id as trip_id, day_number, 'day_out_of_range' as reason
+    from (select distinct trip_id, day_number from new_items where day_number is not null) n
+    join {_SPAN} s on s.id = n.trip_id where day_number < 1 or day_number > days""",
+)
+def _(t):
+    asked = t.new_items.where(F.col("day_number").isNotNull()).select("trip_id", "day_number").distinct()
+    found = quality.find(quality.with_trip(asked, t.trips), quality.day_out_of_range())
+    return found.select("trip_id", "day_number", "reason")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,17 +33,14 @@ def setting(spark: SparkSession, key: str) -> int:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only in local mode."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder named by ``spark.checkpoint.dir``; where that is unset, one in the warehouse, which is shared too."""
     context = spark.sparkContext
-    current = context.getCheckpointDir()
-    if named is None and current is None:
-        if not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-        named = tempfile.mkdtemp(prefix="wayledger-")
-    if current is None:
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if named is None:
+        named = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/wayledger-shared"
+    if context.getCheckpointDir() is None:
         context.setCheckpointDir(named)
-    return named or current
+    return named
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:

@@ -205,7 +205,10 @@ from items where day_number is not null""",
     ),
     "single_requests": (
         ("items",),
-        "select id as item_id, case when id % 2 = 0 then '11:15' else '20:40' end as new_time from items",
+        """
+select id as request_id, id as item_id,
+       case when category = 'hotel' then 'noon' when confirm_required then '11:15' else '20:40' end as new_time
+from items""",
     ),
     "share_requests": (("buylist_items",), "select distinct list_id, tag from buylist_items"),
     "new_items": (
@@ -226,6 +229,15 @@ select case when id % 97 = 0 then -id else id end as item_id, id % 11 = 0 as to_
        case when id % 5 = 0 then '9:30' when id % 5 = 1 then ' 14:00 ' when id % 5 = 2 then '24:00' end as start_time,
        case when id % 4 = 0 then true end as is_confirmed
 from items""",
+    ),
+    "patch_sequence": (
+        ("items",),
+        """
+select id as item_id, 1 as at, confirm_required as to_candidate, null as day_number, null as start_time,
+       not confirm_required as is_confirmed from items
+union all select id, 2, false, null, null, true from items where duration_minutes > 60
+union all select id, 3, false, 2, '08:15', null from items where category = 'hotel' or duration_minutes > 90
+union all select id, 4, category = 'hotel' and duration_minutes > 60, null, null, null from items""",
     ),
     "new_trips": (
         ("trips",),
@@ -252,7 +264,7 @@ from part""",
         ("items",),
         """
 select id as item_id, location, booking_ref, notes, day_number, case when id % 2 = 0 then '09:45' else '' end
-       as start_time, case when id % 7 = 0 then day_number - 1 else duration_minutes end as duration_minutes
+       as start_time, case when id % 7 = 0 then day_number - 2 else duration_minutes end as duration_minutes
 from items""",
     ),
 }

@@ -45,8 +45,8 @@ def change_feed(raw: DataFrame) -> DataFrame:
     )
 
 
-def deduped_changes(feed: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Drop redelivered events that arrive within ``delay`` of the first."""
+def deduped_changes(feed: DataFrame, delay: str) -> DataFrame:
+    """Drop redelivered events that arrive within ``delay`` of the first, and all events later than that."""
     return feed.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
 
 
