@@ -185,10 +185,8 @@ def repair(conversations: DataFrame) -> DataFrame:
     def bordering(batches):
         task, first, last = TaskContext.get().partitionId(), None, None
         for conversation, roles, _ in _runs(batches):
-            numbers = [role_number(r) for r in roles]
-            if first is None:
-                first = (conversation, numbers)
-            last = (conversation, numbers)
+            last = (conversation, [role_number(r) for r in roles])
+            first = last if first is None else first
         ends = [x for x in (first, last if last is not first else None) if x is not None]
         sums = [[n for row in summary(numbers) for n in row] for _, numbers in ends]
         ids = pa.array([c for c, _ in ends], pa.int64())
