@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from wayledger.operators.shopping import CATEGORIES
 from wayledger.plans.registry import query
-from wayledger.plans.shopping import BUDGET_SQL, budget_columns
+from wayledger.plans.shopping import BUDGET_SQL, budget_columns, rollup_sql
+from wayledger.schemas import schema
 from wayledger.session import shared_folder
 from wayledger.sources.fixtures import RAW, VIEWS
 from wayledger.streaming import feed
@@ -25,13 +27,25 @@ def _written(t, stream, purpose: str):
     return t.spark.read.parquet(f"{folder}/rows")
 
 
-def _shown(df):
-    stamp = F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts")
-    return df.select("event_id", stamp, "id", "list_id", "op", F.col("price").cast("double"), "bought", "starred", "k")
+COLUMNS = schema("buylist_items").names
+MONEY = ("price", "recurring_cost", "actual_price")
 
 
-_FEED = """select event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') as ts, id, list_id, op, cast(price as double) as price,
-    bought, starred, cast(json_extract(props, '$.k') as int) as k from change_feed"""
+def _shown(df):
+    """All columns of the table and what the change carries besides, in types that compare alike."""
+    stamps = [F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("ts", "created_at")]
+    money = [F.col(c).cast("double") for c in MONEY]
+    rest = [c for c in COLUMNS if c not in (*MONEY, "created_at")]
+    return df.select("event_id", "op", *stamps, *money, *rest)
+
+
+_SHOWN = ", ".join(
+    ["event_id", "op"]
+    + [f"strftime({c}, '%Y-%m-%d %H:%M:%S') as {c}" for c in ("ts", "created_at")]
+    + [f"cast({c} as double) as {c}" for c in MONEY]
+    + [c for c in COLUMNS if c not in (*MONEY, "created_at")]
+)
+_FEED = f"select {_SHOWN} from change_feed"
 
 
 @query("change_feed", _FEED)
@@ -50,24 +64,33 @@ _PRESENT = """last as (select *, row_number() over (partition by id order by ts
     live_items as (select * from last where newest = 1 and op <> 'delete')"""
 
 
-def _run(t, budget=None):
+def _run(t, budget=None, snapshot=None):
     lists = feed.LiveLists(t.spark, shared_folder(t.spark, "live-lists"))
+    if snapshot is not None:
+        lists.seed(snapshot, budget)
     lists.start(_stream(t), budget).awaitTermination()
     return lists
 
 
+@query("current_items", f"with {_PRESENT} select {_SHOWN} from live_items")
+def _(t):
+    return _shown(_run(t).current_items())
+
+
 @query(
-    "current_items",
-    f"with {_PRESENT} select id, list_id, event_id, cast(price as double) as price, bought, starred from live_items",
+    "current_items_from_snapshot",
+    f"""with {_PRESENT} select id, list_id, name, cast(price as double) as price, bought, quantity from live_items
+    union all
+    select id, list_id, name, cast(price as double), bought, quantity from buylist_items
+    where id not in (select id from change_feed)""",
 )
 def _(t):
-    current = _run(t).current_items()
-    return current.select("id", "list_id", "event_id", F.col("price").cast("double"), "bought", "starred")
+    """The table as it was, brought up to date by the stream."""
+    current = _run(t, snapshot=t.buylist_items).current_items()
+    return current.select("id", "list_id", "name", F.col("price").cast("double"), "bought", "quantity")
 
 
-_LIVE_BUDGET = BUDGET_SQL.format(
-    items="(select *, true as this_month, 0 as recurring_cost from live_items)"
-).replace("with sums", "sums", 1)
+_LIVE_BUDGET = BUDGET_SQL.format(items="live_items").replace("with sums", "sums", 1)
 
 
 @query(
@@ -78,3 +101,10 @@ _LIVE_BUDGET = BUDGET_SQL.format(
 )
 def _(t):
     return budget_columns(_run(t, t.buylist_budget).live_budget())
+
+
+@query("live_rollup", f"with {_PRESENT}, {rollup_sql('live_items', CATEGORIES)}")
+def _(t):
+    """Categories of every list that the stream touched; the fixture's lists show all their items."""
+    groups = _run(t, t.buylist_budget).live_rollup()
+    return groups.withColumn("unbought_sum", F.col("unbought_sum").cast("double"))

@@ -154,18 +154,20 @@ def _(t):
     return budget_columns(shopping.budget_status(t.buylist_budget, t.buylist_items))
 
 
-@query(
-    "category_rollup",
-    f"""with v as (select *, {_CATEGORY} as cat, row_number() over (partition by list_id order by {_DEFAULT}, id) as r
-         from buylist_items),
+def rollup_sql(items: str, order: list[str]) -> str:
+    """Categories of the lists in a table of items, with the place of each among ``order``."""
+    known = ", ".join(f"'{c}'" for c in order)
+    return f"""v as (select *, {_CATEGORY} as cat, row_number() over (partition by list_id order by {_DEFAULT}, id) as r
+         from {items}),
        g as (select list_id, cat as category, count(*) as items, count(*) filter (not bought) as unbought,
          cast(coalesce(sum(price) filter (not bought), 0) as double) as unbought_sum, min(r) as first
          from v group by list_id, cat)
        select list_id, category, items, unbought, unbought_sum, unbought = 0 as all_bought,
-         row_number() over (partition by list_id order by
-           list_position(['cat0', 'cat1', 'cat2', 'cat3', 'cat4', 'cat5', 'cat6', '其他'], category) nulls last, first)
-           as place from g""",
-)
+         row_number() over (partition by list_id order by list_position([{known}], category) nulls last, first)
+           as place from g"""
+
+
+@query("category_rollup", f"with {rollup_sql('buylist_items', CATEGORY_ORDER)}")
 def _(t):
     groups = shopping.category_rollup(shopping.buylist_visible(t.buylist_items), CATEGORY_ORDER)
     return groups.withColumn("unbought_sum", F.col("unbought_sum").cast("double"))

@@ -126,8 +126,14 @@ from part""",
         """
 select event_id, ts, user_id * 10 + event_id % 10 as id, user_id as list_id,
        case event_type when 'signup' then 'insert' when 'error' then 'delete' else 'update' end as op,
-       cast(value as decimal(12,2)) as price, event_type = 'purchase' as bought,
-       event_type = 'view' as starred, props
+       concat('item ', event_type) as name, cast(value as decimal(12,2)) as price,
+       case cast(event_id % 4 as int) when 0 then 'need' when 1 then 'want' when 2 then 'maybe' end as urgency,
+       'tw_easy' as accessibility, event_type <> 'click' as this_month, event_type = 'purchase' as bought,
+       concat('user-', cast(user_id as string)) as added_by, event_type as note, '' as link,
+       case cast(event_id % 3 as int) when 0 then '' when 1 then '食品' else event_type end as category,
+       cast(event_id % 3 as decimal(12,2)) as recurring_cost, ts as created_at, event_type = 'view' as starred,
+       cast(event_id % 5 as int) as quantity, case when event_type = 'view' then 'seen' else '' end as tag,
+       case when event_type = 'purchase' then cast(value as decimal(12,2)) end as actual_price
 from events""",
     ),
     "replies": (

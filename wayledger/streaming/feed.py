@@ -8,20 +8,24 @@ batch rewrites its own folder, so every change counts once.  The last write, by
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from wayledger.operators.shopping import budget_status, category_rollup
+from wayledger.schemas import schema
 
 BUCKETS = 64
-PROPS = "k INT"
-CHANGE = (
-    "event_id LONG, ts TIMESTAMP, id LONG, list_id LONG, op STRING, price DECIMAL(12,2), bought BOOLEAN, "
-    "starred BOOLEAN, k INT"
-)
-LOGGED = f"{CHANGE}, batch LONG, list_bucket INT"
+#: What a change carries besides the columns of its table.
+META = "event_id LONG, ts TIMESTAMP, op STRING"
+TABLE = "buylist_items"
+#: The change that a starting snapshot's rows count as: before every event.
+SNAPSHOT = {"event_id": -1, "ts": "1970-01-01 00:00:00", "op": "insert"}
+
+
+def change_schema(table: str = TABLE) -> T.StructType:
+    return T.StructType([*T.StructType.fromDDL(META), *schema(table)])
 
 
 def read_changes(spark: SparkSession, path: str, schema: str | T.StructType, files: str = "*.parquet") -> DataFrame:
@@ -29,31 +33,27 @@ def read_changes(spark: SparkSession, path: str, schema: str | T.StructType, fil
     return spark.readStream.schema(schema).option("pathGlobFilter", files).parquet(path)
 
 
-def change_feed(raw: DataFrame) -> DataFrame:
-    """Typed change rows; event time becomes an instant, as watermarks need one."""
-    props = F.from_json("props", PROPS)
+def change_feed(raw: DataFrame, table: str = TABLE) -> DataFrame:
+    """Typed changes of one table: event id, time, kind and all its columns, null where the source lacks one.
+
+    Event time becomes an instant, as watermarks need one.
+    """
+    present = set(raw.columns)
     return raw.select(
-        "event_id",
-        F.col("ts").cast("timestamp").alias("ts"),
-        "id",
-        "list_id",
-        "op",
-        "price",
-        "bought",
-        "starred",
-        props["k"].alias("k"),
+        *[(F.col(f.name) if f.name in present else F.lit(None)).cast(f.dataType).alias(f.name) for f in change_schema(table)]
     )
 
 
+def as_changes(snapshot: DataFrame, table: str = TABLE) -> DataFrame:
+    """A table as changes older than every event."""
+    return change_feed(snapshot.withColumns({name: F.lit(value) for name, value in SNAPSHOT.items()}), table)
+
+
 def deduped_changes(feed: DataFrame, delay: str) -> DataFrame:
     """Drop redelivered events that arrive within ``delay`` of the first, and all events later than that."""
     return feed.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def bucket() -> Column:
-    return F.pmod(F.hash("list_id"), F.lit(BUCKETS))
-
-
 def latest(changes: DataFrame) -> DataFrame:
     """The last change per item; partial aggregation keeps one row per item and task."""
     fields = [c for c in changes.columns if c != "id"]
@@ -70,13 +70,17 @@ class LiveLists:
     """The change log of one deployment and the tables read from it.
 
     Batches are kept in epochs of ``fold_every``.  At its end an epoch is reduced into the
-    first entry of the next one, so readers only ever list and read one epoch.
+    first entry of the next one, so readers only ever list and read one epoch.  ``buckets`` is
+    the number of folders that an epoch's lists are spread over; it stays as it was at the start.
+    An item keeps its list: the changes of one list are all there is to know of its items.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, fold_every: int = 100):
+    def __init__(self, spark: SparkSession, folder: str, fold_every: int = 100, buckets: int = BUCKETS, table: str = TABLE):
         self.spark = spark
         self.folder = folder
         self.fold_every = fold_every
+        self.buckets = buckets
+        self.table = table
         self.marks = f"{folder}/finished_epochs"
 
     def _path(self, kind: str, epoch: int, batch_id: int | None = None) -> str:
@@ -94,7 +98,8 @@ class LiveLists:
 
     def history(self, buckets: list[int] | None = None) -> DataFrame:
         """The changes that can still decide a row; ``buckets`` prunes the folders read."""
-        rows = self.spark.read.schema(LOGGED).parquet(self._path("changes", self.epoch()))
+        logged = T.StructType([*change_schema(self.table)]).add("batch", T.LongType()).add("list_bucket", T.IntegerType())
+        rows = self.spark.read.schema(logged).parquet(self._path("changes", self.epoch()))
         if buckets is not None:
             rows = rows.where(F.col("list_bucket").isin(buckets))
         return rows.drop("batch", "list_bucket")
@@ -108,22 +113,31 @@ class LiveLists:
 
     def _log(self, changes: DataFrame, epoch: int, batch_id: int) -> None:
         # Few files per bucket, more where a bucket is large.
-        spread = changes.withColumn("list_bucket", bucket()).hint("rebalance", F.col("list_bucket"))
+        bucket = F.pmod(F.hash("list_id"), F.lit(self.buckets))
+        spread = changes.withColumn("list_bucket", bucket).hint("rebalance", F.col("list_bucket"))
         spread.write.mode("overwrite").partitionBy("list_bucket").parquet(self._path("changes", epoch, batch_id))
 
     def _keep(self, kind: str, rows: DataFrame, epoch: int, batch_id: int) -> None:
         rows.write.mode("overwrite").parquet(self._path(kind, epoch, batch_id))
 
+    def seed(self, snapshot: DataFrame, budget: DataFrame | None = None) -> None:
+        """Begin with the rows that a table holds already; to be called before the first batch."""
+        self._log(latest(as_changes(snapshot, self.table)), 0, -1)
+        if budget is not None:
+            self._refresh(0, -1, budget)
+
     def refresh(self, batch_id: int, budget: DataFrame) -> None:
         """Recompute budget and categories of just the lists a logged batch touched."""
-        epoch = batch_id // self.fold_every
+        self._refresh(batch_id // self.fold_every, batch_id, budget)
+
+    def _refresh(self, epoch: int, batch_id: int, budget: DataFrame) -> None:
         logged = self.spark.read.parquet(self._path("changes", epoch, batch_id))
         touched = logged.select("list_id", "list_bucket").distinct()
-        # At most BUCKETS small numbers; they prune the folders of the log that are read.
+        # At most as many small numbers as there are buckets; they prune the folders of the log that are read.
         buckets = [r.list_bucket for r in touched.select("list_bucket").distinct().collect()]
         lists = touched.select("list_id")
-        # Both results read the touched lists' items, which are reduced from the log once.
-        items = as_buylist(self.current_items(buckets)).join(lists, "list_id", "left_semi").persist()
+        # Only changes of the touched lists are reduced, once for both results.
+        items = present(self.history(buckets).join(lists, "list_id", "left_semi")).persist()
         try:
             status = budget_status(budget.join(lists, "list_id", "left_semi"), items)
             # A touched list with neither budget nor items left still gets its empty state.
@@ -172,19 +186,3 @@ class LiveLists:
         """Process what the source holds now, then stop; run again to go on."""
         sink = changes.writeStream.foreachBatch(lambda batch, batch_id: self.take(batch, batch_id, budget))
         return sink.option("checkpointLocation", f"{self.folder}/checkpoints").trigger(availableNow=True).start()
-
-
-def as_buylist(current: DataFrame) -> DataFrame:
-    """Current rows in the shape of the shopping table, unchanged columns at their defaults."""
-    return current.select(
-        "id",
-        "list_id",
-        "price",
-        "bought",
-        "starred",
-        F.lit(True).alias("this_month"),
-        F.lit("maybe").alias("urgency"),
-        F.lit(0).cast("decimal(12,2)").alias("recurring_cost"),
-        F.when(F.col("starred"), F.lit("食品")).otherwise(F.lit("")).alias("category"),
-        F.col("ts").alias("created_at"),
-    )
