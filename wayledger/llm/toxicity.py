@@ -3,8 +3,8 @@
 A text is taken as lower-cased UTF-8 (A-Z only); its features are the distinct n-grams of 3 to 5 bytes, hashed.  On a
 sample of labelled texts the ratio of each feature is the log of the share of toxic texts that hold it over the share of
 the others.  Logistic regression on the features times their ratios is fitted by full gradients, each a sum over the
-sample's partitions; its intercept is moved to the class shares of all labelled rows.  Features in few texts or with a
-small ratio have weight 0.
+sample's partitions; its intercept is moved to the class shares of all labelled rows.  Features in few texts, or with a
+ratio that chance could give, have weight 0.
 
 Null and empty texts have next to no features and get about the score of the intercept.  Without labelled texts of both
 classes every score is that of the class shares (0 if there are no labels at all).
@@ -30,7 +30,8 @@ ROWS_PER_CLASS = 4_000
 STEPS = 30
 PENALTY = 1e-4
 FEWEST_TEXTS = 3
-LEAST_RATIO = 0.7
+#: A ratio counts from so many of its standard errors on.
+LEAST_ERRORS = 3.8
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -109,7 +110,8 @@ def fit(sample: DataFrame, shares: tuple[int, int]) -> ToxicityModel:
         return ToxicityModel(np.zeros(size), float(np.log(positive / negative)))
     q, p, (n_q, n_p) = sums[:size], sums[size:-2], sums[-2:]
     ratio = np.log((p + 1) / (n_p + 2)) - np.log((q + 1) / (n_q + 2))
-    ratio[(p + q < FEWEST_TEXTS) | (np.abs(ratio) < LEAST_RATIO)] = 0
+    error = np.sqrt(1 / (p + 1) + 1 / (q + 1))
+    ratio[(p + q < FEWEST_TEXTS) | (np.abs(ratio) < LEAST_ERRORS * error)] = 0
     used = np.flatnonzero(ratio)
     place = np.full(size, -1, np.int32)
     place[used] = np.arange(len(used))
