@@ -7,9 +7,9 @@ nothing.  Texts with equal sets form a class, which goes on as one entry.
 The forest has several orders of the classes, each by a different part of one MinHash signature, most significant
 value first.  Classes whose signatures share a prefix lie next to each other in an order; from how many values on they
 are compared follows from how crowded the region is, as neighbours in a crowded one share longer prefixes.  The first
-pass compares direct neighbours in a few orders and joins what is confirmed into components.  The second pass goes
-through all orders and compares each class with the nearest ones of other components on both sides, so a region costs
-no more however many copies it holds.  Every candidate pair is confirmed by the exact overlap of its full sets.
+pass compares direct neighbours in every order and joins what is confirmed into components.  The second pass compares
+each class with the nearest ones of other components on both sides, so a region that has become one component costs
+nothing more however many copies it holds.  Every pair is confirmed by the exact overlap of its full sets.
 
 Like any MinHash forest it finds a pair at the threshold with high probability, not certainty (the tests measure it
 against all pairs); what it links is exact.
@@ -43,8 +43,9 @@ class Forest:
     stride: int = 4
     depth: int = 12
     least_prefix: int = 3
-    first_orders: int = 4
     reach: int = 8
+    #: Pairs whose signatures agree in fewer values than this many deviations below the threshold are not compared.
+    deviations: float = 5.2
     #: Rows of an order in one task, at least about; neighbours are at most one task away.
     task_rows: int = 10_000
 
@@ -52,6 +53,11 @@ class Forest:
     def values(self) -> int:
         return self.orders * self.stride
 
+    @property
+    def least_estimate(self) -> float:
+        share = self.percent / 100
+        return share - self.deviations * (share * (1 - share) / self.values) ** 0.5
+
 
 _WORD_STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX_A, _MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -166,17 +172,32 @@ def _neighbours(batch: pa.RecordBatch, before: int, forest: Forest, reach: int,
 
 
 def _pairs(batch: pa.RecordBatch, before: int, forest: Forest, reach: int, crossing: bool) -> list[pa.Array]:
-    """The neighbours as class pairs a < b, with their order and whether their sizes allow the threshold."""
+    """The neighbours as class pairs a < b, and whether their sizes allow the threshold.
+
+    ``crossing`` also leaves out pairs that can't be links by size or signature.
+    """
     a, b = _neighbours(batch, before, forest, reach, crossing)
-    classes, sizes, tree = batch["class"].to_pylist(), batch["n_shingles"].to_numpy(), batch["tree"].to_numpy()
+    classes, sizes = batch["class"].to_pylist(), batch["n_shingles"].to_numpy()
     fits = 100 * np.minimum(sizes[a], sizes[b]) >= forest.percent * np.maximum(sizes[a], sizes[b])
+    if crossing:
+        whole = np.frombuffer(b"".join(batch["signature"].to_pylist()), ">u4").reshape(batch.num_rows, forest.values)
+        a, b = a[fits], b[fits]
+        alike = (whole[a] == whole[b]).mean(1) >= forest.least_estimate
+        a, b = a[alike], b[alike]
+        fits = np.ones(len(a), bool)
     ends = [sorted((classes[i], classes[j])) for i, j in zip(a.tolist(), b.tolist(), strict=True)]
-    lows, highs = pa.array([e[0] for e in ends], pa.binary()), pa.array([e[1] for e in ends], pa.binary())
-    return [lows, highs, pa.array(tree[a], pa.int32()), pa.array(fits, pa.bool_())]
+    return [pa.array([e[0] for e in ends], pa.binary()), pa.array([e[1] for e in ends], pa.binary()), pa.array(fits, pa.bool_())]
+
+
+_PAIR = [("a", pa.binary()), ("b", pa.binary()), ("fits", pa.bool_())]
+_PAIR_SCHEMA = "a binary, b binary, fits boolean"
 
 
-_PAIR = [("a", pa.binary()), ("b", pa.binary()), ("tree", pa.int32()), ("fits", pa.bool_())]
-_PAIR_SCHEMA = "a binary, b binary, tree int, fits boolean"
+def _packed(rows: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema) as stream:
+        stream.write_batch(rows)
+    return sink.getvalue().to_pybytes()
 
 
 def _candidates(ordered: DataFrame, forest: Forest, reach: int, crossing: bool) -> DataFrame:
@@ -185,33 +206,30 @@ def _candidates(ordered: DataFrame, forest: Forest, reach: int, crossing: bool)
     Neighbours that lie in two tasks meet in a second step, in groups of the last rows of one task and the first ones
     of the next.
     """
-    columns = ordered.columns
-    own = ", ".join(f"own_{f.name} {f.dataType.simpleString()}" for f in ordered.schema.fields)
-    names = [*[n for n, _ in _PAIR], "edge", *[f"own_{c}" for c in columns]]
+    names = [*[n for n, _ in _PAIR], "edge", "rows"]
 
     def neighboured(batches):
         task, first, last = TaskContext.get().partitionId(), None, None
         for batch, before in _stretches(batches, reach):
             pairs = _pairs(batch, before, forest, reach, crossing)
-            count = len(pairs[0])
-            blank = [pa.nulls(count, pa.int64()), *[pa.nulls(count, t) for t in batch.schema.types]]
+            blank = [pa.nulls(len(pairs[0]), t) for t in (pa.int64(), pa.binary())]
             yield pa.RecordBatch.from_arrays(pairs + blank, names)
             first = batch.slice(0, reach) if first is None else first
             last = batch.slice(max(0, batch.num_rows - reach))
         for edge, rows in ((task - 1, first), (task, last)):
             if rows is not None:
-                blank = [pa.nulls(rows.num_rows, t) for _, t in _PAIR]
-                yield pa.RecordBatch.from_arrays([*blank, pa.array([edge] * rows.num_rows), *rows.columns], names)
+                blank = [pa.nulls(1, t) for _, t in _PAIR]
+                yield pa.RecordBatch.from_arrays([*blank, pa.array([edge]), pa.array([_packed(rows)], pa.binary())], names)
 
-    found = checkpointed(ordered.mapInArrow(neighboured, f"{_PAIR_SCHEMA}, edge long, {own}"))
+    found = checkpointed(ordered.mapInArrow(neighboured, f"{_PAIR_SCHEMA}, edge long, rows binary"))
 
-    def met(rows: pa.Table) -> pa.Table:
-        rows = rows.select([f"own_{c}" for c in columns]).rename_columns(columns)
-        rows = rows.sort_by([(c, "ascending") for c in ("tree", "key", "class")]).combine_chunks()
+    def met(edge: pa.Table) -> pa.Table:
+        sides = [pa.ipc.open_stream(x).read_all() for x in edge["rows"].to_pylist()]
+        rows = pa.concat_tables(sides).sort_by([(c, "ascending") for c in ("tree", "key", "class")]).combine_chunks()
         return pa.Table.from_arrays(_pairs(rows.to_batches()[0], 0, forest, reach, crossing), schema=pa.schema(_PAIR))
 
     # At most twice ``reach`` rows of each edge between tasks.
-    edges = found.where("edge is not null").select("edge", *[f"own_{c}" for c in columns])
+    edges = found.where("edge is not null").select("edge", "rows")
     inner = found.where("edge is null").select(*[n for n, _ in _PAIR])
     return inner.unionByName(edges.groupBy("edge").applyInArrow(met, _PAIR_SCHEMA))
 
@@ -261,19 +279,20 @@ def near_classes(documents: DataFrame, id_column: str = "doc_id", text_column: s
         F.min("id").alias("head"), F.max("n_shingles").alias("n_shingles"), F.max("signature").alias("signature")
     )
     classes = checkpointed(classes)
-    close = checkpointed(_candidates(_ordered(classes, forest, []), forest, 1, False))
+    close = _candidates(_ordered(classes, forest, []), forest, 1, False)
+    close = checkpointed(close.groupBy("a", "b").agg(F.max("fits").alias("fits")))
     entries = close.select("a").union(close.select("b")).distinct().toDF("class")
     # Only classes with a neighbour in some order can have candidates.
     crowd = checkpointed(classes.join(entries, "class", "left_semi"))
     sets = _sets(documents, id_column, text_column, crowd, forest)
     sets = checkpointed(sets.groupBy("class").agg(F.max("members").alias("members")))
-    early = close.where(F.col("fits") & (F.col("tree") < forest.first_orders)).select("a", "b").distinct()
+    early = close.where("fits").select("a", "b")
     links = checkpointed(confirmed(early, sets, forest.percent))
     roots = components(links)
     component = F.coalesce("root", "class").alias("component")
     placed = checkpointed(crowd.join(roots.withColumnRenamed("node", "class"), "class", "left").select(*crowd.columns, component))
-    again = _candidates(_ordered(placed, forest, ["component"]), forest, forest.reach, True)
-    late = again.where("fits").select("a", "b").distinct().join(early, ["a", "b"], "left_anti")
+    again = _candidates(_ordered(placed, forest, ["component", "signature"]), forest, forest.reach, True)
+    late = again.select("a", "b").distinct().join(early, ["a", "b"], "left_anti")
     more = confirmed(checkpointed(late), sets, forest.percent)
     # Links between components of the first pass.
     ends = placed.select("class", "component")
