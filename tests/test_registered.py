@@ -1,5 +1,9 @@
 """Every registered query gives what its SQL gives, on whole tables."""
 
+import os
+import subprocess
+import sys
+
 import pytest
 from checking import connect, spark_rows, sql_rows
 from pyspark.sql import functions as F
@@ -75,6 +79,12 @@ def test_comparison_notices_a_fault(spark, db, folder, key):
         assert spark_rows(broken) != (names, want), fault
 
 
+def test_registering_needs_no_session():
+    """The queries are listed before any session runs."""
+    code = "import __spark_entry__ as e; assert len(e.queries()) >= len(e.oracle_sql()) > 100"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(entry.__file__))
+
+
 def test_entry(spark):
     overview = entry.entry(spark)
     assert overview.count() == 1500

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from wayledger.operators.shopping import CATEGORIES
 from wayledger.plans.registry import query
 from wayledger.plans.shopping import BUDGET_SQL, budget_columns, rollup_sql
-from wayledger.schemas import schema
+from wayledger.schemas import SCHEMAS
 from wayledger.session import shared_folder
 from wayledger.sources.fixtures import RAW, VIEWS
 from wayledger.streaming import feed
@@ -27,7 +27,8 @@ def _written(t, stream, purpose: str):
     return t.spark.read.parquet(f"{folder}/rows")
 
 
-COLUMNS = schema("buylist_items").names
+# Read from the declaration itself, as its schema needs a running session.
+COLUMNS = [field.split()[0] for field in SCHEMAS["buylist_items"].split(", ")]
 MONEY = ("price", "recurring_cost", "actual_price")
 
 
