@@ -156,9 +156,11 @@ def search(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                     [pa.array(query_ids[which]), pa.array(ids[slots]), pa.array(scores)], ["query_id", "vec_id", "score"]
                 )
 
-    # Every shard meets every block of the stated queries.
+    # Every shard meets every block of the stated queries, each meeting by itself in some task.
+    shards = (index.agg(F.max("shard")).first()[0] or 0) + 1
     asked = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    hits = asked.join(_blocks(queries, blocks), "block").mapInArrow(scored, _HITS)
+    asking = _blocks(queries, blocks).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    hits = asked.join(asking, ["shard", "block"]).mapInArrow(scored, _HITS)
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
