@@ -5,8 +5,8 @@ all records and small enough for one task.  Pass two permutes each bucket by Fis
 positions) and lays the buckets one after another; shard s takes the positions from floor(s*N/S) to
 floor((s+1)*N/S) - 1, so shard sizes differ by at most one record and each bucket lies in few shards.
 
-The order depends on the seed, the keys and the numbers of buckets and shuffle partitions, not on the layout of the
-input: a lost task gives the same rows again.  Records with the same key go to the same bucket, so the key should tell records apart;
+The order depends on the seed, the keys and the number of buckets, not on the layout of the input: a lost task gives
+the same rows again.  Records with the same key go to the same bucket, so the key should tell records apart;
 records equal in every key column are interchangeable.  Null keys and null or empty texts are ordinary values, an
 empty table gives no rows.  Only built-in functions are used.
 """
@@ -22,6 +22,8 @@ from wayledger.session import checkpointed
 BUCKET_BYTES = 64 << 20
 #: Buckets per block of the running totals.
 BLOCK = 4096
+#: A task takes one bucket, or several one after another where there are more than this.
+MOST_TASKS = 100_000
 
 
 def record_bytes(text: Column) -> Column:
@@ -70,15 +72,15 @@ def shuffle_into_shards(
     counts = checkpointed(records.groupBy(bucket.alias("_bucket")).agg(F.count("*").alias("_n")))
     total = counts.agg(F.sum("_n")).first()[0] or 0
     # An explicit number of partitions: Fisher-Yates draws from the seed and the partition's number.
-    parts_n = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = min(buckets, MOST_TASKS)
     rows = F.struct(*[F.col(c) for c in records.columns]).alias("_shuffle_row")
     order = F.xxhash64(F.lit(seed), F.lit("order"), *parts).alias("_order")
     # Within a bucket the hash order stands for the order of arrival, which retries would change.
     arrival = W.partitionBy("_bucket").orderBy("_order", *[f"_shuffle_row.{c}" for c in key])
-    scattered = records.select(rows, bucket.alias("_bucket"), order).repartition(parts_n, "_bucket")
+    scattered = records.select(rows, bucket.alias("_bucket"), order).repartition(tasks, "_bucket")
     scattered = scattered.withColumn("_at", (F.row_number().over(arrival) - 1).cast("int")).drop("_order")
     drawn = F.shuffle(F.sequence(F.lit(0), (F.col("_n") - 1).cast("int")), F.lit(seed)).alias("_drawn")
-    placed = _offsets(counts).repartition(parts_n, "_bucket").sortWithinPartitions("_bucket")
+    placed = _offsets(counts).repartition(tasks, "_bucket").sortWithinPartitions("_bucket")
     permuted = placed.select("_bucket", "_first", drawn).select("_bucket", "_first", F.posexplode("_drawn").alias("_at", "_to"))
     place = (F.col("_first") + F.col("_to")).alias("_place")
     # Both sides lie by bucket, so the merge join moves nothing; a broadcast would grow with the records.
