@@ -92,7 +92,7 @@ def test_shingles():
     assert len(near.shingle_set("a b c d e a b c d e", 4)) == 5
     assert np.array_equal(near.shingle_set("A\tb\nC", 3), near.shingle_set("a b c", 3))
     assert len(near.shingle_set("a b", 4)) == 1
-    assert not np.array_equal(near.shingle_set("a b", 4), near.shingle_set("a b", 2))
+    assert not set(near.shingle_set("a b", 4)) & set(near.shingle_set("a b c d a b", 4))
     assert len(near.shingle_set(None, 4)) == len(near.shingle_set(" \x0b\x0c", 4)) == 0
 
 
