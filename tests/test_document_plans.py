@@ -31,7 +31,9 @@ def test_no_exchange_by_document_above_its_text(spark, folder, kind):
         above = [(d, x) for d, x in above if d < depth(line)]
         if "listagg" in line:
             seen += 1
-            for _, node in above:
+            for _, node in reversed(above):
+                if "LeftAnti" in node:
+                    break  # what goes on from here are the rows without hot keys
                 assert not re.search(r"Exchange hashpartitioning\((trip_id|list_id)#\d+L?(, tag#\d+)?, \d+\)", node)
                 assert "Window" not in node
         above.append((depth(line), line))
