@@ -6,10 +6,11 @@ nothing.  Texts with equal sets form a class, which goes on as one entry.
 
 The forest has several orders of the classes, each by a different part of one MinHash signature, most significant
 value first.  Classes whose signatures share a prefix lie next to each other in an order; from how many values on they
-are compared follows from how crowded the region is, as neighbours in a crowded one share longer prefixes.  The first
-pass compares direct neighbours in every order and joins what is confirmed into components.  The second pass compares
-each class with the nearest ones of other components on both sides, so a region that has become one component costs
-nothing more however many copies it holds.  Every pair is confirmed by the exact overlap of its full sets.
+are compared follows from how crowded the region is.  The first pass compares direct neighbours, whose common prefix
+is the longest, in every order and joins what is confirmed into components; a region that has become one component
+costs nothing more however many copies it holds.  The second pass takes the regions that hold several components: all
+classes with a common prefix of ``least_prefix`` values or, where these are more than ``region_rows``, of as many more
+values as make them fewer.  In a region the exact overlaps of all full sets are counted through an inverted index.
 
 Like any MinHash forest it finds a pair at the threshold with high probability, not certainty (the tests measure it
 against all pairs); what it links is exact.
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wayledger.llm.batches import bound_batches
 from wayledger.llm.graph import components, lookup
 from wayledger.session import checkpointed
 
@@ -43,9 +46,7 @@ class Forest:
     stride: int = 4
     depth: int = 12
     least_prefix: int = 3
-    reach: int = 8
-    #: Pairs whose signatures agree in fewer values than this many deviations below the threshold are not compared.
-    deviations: float = 5.2
+    region_rows: int = 512
     #: Rows of an order in one task, at least about; neighbours are at most one task away.
     task_rows: int = 10_000
 
@@ -53,11 +54,6 @@ class Forest:
     def values(self) -> int:
         return self.orders * self.stride
 
-    @property
-    def least_estimate(self) -> float:
-        share = self.percent / 100
-        return share - self.deviations * (share * (1 - share) / self.values) ** 0.5
-
 
 _WORD_STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX_A, _MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -112,126 +108,154 @@ def sketches(documents: DataFrame, id_column: str, text_column: str, forest: For
     return rows.mapInArrow(sketched, "id long, n_shingles long, class binary, signature binary")
 
 
-def _ordered(classes: DataFrame, forest: Forest, extra: list[str]) -> DataFrame:
-    """One row per order and class, sorted over the whole cluster by order and signature from that order's start."""
+def _by_order(classes: DataFrame, forest: Forest, extra: list[str]) -> DataFrame:
+    """One row per order and class with the signature from that order's start."""
     tree = F.explode(F.array(*[F.lit(t) for t in range(forest.orders)])).alias("tree")
-    rows = classes.select(tree, "class", "n_shingles", *extra, F.concat("signature", "signature").alias("twice"))
+    rows = classes.select(tree, "class", *extra, F.concat("signature", "signature").alias("twice"))
     key = F.expr(f"substring(twice, tree * {4 * forest.stride} + 1, {4 * forest.depth})").alias("key")
-    rows = rows.select("tree", key, "class", "n_shingles", *extra)
+    return rows.select("tree", key, "class", *extra)
+
+
+def _neighbours(classes: DataFrame, forest: Forest) -> DataFrame:
+    """Direct neighbours in the sorted orders that share the least prefix, as pairs (a, b) of classes with a < b.
+
+    Neighbours that lie in two tasks meet in a second step: the last row of one task and the first of the next.
+    """
     most = 4 * int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tasks = max(1, min(classes.count() * forest.orders // forest.task_rows, most))
-    return rows.repartitionByRange(tasks, "tree", "key", "class").sortWithinPartitions("tree", "key", "class")
+    by = ["tree", "key", "class"]
+    ordered = _by_order(classes, forest, ["n_shingles"]).repartitionByRange(tasks, *by).sortWithinPartitions(*by)
+    prefix = 4 * forest.least_prefix
 
+    def paired(batches):
+        task, last = TaskContext.get().partitionId(), None
+        for batch in batches:
+            rows = list(zip(*(batch[c].to_pylist() for c in ("tree", "key", "class", "n_shingles")), strict=True))
+            if not rows:
+                continue
+            out = [(None, None, None, task - 1, *rows[0])] if last is None else []
+            for one, two in zip([last, *rows] if last else rows, rows if last else rows[1:]):
+                if one[0] == two[0] and one[1][:prefix] == two[1][:prefix]:
+                    out.append((*sorted((one[2], two[2])), _fits(one[3], two[3], forest), *[None] * 5))
+            last = rows[-1]
+            yield _pair_batch(out)
+        if last is not None:
+            yield _pair_batch([(None, None, None, task, *last)])
+
+    found = checkpointed(ordered.mapInArrow(paired, _PAIRED))
 
-def _stretches(batches: Iterator[pa.RecordBatch], overlap: int) -> Iterator[tuple[pa.RecordBatch, int]]:
-    """Batches that begin with the last rows of the one before; and how many rows those are."""
-    tail = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        before = 0 if tail is None else tail.num_rows
-        if tail is not None:
-            batch = pa.Table.from_batches([tail, batch]).combine_chunks().to_batches()[0]
-        yield batch, before
-        tail = batch.slice(max(0, batch.num_rows - overlap))
+    def met(edge: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(edge[c].to_pylist() for c in ("tree", "key", "class", "n_shingles")), strict=True))
+        out = [
+            (*sorted((one[2], two[2])), _fits(one[3], two[3], forest))
+            for one, two in zip(rows, rows[1:])
+            if one[0] == two[0] and one[1][:prefix] == two[1][:prefix]
+        ]
+        return pa.Table.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(_TYPES[:3])], ["a", "b", "fits"])
 
+    # Two rows of each edge between tasks.
+    edges = found.where("edge is not null").select("edge", "tree", "key", "class", "n_shingles")
+    inner = found.where("edge is null").select("a", "b", "fits")
+    return inner.unionByName(edges.groupBy("edge").applyInArrow(met, "a binary, b binary, fits boolean"))
 
-def _neighbours(batch: pa.RecordBatch, before: int, forest: Forest, reach: int, crossing: bool):
-    """Pairs of rows at most ``reach`` apart that share the least prefix, the later one at or after ``before``.
 
-    ``crossing``: only rows of different components, and of each component only the nearest row on a side.
-    """
-    n = batch.num_rows
-    tree = batch["tree"].to_numpy()
-    keys = np.frombuffer(b"".join(batch["key"].to_pylist()), ">u4").reshape(n, forest.depth)
-    prefix = keys[:, : forest.least_prefix]
-    component = None
-    if crossing:
-        numbers: dict[bytes, int] = {}
-        component = np.array([numbers.setdefault(c, len(numbers)) for c in batch["component"].to_pylist()])
-    first, second = [], []
-    for apart in range(1, min(reach, n - 1) + 1):
-        a, b = np.arange(n - apart), np.arange(apart, n)
-        close = (tree[a] == tree[b]) & (prefix[a] == prefix[b]).all(1) & (b >= before)
-        if crossing:
-            close &= component[a] != component[b]
-            a, b = a[close], b[close]
-            seen_right, seen_left = np.zeros(len(a), bool), np.zeros(len(a), bool)
-            for k in range(1, apart):
-                seen_right |= component[a + k] == component[b]
-                seen_left |= component[b - k] == component[a]
-            some = ~(seen_right & seen_left)
-            a, b = a[some], b[some]
-        else:
-            a, b = a[close], b[close]
-        first.append(a)
-        second.append(b)
-    if not first:
-        return np.empty(0, int), np.empty(0, int)
-    return np.concatenate(first), np.concatenate(second)
-
-
-def _pairs(batch: pa.RecordBatch, before: int, forest: Forest, reach: int, crossing: bool) -> list[pa.Array]:
-    """The neighbours as class pairs a < b, and whether their sizes allow the threshold.
-
-    ``crossing`` also leaves out pairs that can't be links by size or signature.
-    """
-    a, b = _neighbours(batch, before, forest, reach, crossing)
-    classes, sizes = batch["class"].to_pylist(), batch["n_shingles"].to_numpy()
-    fits = 100 * np.minimum(sizes[a], sizes[b]) >= forest.percent * np.maximum(sizes[a], sizes[b])
-    if crossing:
-        whole = np.frombuffer(b"".join(batch["signature"].to_pylist()), ">u4").reshape(batch.num_rows, forest.values)
-        a, b = a[fits], b[fits]
-        alike = (whole[a] == whole[b]).mean(1) >= forest.least_estimate
-        a, b = a[alike], b[alike]
-        fits = np.ones(len(a), bool)
-    ends = [sorted((classes[i], classes[j])) for i, j in zip(a.tolist(), b.tolist(), strict=True)]
-    return [pa.array([e[0] for e in ends], pa.binary()), pa.array([e[1] for e in ends], pa.binary()), pa.array(fits, pa.bool_())]
+_PAIRED = "a binary, b binary, fits boolean, edge long, tree int, key binary, class binary, n_shingles long"
+_TYPES = [pa.binary(), pa.binary(), pa.bool_(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64()]
 
 
-_PAIR = [("a", pa.binary()), ("b", pa.binary()), ("fits", pa.bool_())]
-_PAIR_SCHEMA = "a binary, b binary, fits boolean"
+def _pair_batch(rows: list[tuple]) -> pa.RecordBatch:
+    names = ["a", "b", "fits", "edge", "tree", "key", "class", "n_shingles"]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(_TYPES)], names)
 
 
-def _packed(rows: pa.RecordBatch) -> bytes:
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, rows.schema) as stream:
-        stream.write_batch(rows)
-    return sink.getvalue().to_pybytes()
+def _fits(one: int, two: int, forest: Forest) -> bool:
+    """Whether set sizes allow the threshold."""
+    return 100 * min(one, two) >= forest.percent * max(one, two)
 
 
-def _candidates(ordered: DataFrame, forest: Forest, reach: int, crossing: bool) -> DataFrame:
-    """Neighbours in sorted orders as pairs (a, b) of classes with a < b.
+def _regions(classes: DataFrame, forest: Forest) -> DataFrame:
+    """(region, class, component) of all regions that hold several components.
 
-    Neighbours that lie in two tasks meet in a second step, in groups of the last rows of one task and the first ones
-    of the next.
+    Regions of too many rows are split by one more signature value, again and again; what still shares all ``depth``
+    values is split by a hash.
     """
-    names = [*[n for n, _ in _PAIR], "edge", "rows"]
-
-    def neighboured(batches):
-        task, first, last = TaskContext.get().partitionId(), None, None
-        for batch, before in _stretches(batches, reach):
-            pairs = _pairs(batch, before, forest, reach, crossing)
-            blank = [pa.nulls(len(pairs[0]), t) for t in (pa.int64(), pa.binary())]
-            yield pa.RecordBatch.from_arrays(pairs + blank, names)
-            first = batch.slice(0, reach) if first is None else first
-            last = batch.slice(max(0, batch.num_rows - reach))
-        for edge, rows in ((task - 1, first), (task, last)):
-            if rows is not None:
-                blank = [pa.nulls(1, t) for _, t in _PAIR]
-                yield pa.RecordBatch.from_arrays([*blank, pa.array([edge]), pa.array([_packed(rows)], pa.binary())], names)
-
-    found = checkpointed(ordered.mapInArrow(neighboured, f"{_PAIR_SCHEMA}, edge long, rows binary"))
-
-    def met(edge: pa.Table) -> pa.Table:
-        sides = [pa.ipc.open_stream(x).read_all() for x in edge["rows"].to_pylist()]
-        rows = pa.concat_tables(sides).sort_by([(c, "ascending") for c in ("tree", "key", "class")]).combine_chunks()
-        return pa.Table.from_arrays(_pairs(rows.to_batches()[0], 0, forest, reach, crossing), schema=pa.schema(_PAIR))
-
-    # At most twice ``reach`` rows of each edge between tasks.
-    edges = found.where("edge is not null").select("edge", "rows")
-    inner = found.where("edge is null").select(*[n for n, _ in _PAIR])
-    return inner.unionByName(edges.groupBy("edge").applyInArrow(met, _PAIR_SCHEMA))
+    todo, out = checkpointed(_by_order(classes, forest, ["component"])), []
+    for depth in range(forest.least_prefix, forest.depth + 1):
+        by = ["tree", F.substring("key", 1, 4 * depth).alias("prefix")]
+        sizes = todo.groupBy(*by).agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
+        sizes = checkpointed(sizes.where("low <> high").select("tree", "prefix", "n"))
+        rows = todo.withColumn("prefix", by[1])
+        last = depth == forest.depth
+        fine = sizes if last else sizes.where(F.col("n") <= forest.region_rows)
+        part = F.pmod(F.xxhash64("class"), F.ceil(F.col("n") / forest.region_rows)) if last else F.lit(0).cast("long")
+        region = F.struct("tree", "prefix", part.alias("part")).alias("region")
+        out.append(rows.join(fine, ["tree", "prefix"]).select(region, "class", "component"))
+        large = sizes.where(F.col("n") > forest.region_rows)
+        if last or large.isEmpty():
+            break
+        todo = checkpointed(rows.join(large.select("tree", "prefix"), ["tree", "prefix"], "left_semi").drop("prefix"))
+    return reduce(DataFrame.unionByName, out)
+
+
+def links_in_region(components: list[bytes], sets: list[np.ndarray], percent: int) -> list[tuple[bytes, bytes]]:
+    """Pairs of components that a pair of sets links, as many as it takes to join what hangs together."""
+    numbers = {c: i for i, c in enumerate(dict.fromkeys(components))}
+    top = list(range(len(numbers)))
+
+    def root(i):
+        while top[i] != i:
+            top[i] = top[top[i]]
+            i = top[i]
+        return i
+
+    of = [numbers[c] for c in components]
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    _, column = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(column, kind="stable")
+    holders = owner[order]
+    start = np.searchsorted(column[order], np.arange(column.max() + 2))
+    ends = np.cumsum(sizes)
+    left, out = len(numbers), []
+    for i in range(len(sets) - 1):
+        if left == 1:
+            break
+        mine = column[ends[i] - sizes[i] : ends[i]]
+        lengths = start[mine + 1] - start[mine]
+        at = np.repeat(start[mine] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+        shared = np.bincount(holders[at], minlength=len(sets))
+        near = np.flatnonzero(100 * shared >= percent * (sizes + sizes[i] - shared))
+        for j in near[near > i].tolist():
+            a, b = root(of[i]), root(of[j])
+            if a != b:
+                top[max(a, b)] = min(a, b)
+                left -= 1
+                out.append((components[i], components[j]))
+    return out
+
+
+def _links_between(regions: DataFrame, sets: DataFrame, forest: Forest) -> DataFrame:
+    """(a, b): components that hold a pair of linked classes of one region."""
+
+    def linked(batches):
+        region, components, members, out = None, [], [], []
+        for batch in batches:
+            names = batch["name"].to_pylist()
+            for name, component, packed in zip(names, batch["component"].to_pylist(), batch["members"].to_pylist(), strict=True):
+                if name != region:
+                    out += links_in_region(components, members, forest.percent) if len(components) > 1 else []
+                    region, components, members = name, [], []
+                components.append(component)
+                members.append(np.frombuffer(packed, np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.binary()) for i in (0, 1)], ["a", "b"])
+            out = []
+        out = links_in_region(components, members, forest.percent) if len(components) > 1 else []
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.binary()) for i in (0, 1)], ["a", "b"])
+
+    name = F.xxhash64("region.tree", "region.prefix", "region.part").alias("name")
+    met = regions.join(sets, "class").select(name, "component", "members")
+    tasks = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return met.repartition(tasks, "name").sortWithinPartitions("name").mapInArrow(linked, "a binary, b binary")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -272,6 +296,7 @@ def near_classes(documents: DataFrame, id_column: str = "doc_id", text_column: s
     Texts without words, and classes without links, are components of their own; a row is kept if its id is its
     component's, null equal to null.
     """
+    bound_batches(documents.sparkSession)
     rows = checkpointed(sketches(documents, id_column, text_column, forest))
     filled = rows.where(F.col("class").isNotNull())
     # Binary aggregates sort; equal sets have equal signatures, so any of a class will do.
@@ -279,7 +304,7 @@ def near_classes(documents: DataFrame, id_column: str = "doc_id", text_column: s
         F.min("id").alias("head"), F.max("n_shingles").alias("n_shingles"), F.max("signature").alias("signature")
     )
     classes = checkpointed(classes)
-    close = _candidates(_ordered(classes, forest, []), forest, 1, False)
+    close = _neighbours(classes, forest)
     close = checkpointed(close.groupBy("a", "b").agg(F.max("fits").alias("fits")))
     entries = close.select("a").union(close.select("b")).distinct().toDF("class")
     # Only classes with a neighbour in some order can have candidates.
@@ -291,14 +316,7 @@ def near_classes(documents: DataFrame, id_column: str = "doc_id", text_column: s
     roots = components(links)
     component = F.coalesce("root", "class").alias("component")
     placed = checkpointed(crowd.join(roots.withColumnRenamed("node", "class"), "class", "left").select(*crowd.columns, component))
-    again = _candidates(_ordered(placed, forest, ["component", "signature"]), forest, forest.reach, True)
-    late = again.select("a", "b").distinct().join(early, ["a", "b"], "left_anti")
-    more = confirmed(checkpointed(late), sets, forest.percent)
-    # Links between components of the first pass.
-    ends = placed.select("class", "component")
-    for end in ("a", "b"):
-        more = more.join(ends.withColumnsRenamed({"class": end, "component": f"of_{end}"}), end)
-    joined = components(more.select(F.col("of_a").alias("a"), F.col("of_b").alias("b")))
+    joined = components(_links_between(_regions(placed, forest), sets, forest))
     final = lookup(placed.select("class", "component"), "component", joined.withColumnsRenamed({"node": "component", "root": "top"}))
     final = checkpointed(final.select("class", F.coalesce("top", "component").alias("top")))
     members = checkpointed(final.join(classes.select("class", "head"), "class"))
