@@ -49,9 +49,9 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of each document and whether decoding them gives its text back."""
     model = Pieces(spark)
-    coded = docs.select("doc_id", "lang", "source", "text", model.encode(F.col("text")).alias("ids"))
-    trip = model.decode(F.col("ids")).eqNullSafe(F.col("text")).alias("round_trip")
-    return coded.select("doc_id", "lang", "source", F.size("ids").alias("n_pieces"), trip, "ids")
+    coded = docs.select("doc_id", "lang", "source", model.checked(F.col("text")).alias("coded"))
+    pieces = F.size("coded.ids").alias("n_pieces")
+    return coded.select("doc_id", "lang", "source", pieces, "coded.round_trip", "coded.ids")
 
 
 STAGES = [

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wayledger.llm.batches import bound_batches
+
 SEGMENT = 100
 PERCENT = 8
 #: UTF-8 bytes of items in one block, about.
@@ -144,6 +146,7 @@ def leaks(text: Column, benchmark: DataFrame, item_column: str = "item_id", text
 
     An item id with several texts counts as several items, which are reported one by one.
     """
+    bound_batches(benchmark.sparkSession)
     items = benchmark.select(F.col(item_column).cast("long").alias("item_id"), F.col(text_column).alias("text"))
     items = items.where(F.col("text").isNotNull()).distinct()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0

@@ -20,6 +20,8 @@ import regex
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from wayledger.llm.batches import bound_batches
+
 #: Phrases and labels.
 BASE = {
     "cc by": "cc-by",
@@ -127,6 +129,7 @@ class Finder:
 
 def notice_spans(spark: SparkSession, text: Column, notices: dict[str, str] | None = None) -> Column:
     """For each text its number of words and the spans of notices: label, phrase, place in words, edits, words found."""
+    bound_batches(spark)
     # The notices are a parameter of the caller's program, not a table.
     wanted = spark.sparkContext.broadcast(NOTICES if notices is None else notices)
     kind = pa.list_(

@@ -21,12 +21,17 @@ import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from wayledger.llm.batches import bound_batches
+
 MARK = "▁"
 MARK_BYTES = MARK.encode()
 #: Stands for a marker of the text itself; no UTF-8 text holds this byte.
 OWN_MARK = 0xFF
-REMEMBERED = 300_000
+REMEMBERED = 200_000
+#: Texts taken at once, and new segments searched at once; the search needs some hundred bytes for each of theirs.
 SLICE_BYTES = 2_000_000
+SLICE_ROWS = 400
+LEARN_BYTES = 400_000
 _SEGMENT = re.compile(f"{MARK}+[^{MARK}]*")
 
 
@@ -213,7 +218,7 @@ class Segmenter:
         raw = [s.encode() for s in segments]
         for high, word in enumerate(raw, 1):
             size += len(word)
-            if size >= SLICE_BYTES or high == len(raw):
+            if size >= LEARN_BYTES or high == len(raw):
                 self.known.update(zip(segments[low:high], self.best(raw[low:high]), strict=True))
                 low, size = high, 0
 
@@ -261,32 +266,55 @@ class Segmenter:
         return text[1:] if text.startswith(" ") else text
 
 
+def _sliced(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """The rows of the batches in slices, so that no task holds a batch's texts and ids several times over."""
+    for batch in batches:
+        for low in range(0, len(batch), SLICE_ROWS):
+            yield batch.slice(low, SLICE_ROWS)
+
+
 class Pieces:
     """Encode and decode columns with one vocabulary, whose trie is built once and sent to the tasks."""
 
     def __init__(self, spark: SparkSession, path: str | None = None, scores: str = "rank"):
+        bound_batches(spark)
         # Bounded by the vocabulary, whatever the data.
         shared = spark.sparkContext.broadcast(Segmenter(load_vocabulary(path or default_model(), scores)))
 
+        def lists_of(texts: pa.Array, packed: list[bytes]) -> pa.ListArray:
+            sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            ids = np.frombuffer(b"".join(packed), "<i4")
+            return pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids), mask=texts.is_null())
+
         @F.arrow_udf("array<int>")
         def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             segmenter = shared.value
-            for texts in batches:
-                packed = segmenter.encode(texts.to_pylist())
-                sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
-                offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-                ids = np.frombuffer(b"".join(packed), "<i4")
-                yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids), mask=texts.is_null())
+            for texts in _sliced(batches):
+                yield lists_of(texts, segmenter.encode(texts.to_pylist()))
+            # Workers live on between tasks; what was remembered should not.
+            segmenter.known.clear()
+
+        @F.arrow_udf("struct<ids:array<int>,round_trip:boolean>")
+        def checked(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            segmenter = shared.value
+            for texts in _sliced(batches):
+                plain = texts.to_pylist()
+                packed = segmenter.encode(plain)
+                back = (segmenter.decode(np.frombuffer(p, "<i4").tolist()) for p in packed)
+                same = [(t or "") == b for t, b in zip(plain, back, strict=True)]
+                yield pa.StructArray.from_arrays([lists_of(texts, packed), pa.array(same, pa.bool_())], ["ids", "round_trip"])
+            segmenter.known.clear()
 
         @F.arrow_udf("string")
         def decoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             segmenter = shared.value
-            for lists in batches:
+            for lists in _sliced(batches):
                 offsets, ids = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
                 spans = zip(offsets[:-1].tolist(), offsets[1:].tolist(), lists.is_valid().to_pylist(), strict=True)
                 yield pa.array([segmenter.decode(ids[a:b].tolist()) if ok else None for a, b, ok in spans], pa.string())
 
-        self._encoded, self._decoded = encoded, decoded
+        self._encoded, self._decoded, self._checked = encoded, decoded, checked
         self.byte_ids = [int(i) for i in shared.value.vocabulary.byte_ids]
 
     def encode(self, text: Column) -> Column:
@@ -294,3 +322,7 @@ class Pieces:
 
     def decode(self, ids: Column) -> Column:
         return self._decoded(ids)
+
+    def checked(self, text: Column) -> Column:
+        """(ids, round_trip): the ids and whether decoding them gives the text back, in one visit to Python."""
+        return self._checked(text)
