@@ -69,6 +69,31 @@ def test_one_large_group_over_many_tasks(spark):
     assert [found[i] for i in range(len(texts))] == exact(texts, 5, 80)
 
 
+@pytest.mark.parametrize("region_rows", [1, 8])
+def test_pairs_in_a_large_template_family(spark, region_rows):
+    """A page of one template each, in pairs: 97 shingles are everybody's, 11 the pair's and 12 the page's own."""
+    template, texts = " ".join(f"t{i}" for i in range(101)), []
+    for pair in range(250):
+        for page in range(2):
+            own = [f"p{pair}x{i}" for i in range(11)] + [f"q{pair}x{page}x{i}" for i in range(12)]
+            texts.append(" ".join([template, *own]))
+    random.Random(2).shuffle(texts)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.id: r.component_id for r in near.near_classes(rows, forest=near.Forest(region_rows=region_rows)).collect()}
+    want = exact(texts, 5, 80)
+    assert len(set(want)) == 250
+    assert sum(found[i] != w for i, w in enumerate(want)) == 0
+
+
+def test_crowd_against_all_pairs(spark, monkeypatch):
+    """Regions of every size are joined by first shingles, hot ones in many cells."""
+    monkeypatch.setattr(near, "_CELL_ROWS", 3)
+    texts = corpus(7, 60, 8, 30)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.id: r.component_id for r in near.near_classes(rows, forest=near.Forest(region_rows=0)).collect()}
+    assert [found[i] for i in range(len(texts))] == exact(texts, 5, 80)
+
+
 def test_edge_rows(spark):
     texts = ["one two three four five six", None, "", " \n ", "One two THREE four five six", "a b", "a b", "b a", "x"]
     rows = [*enumerate(texts), (0, texts[0]), (None, "nobody's own words here"), (None, texts[0]), (50, "word " * 50_000)]

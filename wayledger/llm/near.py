@@ -9,8 +9,9 @@ value first.  Classes whose signatures share a prefix lie next to each other in
 are compared follows from how crowded the region is.  The first pass compares direct neighbours, whose common prefix
 is the longest, in every order and joins what is confirmed into components; a region that has become one component
 costs nothing more however many copies it holds.  The second pass takes the regions that hold several components: all
-classes with a common prefix of ``least_prefix`` values or, where these are more than ``region_rows``, of as many more
-values as make them fewer.  In a region the exact overlaps of all full sets are counted through an inverted index.
+classes with a common prefix of ``least_prefix`` values.  In a region of up to ``region_rows`` of them the exact overlaps
+of all full sets are counted through an inverted index.  The classes of all larger regions are compared together by a
+prefix-filter join, which misses no pair of them whatever their number.
 
 Like any MinHash forest it finds a pair at the threshold with high probability, not certainty (the tests measure it
 against all pairs); what it links is exact.
@@ -22,7 +23,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayledger.llm.batches import bound_batches
-from wayledger.llm.graph import components, lookup
+from wayledger.llm.graph import HOT_PARTS, components, hot_values, lookup
 from wayledger.session import checkpointed
 
 
@@ -56,6 +56,10 @@ class Forest:
 
 
 _WORD_STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Shingles are counted by so many of their bits, to find the common ones.
+_COUNT_BITS = 20
+#: Rows of one shingle that meet as many others of it in one task, about.
+_CELL_ROWS = 2_000
 _MIX_A, _MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -173,28 +177,105 @@ def _fits(one: int, two: int, forest: Forest) -> bool:
     return 100 * min(one, two) >= forest.percent * max(one, two)
 
 
-def _regions(classes: DataFrame, forest: Forest) -> DataFrame:
-    """(region, class, component) of all regions that hold several components.
+def _regions(classes: DataFrame, forest: Forest) -> tuple[DataFrame, DataFrame]:
+    """(tree, prefix, class, component) of the regions that hold several components and (class, component) of the crowd.
 
-    Regions of too many rows are split by one more signature value, again and again; what still shares all ``depth``
-    values is split by a hash.
+    The crowd is all classes of regions of more than ``region_rows``; the other regions are given as they are.
     """
-    todo, out = checkpointed(_by_order(classes, forest, ["component"])), []
-    for depth in range(forest.least_prefix, forest.depth + 1):
-        by = ["tree", F.substring("key", 1, 4 * depth).alias("prefix")]
-        sizes = todo.groupBy(*by).agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
-        sizes = checkpointed(sizes.where("low <> high").select("tree", "prefix", "n"))
-        rows = todo.withColumn("prefix", by[1])
-        last = depth == forest.depth
-        fine = sizes if last else sizes.where(F.col("n") <= forest.region_rows)
-        part = F.pmod(F.xxhash64("class"), F.ceil(F.col("n") / forest.region_rows)) if last else F.lit(0).cast("long")
-        region = F.struct("tree", "prefix", part.alias("part")).alias("region")
-        out.append(rows.join(fine, ["tree", "prefix"]).select(region, "class", "component"))
-        large = sizes.where(F.col("n") > forest.region_rows)
-        if last or large.isEmpty():
-            break
-        todo = checkpointed(rows.join(large.select("tree", "prefix"), ["tree", "prefix"], "left_semi").drop("prefix"))
-    return reduce(DataFrame.unionByName, out)
+    prefix = F.substring("key", 1, 4 * forest.least_prefix).alias("prefix")
+    rows = checkpointed(_by_order(classes, forest, ["component"]).select("tree", prefix, "class", "component"))
+    by = ["tree", "prefix"]
+    sizes = rows.groupBy(*by).agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
+    sizes = checkpointed(sizes.where("low <> high").select(*by, "n"))
+    large = F.col("n") > forest.region_rows
+    crowd = rows.join(sizes.where(large).select(*by), by, "left_semi").select("class", "component").distinct()
+    return rows.join(sizes.where(~large).select(*by), by, "left_semi"), crowd
+
+
+def _slots(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> np.uint64(64 - _COUNT_BITS)).astype(np.int64)
+
+
+def _shingle_counts(sets: DataFrame) -> np.ndarray:
+    """How many of the sets hold a shingle, summed over the shingles that start with the same _COUNT_BITS bits."""
+    blocks = 1 << 6
+
+    def counted(batches):
+        total = np.zeros(1 << _COUNT_BITS, np.int64)
+        for batch in batches:
+            members = np.frombuffer(b"".join(batch["members"].to_pylist()), np.uint64)
+            total += np.bincount(_slots(members), minlength=len(total))
+        parts = [part.tobytes() for part in np.split(total, blocks)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), pa.array(parts, pa.binary())], ["block", "counts"])
+
+    def summed(block: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(part.as_py(), np.int64) for part in block["counts"])
+        return pa.Table.from_arrays([block["block"][:1], pa.array([total.tobytes()], pa.binary())], ["block", "counts"])
+
+    kind = "block int, counts binary"
+    found = sets.select("members").mapInArrow(counted, kind).groupBy("block").applyInArrow(summed, kind).collect()
+    return np.concatenate([np.frombuffer(row["counts"], np.int64) for row in sorted(found, key=lambda row: row["block"])])
+
+
+def first_shingles(members: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
+    """The rarest shingles of a set, in one order for all sets; sets that overlap by ``percent`` share one of them."""
+    ranked = members[np.lexsort((members, counts[_slots(members)]))]
+    return ranked[: len(members) - -(-percent * len(members) // 100) + 1]
+
+
+def _crowd_pairs(crowd: DataFrame, sets: DataFrame, forest: Forest) -> DataFrame:
+    """All pairs (a, b) of classes of several components that may overlap by the threshold: none that does is missing.
+
+    A prefix-filter join: pairs meet at a shingle among the first ones of both.  At the first that they share, the
+    overlap is at most what is left of either set from there on; this bound must allow the threshold.  Shingles that one
+    component holds alone are left out, and classes of the component that most of a shingle's rows belong to meet only
+    those of others.  Rows of a shingle with many are dealt to cells of _CELL_ROWS by as many.
+    """
+    own = checkpointed(crowd.join(sets, "class"))
+    shared = own.sparkSession.sparkContext.broadcast(_shingle_counts(own))
+
+    def listed(batches):
+        for batch in batches:
+            members = [np.frombuffer(packed, np.uint64) for packed in batch["members"].to_pylist()]
+            first = [first_shingles(m, shared.value, forest.percent) for m in members]
+            owner = pa.array(np.repeat(np.arange(len(first)), [len(f) for f in first]))
+            places = [np.concatenate([len(m) - np.arange(len(f)) for m, f in zip(members, first, strict=True)] or [[]])]
+            flat = np.concatenate(first).view(np.int64) if first else np.empty(0, np.int64)
+            arrays = [pa.array(flat), batch["class"].take(owner), batch["component"].take(owner)]
+            sizes = pa.array([len(m) for m in members], pa.int32()).take(owner)
+            yield pa.RecordBatch.from_arrays([*arrays, sizes, pa.array(places[0].astype(np.int32))], names)
+
+    names = ["shingle", "class", "component", "size", "left"]
+    rows = own.mapInArrow(listed, "shingle long, class binary, component binary, size int, left int")
+    rows = checkpointed(rows)
+    held = rows.groupBy("shingle", "component").agg(F.count("*").alias("n"))
+    held = held.groupBy("shingle").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("component", "n").alias("major"))
+    # Shingles of one component alone are no use but may be hot.
+    held = checkpointed(held.where((F.col("n") > F.col("most")) | (F.col("n") > HOT_PARTS)))
+    hot = hot_values(held, "shingle", rows.count())
+    met = lookup(rows, "shingle", held.where("n > most"), hot).where("n is not null")
+    down, across = F.ceil((F.col("n") - F.col("most")) / _CELL_ROWS), F.ceil(F.col("n") / _CELL_ROWS)
+    dealt = F.xxhash64("class")
+    cells = lambda parts: F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))
+    minor = met.where("component <> major").select("shingle", F.pmod(dealt, down).alias("i"), cells(across).alias("j"), *names[1:])
+    every = met.select("shingle", cells(down).alias("i"), F.pmod(dealt, across).alias("j"), *names[1:], "major")
+    pairs = minor.alias("x").join(every.alias("y"), ["shingle", "i", "j"])
+    enough = F.least("x.left", "y.left").cast("long") * (100 + forest.percent)
+    pairs = pairs.where((F.col("x.component") != F.col("y.component")) & (enough >= forest.percent * (F.col("x.size") + F.col("y.size"))))
+    # Two classes of which neither is of the largest component meet twice.
+    pairs = pairs.where((F.col("y.component") == F.col("y.major")) | (F.col("x.class") < F.col("y.class")))
+    return pairs.select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")).distinct()
+
+
+def _links_in_crowd(crowd: DataFrame, sets: DataFrame, forest: Forest) -> DataFrame:
+    """(a, b): components that hold a pair of linked classes of the crowd."""
+    crowd = checkpointed(crowd)
+    if crowd.isEmpty():
+        return crowd.select(F.col("component").alias("a"), F.col("component").alias("b"))
+    links = confirmed(checkpointed(_crowd_pairs(crowd, sets, forest)), sets, forest.percent)
+    for end in ("a", "b"):
+        links = links.join(crowd.select(F.col("class").alias(end), F.col("component").alias(f"of_{end}")), end)
+    return links.select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).distinct()
 
 
 def links_in_region(components: list[bytes], sets: list[np.ndarray], percent: int) -> list[tuple[bytes, bytes]]:
@@ -252,7 +333,7 @@ def _links_between(regions: DataFrame, sets: DataFrame, forest: Forest) -> DataF
         out = links_in_region(components, members, forest.percent) if len(components) > 1 else []
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.binary()) for i in (0, 1)], ["a", "b"])
 
-    name = F.xxhash64("region.tree", "region.prefix", "region.part").alias("name")
+    name = F.xxhash64("tree", "prefix").alias("name")
     met = regions.join(sets, "class").select(name, "component", "members")
     tasks = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return met.repartition(tasks, "name").sortWithinPartitions("name").mapInArrow(linked, "a binary, b binary")
@@ -316,7 +397,8 @@ def near_classes(documents: DataFrame, id_column: str = "doc_id", text_column: s
     roots = components(links)
     component = F.coalesce("root", "class").alias("component")
     placed = checkpointed(crowd.join(roots.withColumnRenamed("node", "class"), "class", "left").select(*crowd.columns, component))
-    joined = components(_links_between(_regions(placed, forest), sets, forest))
+    regions, crowd = _regions(placed, forest)
+    joined = components(_links_between(regions, sets, forest).unionByName(_links_in_crowd(crowd, sets, forest)))
     final = lookup(placed.select("class", "component"), "component", joined.withColumnsRenamed({"node": "component", "root": "top"}))
     final = checkpointed(final.select("class", F.coalesce("top", "component").alias("top")))
     members = checkpointed(final.join(classes.select("class", "head"), "class"))
