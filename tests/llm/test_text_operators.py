@@ -244,6 +244,25 @@ def test_leaks_against_all_windows(spark):
     assert found == want and len(want) > 20
 
 
+def test_passages_from_every_word_of_an_item(spark, folder):
+    """Whatever word of an item a passage of the stated length begins with, as it is and with an edit, it is found."""
+    items = [(r.item_id, leaks.normal(r.text)) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()][:12]
+    least, draw, rows = leaks.PASSAGE + leaks.STRIDE - 1, random.Random(6), []
+    for item_id, text in items:
+        starts = [0, *(m.end() for m in re.finditer(" ", text))]
+        for at in (a for a in starts if a + least <= len(text)):
+            passage = text[at : at + least]
+            place = draw.randrange(least)
+            for quote in (passage, f"{passage[:place]}q{passage[place + 1 :]}"):
+                rows.append((len(rows), item_id, f"Nothing known. {quote}, and no more of it."))
+    documents = spark.createDataFrame(rows, "doc_id long, wanted long, text string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    found = documents.select("doc_id", F.inline(leaks.leaks(F.col("text"), benchmark)))
+    found = {(r.doc_id, r.item_id) for r in found.collect()}
+    assert len(rows) > 200
+    assert {(i, item_id) for i, item_id, _ in rows} <= found
+
+
 def test_leaks_of_documents(spark, folder):
     """Whole items are planted; documents that share no four words in a row with an item are not reported."""
     rows = {(r.doc_id, r.item_id) for r in QUERIES["op1_benchmark_leaks"](spark, folder).collect()}

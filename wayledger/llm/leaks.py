@@ -1,10 +1,13 @@
 """Benchmark passages in documents, found by pigeonhole pieces and verified by Myers' bit-parallel distance.
 
 Texts are taken as lower-cased words (A-Z only) of digits, letters and non-ASCII characters with one space between
-them.  An item is cut into segments of about SEGMENT characters, so that a passage of an item is found too.  A segment
-of m characters may differ by m * PERCENT // 100 edits; cut into one piece more than that, at least one piece stands
-unchanged in every match.  One automaton finds the pieces of all segments in a document, and each hit is verified over
-the window in which its segment could lie.
+them.  An item is cut into segments of about SEGMENT characters.  A segment of m characters may differ by m * PERCENT //
+100 edits; cut into one piece more than that, at least one piece stands unchanged in every match.  One automaton finds
+the pieces of all segments in a document, and each hit is verified over the window in which its segment could lie.
+
+An item of which no segment is found is also looked for by its windows: PASSAGE characters that begin at every STRIDE
+characters, with the same share of edits.  Every passage of PASSAGE + STRIDE - 1 characters or more covers a window, so
+it is found wherever in the item it begins.
 
 The benchmark is a stated query set: its distinct items are taken in blocks of bounded size, each of which is sent to
 all tasks.  Null or empty items and texts match nothing; segments shorter than a document's words are still found
@@ -25,6 +28,8 @@ from wayledger.llm.batches import bound_batches
 
 SEGMENT = 100
 PERCENT = 8
+PASSAGE = 50
+STRIDE = 25
 #: UTF-8 bytes of items in one block, about.
 BLOCK_BYTES = 4 << 20
 
@@ -46,6 +51,12 @@ def cut(text: str, parts: int) -> list[tuple[int, str]]:
     return [(a, text[a:b]) for a, b in zip(ends, ends[1:])]
 
 
+def windows(text: str) -> list[str]:
+    """Overlapping windows over a text, the last at its end; none of a text that is no longer than one."""
+    last = len(text) - PASSAGE
+    return [text[a : a + PASSAGE] for a in [*range(0, last, STRIDE), last]] if last > 0 else []
+
+
 def occurrence(pattern: str, masks: dict[str, int], text: str) -> tuple[int, int]:
     """The least edit distance of the pattern to a substring of the text, and where the first such substring ends."""
     top, full = 1 << (len(pattern) - 1), (1 << len(pattern)) - 1
@@ -85,11 +96,13 @@ class Searcher:
             if not text:
                 continue
             parts = max(1, round(len(text) / SEGMENT))
-            for _, segment in cut(text, parts):
+            stretches = [(True, segment) for _, segment in cut(text, parts)]
+            stretches += [(False, window) for window in windows(text)]
+            for whole, segment in stretches:
                 errors = len(segment) * PERCENT // 100
                 for at, piece in cut(segment, errors + 1):
                     seeds.setdefault(piece, []).append((len(self.segments), at))
-                self.segments.append((number, item_id, parts, segment, errors, masks_of(segment)))
+                self.segments.append((number, item_id, parts, segment, errors, masks_of(segment), whole))
         self.automaton = ahocorasick.Automaton()
         for piece, places in seeds.items():
             self.automaton.add_word(piece, (len(piece), places))
@@ -97,34 +110,51 @@ class Searcher:
             self.automaton.make_automaton()
 
     def find(self, text: str | None) -> list[dict]:
-        """The items that a text holds a segment of, with the segments found and their total edits."""
+        """The items that a text holds a passage of, with the segments found and their total edits.
+
+        An item found by its windows only has no segments; its edits are those of the window with the fewest.
+        """
         words = normal(text)
         if not words or not self.segments:
             return []
         best: dict[int, tuple[int, int, int]] = {}
         seen: dict[int, tuple[int, int]] = {}
+
+        def verify(which: int, begin: int) -> None:
+            _, _, _, segment, errors, masks, _ = self.segments[which]
+            if which in best and best[which][0] == 0:
+                return
+            low, high = max(0, begin - errors), begin + len(segment) + errors
+            if which in seen and seen[which][0] <= low and high <= seen[which][1]:
+                return
+            seen[which] = (low, high)
+            edits, end = occurrence(segment, masks, words[low:high])
+            if edits <= errors and (which not in best or edits < best[which][0]):
+                best[which] = (edits, max(0, low + end - len(segment)), low + end)
+
+        later = []
         for last, (size, places) in self.automaton.iter(words):
             for which, offset in places:
-                _, _, _, segment, errors, masks = self.segments[which]
-                if which in best and best[which][0] == 0:
-                    continue
-                low = max(0, last + 1 - size - offset - errors)
-                high = last + 1 - size - offset + len(segment) + errors
-                if which in seen and seen[which][0] <= low and high <= seen[which][1]:
-                    continue
-                seen[which] = (low, high)
-                edits, end = occurrence(segment, masks, words[low:high])
-                if edits <= errors and (which not in best or edits < best[which][0]):
-                    best[which] = (edits, max(0, low + end - len(segment)), low + end)
+                if self.segments[which][6]:
+                    verify(which, last + 1 - size - offset)
+                else:
+                    later.append((which, last + 1 - size - offset))
+        whole = {self.segments[which][0] for which in best}
+        for which, begin in later:
+            if self.segments[which][0] not in whole:
+                verify(which, begin)
         found: dict[int, dict] = {}
         for which, (edits, start, stop) in best.items():
             number, item_id, parts = self.segments[which][:3]
             match = found.setdefault(
                 number,
-                {"item_id": item_id, "n_segments": 0, "of_segments": parts, "edits": 0, "first_char": start, "last_char": stop},
+                {"item_id": item_id, "n_segments": 0, "of_segments": parts, "edits": 0 if number in whole else edits, "first_char": start, "last_char": stop},
             )
-            match["n_segments"] += 1
-            match["edits"] += edits
+            if number in whole:
+                match["n_segments"] += 1
+                match["edits"] += edits
+            else:
+                match["edits"] = min(edits, match["edits"])
             match["first_char"], match["last_char"] = min(start, match["first_char"]), max(stop, match["last_char"])
         return list(found.values())
 
