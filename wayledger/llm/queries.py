@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayledger.llm import chat, hosts, leaks, near, notices, quality, sharding, topk, toxicity
+from wayledger.llm import chat, hosts, leaks, near, notices, quality, sharding, structure, topk, toxicity
 from wayledger.llm.pieces import Pieces
 from wayledger.llm.training import fold
 
@@ -179,3 +179,10 @@ def top_k(spark: SparkSession, folder: str) -> DataFrame:
 def chat_repair(spark: SparkSession, folder: str) -> DataFrame:
     """The pieces of every conversation after the cheapest repair of its roles, as rendered."""
     return chat.repair(table(spark, folder, "conversations"))
+
+
+@query("op13_structure_repair")
+def structure_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """The faults of every damaged conversation, its cheapest edits and the digest of the repaired rows."""
+    conversations = table(spark, folder, "conversations")
+    return structure.report(conversations, structure.damage(conversations))
