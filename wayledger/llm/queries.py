@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayledger.llm import chat, hosts, leaks, near, notices, quality, sharding, structure, topk, toxicity
+from wayledger.llm import alignment, chat, hosts, language, leaks, near, notices, quality, sharding, structure, topk, toxicity
 from wayledger.llm.pieces import Pieces
 from wayledger.llm.training import fold
 
@@ -186,3 +186,19 @@ def structure_repair(spark: SparkSession, folder: str) -> DataFrame:
     """The faults of every damaged conversation, its cheapest edits and the digest of the repaired rows."""
     conversations = table(spark, folder, "conversations")
     return structure.report(conversations, structure.damage(conversations))
+
+
+@query("op11_token_alignment")
+def token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """How the tokens of two tokenizers lie over each other in every document."""
+    return alignment.report(alignment.aligned(table(spark, folder, "documents")))
+
+
+@query("op12_language")
+def languages(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's language by its words, learnt from the documents outside fold 0 of 5."""
+    documents = table(spark, folder, "documents")
+    model = language.train(documents, fold(F.col("doc_id"), 5) != 0)
+    found = documents.select("doc_id", model.predict(spark, F.col("text")).alias("found"))
+    held_out = F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(True)).alias("held_out")
+    return found.select("doc_id", held_out, F.col("found.lang").alias("lang_pred"), "found.score", "found.n_words")
