@@ -51,3 +51,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Materialise once in the shared folder, so later branches read the same rows."""
     shared_root(df.sparkSession)
     return df.checkpoint()
+
+
+def forget(*tables: DataFrame) -> None:
+    """Remove the files of ``checkpointed`` tables that nothing will read again."""
+    for df in tables:
+        file = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+        if file.isDefined():
+            remove(df.sparkSession, file.get())
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a file or folder in whatever store it lies."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
