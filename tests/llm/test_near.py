@@ -69,8 +69,8 @@ def test_one_large_group_over_many_tasks(spark):
     assert [found[i] for i in range(len(texts))] == exact(texts, 5, 80)
 
 
-@pytest.mark.parametrize("region_rows", [1, 8])
-def test_pairs_in_a_large_template_family(spark, region_rows):
+@pytest.mark.parametrize("cell_bytes", [30_000, 4 << 20])
+def test_pairs_in_a_large_template_family(spark, cell_bytes):
     """A page of one template each, in pairs: 97 shingles are everybody's, 11 the pair's and 12 the page's own."""
     template, texts = " ".join(f"t{i}" for i in range(101)), []
     for pair in range(250):
@@ -79,21 +79,87 @@ def test_pairs_in_a_large_template_family(spark, region_rows):
             texts.append(" ".join([template, *own]))
     random.Random(2).shuffle(texts)
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    found = {r.id: r.component_id for r in near.near_classes(rows, forest=near.Forest(region_rows=region_rows)).collect()}
+    found = {r.id: r.component_id for r in near.near_classes(rows, forest=near.Forest(cell_bytes=cell_bytes)).collect()}
     want = exact(texts, 5, 80)
     assert len(set(want)) == 250
     assert sum(found[i] != w for i, w in enumerate(want)) == 0
 
 
-def test_crowd_against_all_pairs(spark, monkeypatch):
-    """Regions of every size are joined by first shingles, hot ones in many cells."""
-    monkeypatch.setattr(near, "_CELL_ROWS", 3)
+def test_cells_against_all_pairs(spark):
+    """Regions of every size are dealt to many cells."""
     texts = corpus(7, 60, 8, 30)
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    found = {r.id: r.component_id for r in near.near_classes(rows, forest=near.Forest(region_rows=0)).collect()}
+    forest = near.Forest(cell_bytes=5_000, round_orders=3)
+    found = {r.id: r.component_id for r in near.near_classes(rows, forest=forest).collect()}
     assert [found[i] for i in range(len(texts))] == exact(texts, 5, 80)
 
 
+def test_a_family_of_distinct_near_misses(spark, monkeypatch):
+    """2,000 pages of one template with two changed words each: most pairs miss by little, and nothing is written per pair."""
+    draw, template, texts = random.Random(6), [f"t{i}" for i in range(70)], []
+    for _ in range(2_000):
+        page = list(template)
+        for at in draw.sample(range(70), 2):
+            page[at] = f"c{draw.randrange(10**6)}"
+        texts.append(" ".join(page))
+    cells, links = [], []
+    meet, compare = near._cells, near.links_in_cell
+
+    def counted(*args):
+        found = meet(*args)
+        cells.append(found.count())
+        return found
+
+    monkeypatch.setattr(near, "_cells", counted)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.id: r.component_id for r in near.near_classes(rows).collect()}
+    # A set goes to at most a few cells of each order that its region is in.
+    assert max(cells) <= 3 * near.Forest().round_orders * len(texts)
+    sets = [near.shingle_set(t, 5) for t in texts]
+    links = compare([bytes([i >> 8, i & 255]) for i in range(len(sets))], sets, [-1] * len(sets), 80)
+    top = list(range(len(sets)))
+
+    def root(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    for a, b in links:
+        a, b = sorted((root(int.from_bytes(a)), root(int.from_bytes(b))))
+        top[b] = a
+    want = [root(i) for i in range(len(sets))]
+    # Links that share no three values in any order may be missed.
+    assert sum(found[i] != w for i, w in enumerate(want)) <= 2
+
+
+@pytest.mark.parametrize("crossing", [False, True])
+def test_links_in_a_cell(crossing):
+    texts = corpus(11, 20, 5, 30)
+    sets = [near.shingle_set(t, 5) for t in texts]
+    draw = random.Random(3)
+    sides = [draw.randrange(2) if crossing else -1 for _ in texts]
+    names = [b"%03d" % i for i in range(len(texts))]
+    top = {n: n for n in names}
+
+    def root(n):
+        while top[n] != n:
+            n = top[n]
+        return n
+
+    for a, b in near.links_in_cell(names, sets, sides, 80):
+        a, b = sorted((root(a), root(b)))
+        top[b] = a
+    want = list(range(len(texts)))
+    alike = lambda x, y: 100 * len(x & y) >= 80 * len(x | y)
+    plain = [set(s.tolist()) for s in sets]
+    for _ in range(len(texts)):
+        for i in range(len(texts)):
+            for j in range(i):
+                if alike(plain[i], plain[j]) and (not crossing or sides[i] != sides[j]):
+                    want[i] = want[j] = min(want[i], want[j])
+    assert [int(root(n)) for n in names] == want
+
+
 def test_edge_rows(spark):
     texts = ["one two three four five six", None, "", " \n ", "One two THREE four five six", "a b", "a b", "b a", "x"]
     rows = [*enumerate(texts), (0, texts[0]), (None, "nobody's own words here"), (None, texts[0]), (50, "word " * 50_000)]

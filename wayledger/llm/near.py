@@ -9,9 +9,10 @@ value first.  Classes whose signatures share a prefix lie next to each other in
 are compared follows from how crowded the region is.  The first pass compares direct neighbours, whose common prefix
 is the longest, in every order and joins what is confirmed into components; a region that has become one component
 costs nothing more however many copies it holds.  The second pass takes the regions that hold several components: all
-classes with a common prefix of ``least_prefix`` values.  In a region of up to ``region_rows`` of them the exact overlaps
-of all full sets are counted through an inverted index.  The classes of all larger regions are compared together by a
-prefix-filter join, which misses no pair of them whatever their number.
+classes with a common prefix of ``least_prefix`` values, some orders at a time.  In a region the exact overlaps of all full
+sets are counted through an inverted index.  Larger regions are dealt to cells of bounded size, where each pair of
+classes of different components meets once; a cell gets each set once and gives only links that join components, so what
+is written grows with the sets and not with the pairs.  Between the rounds the components are contracted.
 
 Like any MinHash forest it finds a pair at the threshold with high probability, not certainty (the tests measure it
 against all pairs); what it links is exact.
@@ -21,7 +22,7 @@ Null ids are possible: a class whose ids are all null has a null component.  Rep
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,8 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayledger.llm.batches import bound_batches
-from wayledger.llm.graph import HOT_PARTS, components, hot_values, lookup
-from wayledger.session import checkpointed
+from wayledger.llm.graph import components, hot_values, lookup
+from wayledger.session import checkpointed, forget
 
 
 @dataclass(frozen=True)
@@ -46,7 +47,12 @@ class Forest:
     stride: int = 4
     depth: int = 12
     least_prefix: int = 3
-    region_rows: int = 512
+    #: Orders compared between two contractions.
+    round_orders: int = 4
+    #: Sets of a region, or of a group of its classes, that are compared in one task, about.
+    cell_bytes: int = 4 << 20
+    #: What a set counts for besides its shingles, which bounds the sets of a cell.
+    set_bytes: int = 2_048
     #: Rows of an order in one task, at least about; neighbours are at most one task away.
     task_rows: int = 10_000
 
@@ -56,10 +62,6 @@ class Forest:
 
 
 _WORD_STEP = np.uint64(0x9E3779B97F4A7C15)
-#: Shingles are counted by so many of their bits, to find the common ones.
-_COUNT_BITS = 20
-#: Rows of one shingle that meet as many others of it in one task, about.
-_CELL_ROWS = 2_000
 _MIX_A, _MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -112,9 +114,9 @@ def sketches(documents: DataFrame, id_column: str, text_column: str, forest: For
     return rows.mapInArrow(sketched, "id long, n_shingles long, class binary, signature binary")
 
 
-def _by_order(classes: DataFrame, forest: Forest, extra: list[str]) -> DataFrame:
-    """One row per order and class with the signature from that order's start."""
-    tree = F.explode(F.array(*[F.lit(t) for t in range(forest.orders)])).alias("tree")
+def _by_order(classes: DataFrame, forest: Forest, extra: list[str], trees: Iterable[int] | None = None) -> DataFrame:
+    """One row per order (or some of them) and class with the signature from that order's start."""
+    tree = F.explode(F.array(*[F.lit(t) for t in (range(forest.orders) if trees is None else trees)])).alias("tree")
     rows = classes.select(tree, "class", *extra, F.concat("signature", "signature").alias("twice"))
     key = F.expr(f"substring(twice, tree * {4 * forest.stride} + 1, {4 * forest.depth})").alias("key")
     return rows.select("tree", key, "class", *extra)
@@ -177,109 +179,53 @@ def _fits(one: int, two: int, forest: Forest) -> bool:
     return 100 * min(one, two) >= forest.percent * max(one, two)
 
 
-def _regions(classes: DataFrame, forest: Forest) -> tuple[DataFrame, DataFrame]:
-    """(tree, prefix, class, component) of the regions that hold several components and (class, component) of the crowd.
+def _cells(placed: DataFrame, trees: list[int], forest: Forest) -> DataFrame:
+    """(cell, side, class, component) of the regions of some orders that hold several components.
 
-    The crowd is all classes of regions of more than ``region_rows``; the other regions are given as they are.
+    A region of up to ``cell_bytes`` of sets is one cell.  Of a larger one the component with most bytes and the others are
+    dealt to groups of about that size by a hash of the class.  Two groups meet in a cell, unless both are of the largest
+    component; so each pair of classes of different components meets once, and a set goes to as many cells as there are
+    groups that it must meet.  Side 0 meets side 1, and in a cell of one group everything meets.
     """
-    prefix = F.substring("key", 1, 4 * forest.least_prefix).alias("prefix")
-    rows = checkpointed(_by_order(classes, forest, ["component"]).select("tree", prefix, "class", "component"))
-    by = ["tree", "prefix"]
-    sizes = rows.groupBy(*by).agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
-    sizes = checkpointed(sizes.where("low <> high").select(*by, "n"))
-    large = F.col("n") > forest.region_rows
-    crowd = rows.join(sizes.where(large).select(*by), by, "left_semi").select("class", "component").distinct()
-    return rows.join(sizes.where(~large).select(*by), by, "left_semi"), crowd
-
-
-def _slots(shingles: np.ndarray) -> np.ndarray:
-    return (shingles >> np.uint64(64 - _COUNT_BITS)).astype(np.int64)
-
-
-def _shingle_counts(sets: DataFrame) -> np.ndarray:
-    """How many of the sets hold a shingle, summed over the shingles that start with the same _COUNT_BITS bits."""
-    blocks = 1 << 6
-
-    def counted(batches):
-        total = np.zeros(1 << _COUNT_BITS, np.int64)
-        for batch in batches:
-            members = np.frombuffer(b"".join(batch["members"].to_pylist()), np.uint64)
-            total += np.bincount(_slots(members), minlength=len(total))
-        parts = [part.tobytes() for part in np.split(total, blocks)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), pa.array(parts, pa.binary())], ["block", "counts"])
-
-    def summed(block: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(part.as_py(), np.int64) for part in block["counts"])
-        return pa.Table.from_arrays([block["block"][:1], pa.array([total.tobytes()], pa.binary())], ["block", "counts"])
-
-    kind = "block int, counts binary"
-    found = sets.select("members").mapInArrow(counted, kind).groupBy("block").applyInArrow(summed, kind).collect()
-    return np.concatenate([np.frombuffer(row["counts"], np.int64) for row in sorted(found, key=lambda row: row["block"])])
-
-
-def first_shingles(members: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
-    """The rarest shingles of a set, in one order for all sets; sets that overlap by ``percent`` share one of them."""
-    ranked = members[np.lexsort((members, counts[_slots(members)]))]
-    return ranked[: len(members) - -(-percent * len(members) // 100) + 1]
-
-
-def _crowd_pairs(crowd: DataFrame, sets: DataFrame, forest: Forest) -> DataFrame:
-    """All pairs (a, b) of classes of several components that may overlap by the threshold: none that does is missing.
-
-    A prefix-filter join: pairs meet at a shingle among the first ones of both.  At the first that they share, the
-    overlap is at most what is left of either set from there on; this bound must allow the threshold.  Shingles that one
-    component holds alone are left out, and classes of the component that most of a shingle's rows belong to meet only
-    those of others.  Rows of a shingle with many are dealt to cells of _CELL_ROWS by as many.
+    name = F.xxhash64("tree", F.substring("key", 1, 4 * forest.least_prefix)).alias("region")
+    cost = (forest.set_bytes + 8 * F.col("n_shingles")).alias("bytes")
+    rows = _by_order(placed, forest, ["component", "n_shingles"], trees).select(name, "class", "component", cost)
+    held = rows.groupBy("region", "component").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("n"))
+    regions = held.groupBy("region").agg(
+        F.count("*").alias("components"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.max("bytes").alias("most"),
+        F.max_by("component", F.struct("bytes", "component")).alias("major"),
+    )
+    regions = checkpointed(regions.where("components > 1").drop("components"))
+    hot = hot_values(regions, "region", placed.count() * len(trees))
+    met = lookup(rows.drop("bytes"), "region", regions.drop("n"), hot).where("bytes is not null")
+    # Regions are many and small; few need more than one cell.
+    single = F.struct("region", F.lit(0).alias("i"), F.lit(-1).alias("j")).alias("cell")
+    whole = met.where(F.col("bytes") <= forest.cell_bytes).select(single, F.lit(-1).alias("side"), "class", "component")
+    if regions.where(F.col("bytes") > forest.cell_bytes).isEmpty():
+        return whole
+    parts = lambda size: F.greatest(F.lit(1), F.ceil(size / forest.cell_bytes)).cast("int")
+    met = met.where(F.col("bytes") > forest.cell_bytes)
+    met = met.select("region", "class", "component", parts(F.col("bytes") - F.col("most")).alias("minor"), parts(F.col("most")).alias("major_parts"), "major")
+    is_major = F.col("component") == F.col("major")
+    group = F.pmod(F.xxhash64("class"), F.when(is_major, F.col("major_parts")).otherwise(F.col("minor"))).cast("int").alias("group")
+    met = met.select("region", "class", "component", "minor", "major_parts", is_major.alias("is_major"), group)
+    # Groups of the largest component are numbered after the others.
+    others = F.sequence(F.lit(0), F.col("minor") - 1)
+    every = F.sequence(F.lit(0), F.col("minor") + F.col("major_parts") - 1)
+    met = met.withColumn("own", F.when(F.col("is_major"), F.col("minor") + F.col("group")).otherwise(F.col("group")))
+    met = met.withColumn("other", F.explode(F.when(F.col("is_major"), others).otherwise(every)))
+    own, other = F.col("own"), F.col("other")
+    cell = F.struct("region", F.least(own, other).alias("i"), F.greatest(own, other).alias("j")).alias("cell")
+    side = F.when(own == other, -1).when(own < other, 0).otherwise(1).alias("side")
+    return whole.unionByName(met.select(cell, side, "class", "component"))
+
+
+def links_in_cell(components: list[bytes], sets: list[np.ndarray], sides: list[int], percent: int) -> list[tuple[bytes, bytes]]:
+    """Pairs of components that a pair of sets links, as many as it takes to join what hangs together.
+
+    Sets of side 0 are compared with those of side 1, sets of side -1 with all later ones.  The overlaps of one set with
+    all others are counted through an inverted index, so no pair is written.
     """
-    own = checkpointed(crowd.join(sets, "class"))
-    shared = own.sparkSession.sparkContext.broadcast(_shingle_counts(own))
-
-    def listed(batches):
-        for batch in batches:
-            members = [np.frombuffer(packed, np.uint64) for packed in batch["members"].to_pylist()]
-            first = [first_shingles(m, shared.value, forest.percent) for m in members]
-            owner = pa.array(np.repeat(np.arange(len(first)), [len(f) for f in first]))
-            places = [np.concatenate([len(m) - np.arange(len(f)) for m, f in zip(members, first, strict=True)] or [[]])]
-            flat = np.concatenate(first).view(np.int64) if first else np.empty(0, np.int64)
-            arrays = [pa.array(flat), batch["class"].take(owner), batch["component"].take(owner)]
-            sizes = pa.array([len(m) for m in members], pa.int32()).take(owner)
-            yield pa.RecordBatch.from_arrays([*arrays, sizes, pa.array(places[0].astype(np.int32))], names)
-
-    names = ["shingle", "class", "component", "size", "left"]
-    rows = own.mapInArrow(listed, "shingle long, class binary, component binary, size int, left int")
-    rows = checkpointed(rows)
-    held = rows.groupBy("shingle", "component").agg(F.count("*").alias("n"))
-    held = held.groupBy("shingle").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("component", "n").alias("major"))
-    # Shingles of one component alone are no use but may be hot.
-    held = checkpointed(held.where((F.col("n") > F.col("most")) | (F.col("n") > HOT_PARTS)))
-    hot = hot_values(held, "shingle", rows.count())
-    met = lookup(rows, "shingle", held.where("n > most"), hot).where("n is not null")
-    down, across = F.ceil((F.col("n") - F.col("most")) / _CELL_ROWS), F.ceil(F.col("n") / _CELL_ROWS)
-    dealt = F.xxhash64("class")
-    cells = lambda parts: F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))
-    minor = met.where("component <> major").select("shingle", F.pmod(dealt, down).alias("i"), cells(across).alias("j"), *names[1:])
-    every = met.select("shingle", cells(down).alias("i"), F.pmod(dealt, across).alias("j"), *names[1:], "major")
-    pairs = minor.alias("x").join(every.alias("y"), ["shingle", "i", "j"])
-    enough = F.least("x.left", "y.left").cast("long") * (100 + forest.percent)
-    pairs = pairs.where((F.col("x.component") != F.col("y.component")) & (enough >= forest.percent * (F.col("x.size") + F.col("y.size"))))
-    # Two classes of which neither is of the largest component meet twice.
-    pairs = pairs.where((F.col("y.component") == F.col("y.major")) | (F.col("x.class") < F.col("y.class")))
-    return pairs.select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")).distinct()
-
-
-def _links_in_crowd(crowd: DataFrame, sets: DataFrame, forest: Forest) -> DataFrame:
-    """(a, b): components that hold a pair of linked classes of the crowd."""
-    crowd = checkpointed(crowd)
-    if crowd.isEmpty():
-        return crowd.select(F.col("component").alias("a"), F.col("component").alias("b"))
-    links = confirmed(checkpointed(_crowd_pairs(crowd, sets, forest)), sets, forest.percent)
-    for end in ("a", "b"):
-        links = links.join(crowd.select(F.col("class").alias(end), F.col("component").alias(f"of_{end}")), end)
-    return links.select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).distinct()
-
-
-def links_in_region(components: list[bytes], sets: list[np.ndarray], percent: int) -> list[tuple[bytes, bytes]]:
-    """Pairs of components that a pair of sets links, as many as it takes to join what hangs together."""
     numbers = {c: i for i, c in enumerate(dict.fromkeys(components))}
     top = list(range(len(numbers)))
 
@@ -291,22 +237,32 @@ def links_in_region(components: list[bytes], sets: list[np.ndarray], percent: in
 
     of = [numbers[c] for c in components]
     sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-    _, column = np.unique(np.concatenate(sets), return_inverse=True)
-    owner = np.repeat(np.arange(len(sets)), sizes)
+    crossing = sides[0] >= 0
+    # The side with more sets is indexed, the other one asks.
+    asking = min((0, 1), key=sides.count) if crossing else -1
+    askers = [i for i, side in enumerate(sides) if side == asking]
+    indexed = np.array([i for i, side in enumerate(sides) if side != asking] if crossing else range(len(sets)), np.int64)
+    if not askers or not len(indexed):
+        return []
+    values, column = np.unique(np.concatenate([sets[i] for i in indexed]), return_inverse=True)
+    owner = np.repeat(np.arange(len(indexed)), sizes[indexed])
     order = np.argsort(column, kind="stable")
     holders = owner[order]
-    start = np.searchsorted(column[order], np.arange(column.max() + 2))
-    ends = np.cumsum(sizes)
+    start = np.searchsorted(column[order], np.arange(len(values) + 1))
+    index_sizes = sizes[indexed]
     left, out = len(numbers), []
-    for i in range(len(sets) - 1):
+    for i in askers:
         if left == 1:
             break
-        mine = column[ends[i] - sizes[i] : ends[i]]
+        at = np.minimum(np.searchsorted(values, sets[i]), len(values) - 1)
+        mine = at[values[at] == sets[i]]
         lengths = start[mine + 1] - start[mine]
-        at = np.repeat(start[mine] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
-        shared = np.bincount(holders[at], minlength=len(sets))
-        near = np.flatnonzero(100 * shared >= percent * (sizes + sizes[i] - shared))
-        for j in near[near > i].tolist():
+        spots = np.repeat(start[mine] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+        shared = np.bincount(holders[spots], minlength=len(indexed))
+        near = np.flatnonzero(100 * shared >= percent * (index_sizes + sizes[i] - shared))
+        for j in indexed[near].tolist():
+            if not crossing and j <= i:
+                continue
             a, b = root(of[i]), root(of[j])
             if a != b:
                 top[max(a, b)] = min(a, b)
@@ -315,28 +271,29 @@ def links_in_region(components: list[bytes], sets: list[np.ndarray], percent: in
     return out
 
 
-def _links_between(regions: DataFrame, sets: DataFrame, forest: Forest) -> DataFrame:
-    """(a, b): components that hold a pair of linked classes of one region."""
+def _links_between(cells: DataFrame, sets: DataFrame, forest: Forest) -> DataFrame:
+    """(a, b): components that hold a pair of linked classes of one cell; each set goes to a cell once."""
 
     def linked(batches):
-        region, components, members, out = None, [], [], []
+        cell, components, members, sides, out = None, [], [], [], []
         for batch in batches:
-            names = batch["name"].to_pylist()
-            for name, component, packed in zip(names, batch["component"].to_pylist(), batch["members"].to_pylist(), strict=True):
-                if name != region:
-                    out += links_in_region(components, members, forest.percent) if len(components) > 1 else []
-                    region, components, members = name, [], []
+            columns = (batch[c].to_pylist() for c in ("region", "i", "j", "component", "members", "side"))
+            for region, i, j, component, packed, side in zip(*columns, strict=True):
+                if (region, i, j) != cell:
+                    out += links_in_cell(components, members, sides, forest.percent) if len(components) > 1 else []
+                    cell, components, members, sides = (region, i, j), [], [], []
                 components.append(component)
                 members.append(np.frombuffer(packed, np.uint64))
+                sides.append(side)
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.binary()) for i in (0, 1)], ["a", "b"])
             out = []
-        out = links_in_region(components, members, forest.percent) if len(components) > 1 else []
+        out = links_in_cell(components, members, sides, forest.percent) if len(components) > 1 else []
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.binary()) for i in (0, 1)], ["a", "b"])
 
-    name = F.xxhash64("tree", "prefix").alias("name")
-    met = regions.join(sets, "class").select(name, "component", "members")
+    name = ["region", "i", "j"]
+    met = cells.join(sets, "class").select("cell.region", "cell.i", "cell.j", "side", "component", "members")
     tasks = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return met.repartition(tasks, "name").sortWithinPartitions("name").mapInArrow(linked, "a binary, b binary")
+    return met.repartition(tasks, *name).sortWithinPartitions(*name).mapInArrow(linked, "a binary, b binary")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -378,34 +335,43 @@ def near_classes(documents: DataFrame, id_column: str = "doc_id", text_column: s
     component's, null equal to null.
     """
     bound_batches(documents.sparkSession)
-    rows = checkpointed(sketches(documents, id_column, text_column, forest))
-    filled = rows.where(F.col("class").isNotNull())
+    sketched = checkpointed(sketches(documents, id_column, text_column, forest))
     # Binary aggregates sort; equal sets have equal signatures, so any of a class will do.
-    classes = filled.groupBy("class").agg(
+    classes = sketched.where(F.col("class").isNotNull()).groupBy("class").agg(
         F.min("id").alias("head"), F.max("n_shingles").alias("n_shingles"), F.max("signature").alias("signature")
     )
     classes = checkpointed(classes)
-    close = _neighbours(classes, forest)
-    close = checkpointed(close.groupBy("a", "b").agg(F.max("fits").alias("fits")))
+    rows = checkpointed(sketched.drop("signature"))
+    forget(sketched)
+    neighbours = _neighbours(classes, forest)
+    close = checkpointed(neighbours.groupBy("a", "b").agg(F.max("fits").alias("fits")))
     entries = close.select("a").union(close.select("b")).distinct().toDF("class")
     # Only classes with a neighbour in some order can have candidates.
     crowd = checkpointed(classes.join(entries, "class", "left_semi"))
     sets = _sets(documents, id_column, text_column, crowd, forest)
     sets = checkpointed(sets.groupBy("class").agg(F.max("members").alias("members")))
-    early = close.where("fits").select("a", "b")
-    links = checkpointed(confirmed(early, sets, forest.percent))
-    roots = components(links)
+    links = checkpointed(confirmed(close.where("fits").select("a", "b"), sets, forest.percent))
+    forget(close)
+    roots = components(links).withColumnRenamed("node", "class")
     component = F.coalesce("root", "class").alias("component")
-    placed = checkpointed(crowd.join(roots.withColumnRenamed("node", "class"), "class", "left").select(*crowd.columns, component))
-    regions, crowd = _regions(placed, forest)
-    joined = components(_links_between(regions, sets, forest).unionByName(_links_in_crowd(crowd, sets, forest)))
-    final = lookup(placed.select("class", "component"), "component", joined.withColumnsRenamed({"node": "component", "root": "top"}))
-    final = checkpointed(final.select("class", F.coalesce("top", "component").alias("top")))
-    members = checkpointed(final.join(classes.select("class", "head"), "class"))
-    least = members.groupBy("top").agg(F.min("head").alias("component_id"))
-    linked = lookup(members.select("class", "top"), "top", least).select("class", "component_id")
+    placed = checkpointed(crowd.join(roots, "class", "left").select(*crowd.columns, component))
+    forget(crowd, links)
+    for low in range(0, forest.orders, forest.round_orders):
+        trees = list(range(low, min(low + forest.round_orders, forest.orders)))
+        links = checkpointed(_links_between(_cells(placed, trees, forest), sets, forest).distinct())
+        if not links.isEmpty():
+            # What a round joins is one component in the next, whose regions may then be at rest.
+            joined = components(links).withColumnsRenamed({"node": "component", "root": "top"})
+            moved = lookup(placed, "component", joined).withColumn("component", F.coalesce("top", "component")).drop("top")
+            before, placed = placed, checkpointed(moved)
+            forget(before)
+        forget(links)
+    forget(sets)
+    final = placed.select("class", "head", F.col("component").alias("top"))
+    linked = lookup(final, "top", final.groupBy("top").agg(F.min("head").alias("component_id"))).select("class", "component_id")
     of_class = classes.select("class", "head").join(linked, "class", "left")
-    of_class = of_class.select("class", F.coalesce("component_id", "head").alias("component_id"))
-    out = lookup(filled.select("id", "n_shingles", "class"), "class", of_class).select("id", "n_shingles", "component_id")
+    of_class = checkpointed(of_class.select("class", F.coalesce("component_id", "head").alias("component_id")))
+    forget(placed, classes)
+    out = lookup(rows.where(F.col("class").isNotNull()), "class", of_class).select("id", "n_shingles", "component_id")
     empty = rows.where(F.col("class").isNull()).select("id", "n_shingles", F.col("id").alias("component_id"))
     return out.unionByName(empty).withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
