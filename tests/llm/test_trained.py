@@ -61,13 +61,110 @@ def test_votes_and_bounds_of_the_sample(spark):
     assert all(r.text != "7" for r in sample)
 
 
-def test_features_are_hashed_grams():
+def test_grams_are_exact():
     text = "Idiot ÉÉ"
     raw = f" {text} ".encode().lower()
-    grams = {raw[i : i + n] for n in toxicity.ORDERS for i in range(len(raw) - n + 1)}
-    assert len(toxicity.distinct_features(text)) in (len(grams), len(grams) - 1)
-    assert set(toxicity.features(text)) == set(toxicity.features("iDIOT ÉÉ"))
-    assert len(toxicity.features(None)) == len(toxicity.features("")) == 0
+    want = sorted(int.from_bytes(raw[i : i + n]) | n << 56 for n in toxicity.ORDERS for i in range(len(raw) - n + 1))
+    assert sorted(toxicity.grams(text).tolist()) == want == sorted(toxicity.grams("iDIOT ÉÉ").tolist())
+    assert len(toxicity.grams(None)) == len(toxicity.grams("")) == 0
+
+
+WORDS = "the of trash idiot and moron thing other hest with".split()
+
+
+def toxic_rows(seed, count):
+    import random
+
+    draw = random.Random(seed)
+    rows = []
+    for i in range(count):
+        toxic = i % 4 == 0
+        rows.append((int(toxic), " ".join(draw.choice(WORDS if toxic else ["the", "of", "and", "thing", "other", "hest"]) for _ in range(draw.randrange(3, 30)))))
+    return rows
+
+
+def by_hand(rows, shares):
+    """Ratios, weights and intercept of the same model in plain Python and dense numpy."""
+    n = [sum(label == k for label, _ in rows) for k in (0, 1)]
+    sets = [set(toxicity.grams(t).tolist()) for _, t in rows]
+    held = {}
+    for (label, _), found in zip(rows, sets, strict=True):
+        for g in found:
+            held.setdefault(g, [0, 0])[label] += 1
+    s = toxicity.SMOOTHING
+    ratio = {g: np.log((p + s) / (n[1] + 2 * s)) - np.log((q + s) / (n[0] + 2 * s)) for g, (q, p) in held.items() if p + q >= toxicity.FEWEST_TEXTS}
+    weight = {g: abs(r) * np.sqrt(held[g][1] / n[1] + held[g][0] / n[0]) for g, r in ratio.items()}
+    kept = sorted(sorted(ratio, key=lambda g: (-weight[g], g))[: toxicity.FEATURES])
+    x = np.zeros((len(rows), len(kept)))
+    for i, (_, text) in enumerate(rows):
+        found = toxicity.grams(text).tolist()
+        for j, g in enumerate(kept):
+            x[i, j] = np.sqrt(found.count(g) / max(len(found), 1)) * ratio[g]
+    y = np.array([label for label, _ in rows])
+    w, b, squares = np.zeros(len(kept)), 0.0, np.full(len(kept) + 1, 1e-8)
+    for _ in range(toxicity.STEPS):
+        error = (1 / (1 + np.exp(-(x @ w + b))) - y) / np.where(y, n[1], n[0]) / 2
+        slope = np.append(x.T @ error + toxicity.PENALTY * w, error.sum())
+        squares += slope**2
+        step = toxicity.RATE * slope / np.sqrt(squares)
+        w, b = w - step[:-1], b - step[-1]
+    return kept, [ratio[g] for g in kept], w, b + np.log(shares[1] / shares[0]) / 2
+
+
+@pytest.mark.parametrize("features", [40, 2_000])
+def test_ratios_and_weights_against_numpy(spark, monkeypatch, features):
+    monkeypatch.setattr(toxicity, "FEATURES", features)
+    rows = toxic_rows(1, 80)
+    sample = spark.createDataFrame(rows, "label int, text string").repartition(5)
+    model = toxicity.fit(sample, (600, 200))
+    kept, ratios, weights, intercept = by_hand(rows, (600, 200))
+    # Of n-grams that weigh the same to the last digit either may be kept.
+    if features > len(kept) or len(kept) < features:
+        assert model.features.codes.tolist() == kept
+    assert np.allclose(np.sort(model.features.ratios), np.sort(ratios))
+    assert np.allclose(np.sort(model.weights), np.sort(weights), atol=1e-9) and model.intercept == pytest.approx(intercept)
+
+
+def test_scores_do_not_depend_on_the_batch(spark, monkeypatch):
+    rows = toxic_rows(2, 60)
+    model = toxicity.fit(spark.createDataFrame(rows, "label int, text string"), (45, 15))
+    texts = [t for _, t in rows] + [None, "", " ", "\xff ÿ", "trash " * 50_000]
+    together = model.odds(texts)
+    assert np.allclose(together, [model.odds([t])[0] for t in texts])
+    monkeypatch.setattr(toxicity, "SLICE_BYTES", 100)
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    found = [r[0] for r in frame.select(model.score(spark, F.col("text"))).collect()]
+    assert np.allclose(found, 1 / (1 + np.exp(-together)))
+    assert model.odds(["moron idiot trash the of"])[0] > 0 > model.odds(["the of and thing other"])[0]
+
+
+def has_insult(text):
+    import re
+
+    insults = set("trash idiot clown scum worthless moron pathetic loser disgusting stupid".split())
+    return not insults.isdisjoint(re.findall("[a-z]+", (text or "").lower()))
+
+
+@pytest.fixture(scope="module")
+def toxic_model(spark, large):
+    documents, labels = (spark.read.parquet(f"{large}/{n}.parquet") for n in ("documents", "labels"))
+    return toxicity.train(documents, labels, training.fold(F.col("doc_id"), 5) != 0)
+
+
+def test_held_out_texts_with_insults_are_caught(spark, large, toxic_model):
+    """Planted insults in texts that were not learnt from; the labels also mark texts without any, at random."""
+    rows = spark.read.parquet(f"{large}/documents.parquet").where(training.fold(F.col("doc_id"), 5) == 0).collect()
+    odds = toxic_model.odds([r.text for r in rows])
+    bad = np.array([has_insult(r.text) for r in rows])
+    assert bad.sum() > 5 and (odds[bad] >= 0).mean() >= 0.8
+    assert (odds[~bad] >= 0).mean() <= 0.01
+
+
+@pytest.mark.parametrize("size", [100_000, 1_000_000, 3_000_000])
+def test_long_clean_texts(spark, large, toxic_model, size):
+    rows = spark.read.parquet(f"{large}/documents.parquet").collect()
+    clean = " ".join(r.text for r in rows if r.text and not has_insult(r.text))
+    assert toxic_model.odds([(clean * (size // len(clean) + 1))[:size]])[0] < 0
 
 
 def test_statistics_of_odd_texts():
