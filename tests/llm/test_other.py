@@ -255,5 +255,5 @@ def test_pipeline_on_odd_tables(spark, tmp_path):
         found = docs
         for _, stage in corpus_pipeline.STAGES[2:]:
             found = stage(spark, found, folder)
-        assert sorted((r.doc_id or 0, r.n_pieces or 0) for r in found.collect())[: max(count - 1, 0)][:2] == [(0, 13), (1, 0)][:count]
+        assert sorted((r.doc_id or 0, r.n_pieces or 0) for r in found.collect())[: max(count - 1, 0)][:2] == [(0, 6), (1, 0)][:count]
         corpus_pipeline.run(spark, folder).count()

@@ -87,7 +87,8 @@ def test_empty_tables(spark):
     assert none.select(model.decode(model.encode(F.col("text")))).count() == 0
     benchmark = spark.createDataFrame([], "item_id long, text string")
     rows = spark.createDataFrame(ROWS, SCHEMA)
-    assert rows.where(F.size(leaks.leaks(F.col("text"), benchmark)) > 0).count() == 0
+    assert leaks.leaks(rows, benchmark).count() == 0
+    assert leaks.without_leaks(rows, benchmark).count() == rows.count()
 
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -204,13 +205,33 @@ def test_pieces_of_documents(spark, folder):
 
 
 def test_distance_is_myers_equal_to_plain():
+    """Rows of many patterns and windows of different lengths at once."""
     draw = random.Random(1)
-    for _ in range(300):
-        pattern = "".join(draw.choice("abc ") for _ in range(draw.randint(1, 80)))
-        text = "".join(draw.choice("abc ") for _ in range(draw.randint(0, 90)))
-        found, end = leaks.occurrence(pattern, leaks.masks_of(pattern), text)
+    patterns = ["".join(draw.choice("abc ") for _ in range(draw.choice([1, 5, 40, 63, 64]))) for _ in range(300)]
+    texts = ["".join(draw.choice("abc d") for _ in range(draw.randint(0, 90))) for _ in patterns]
+    codes = {c: i for i, c in enumerate("abc ", 1)}
+    table = np.zeros((len(patterns), leaks.WORD_BITS), np.uint8)
+    for i, pattern in enumerate(patterns):
+        table[i, : len(pattern)] = [codes[c] for c in pattern]
+    data = np.array([codes.get(c, 0) for c in "".join(texts)], np.uint8)
+    high = np.cumsum([len(t) for t in texts])
+    low = high - [len(t) for t in texts]
+    best, end = leaks.occurrences(table, np.array([len(p) for p in patterns]), data, low, high, 90)
+    for pattern, text, found, at in zip(patterns, texts, best.tolist(), end.tolist(), strict=True):
         assert found == min(edits(pattern, text), len(pattern))
-        assert edits(pattern, text[:end]) == found or not end
+        assert edits(pattern, text[:at]) == found or not at
+
+
+@pytest.mark.parametrize("block_bytes", [4 << 20, 600])
+def test_documents_without_leaks(spark, folder, monkeypatch, block_bytes):
+    """With the benchmark in one block and in several, documents stay or go alike, and rows of one id too."""
+    monkeypatch.setattr(leaks, "BLOCK_BYTES", block_bytes)
+    documents, benchmark = (spark.read.parquet(f"{folder}/{n}.parquet") for n in ("documents", "benchmark"))
+    documents = documents.unionByName(documents.where("doc_id < 20"))
+    gone = {r.doc_id for r in leaks.leaks(documents, benchmark).collect()}
+    left = leaks.without_leaks(documents, benchmark)
+    assert gone and left.columns == documents.columns
+    assert sorted(r.doc_id for r in left.collect()) == sorted(r.doc_id for r in documents.collect() if r.doc_id not in gone)
 
 
 def test_leaks_against_all_windows(spark):
@@ -218,9 +239,14 @@ def test_leaks_against_all_windows(spark):
     words = ["".join(draw.choice("etaoins") for _ in range(draw.randint(1, 7))) for _ in range(60)]
     items = [(i, " ".join(draw.choice(words) for _ in range(draw.randint(6, 60)))) for i in range(12)] + [(99, ""), (98, None), (3, "short one")]
     texts = []
-    for _ in range(60):
-        base = [draw.choice(words) for _ in range(80)]
+    for number in range(32):
+        base = [draw.choice(words) for _ in range(40)]
         item = draw.choice(items[:12])[1].split()
+        if number % 3 == 0:
+            # A part of an item, that holds a window but no whole segment.
+            whole = " ".join(item)
+            at = draw.randrange(max(1, len(whole) - 50))
+            item = [whole[at : at + 50]]
         if draw.random() < 0.7:
             changed = " ".join(item)
             for _ in range(draw.randint(0, 6)):
@@ -230,18 +256,19 @@ def test_leaks_against_all_windows(spark):
         texts.append(" ".join(base))
     documents = spark.createDataFrame([*enumerate(texts), (None, None), (77, "")], "doc_id long, text string")
     benchmark = spark.createDataFrame(items, "item_id long, text string")
-    rows = documents.select("doc_id", F.inline(leaks.leaks(F.col("text"), benchmark))).collect()
+    rows = leaks.leaks(documents, benchmark).collect()
     found = {(r.doc_id, r.item_id, r.of_segments): r.n_segments for r in rows}
     want = {}
     for i, text in enumerate(texts):
         for item_id, item in items:
             plain = leaks.normal(item)
             if plain:
-                parts = leaks.cut(plain, max(1, round(len(plain) / leaks.SEGMENT)))
-                hits = sum(edits(p, leaks.normal(text)) <= len(p) * leaks.PERCENT // 100 for _, p in parts)
-                if hits:
+                parts = leaks.cut(plain, max(1, round(len(plain) / leaks.SEGMENT), -(-len(plain) // leaks.WORD_BITS)))
+                near = lambda p, text=text: edits(p, leaks.normal(text)) <= len(p) * leaks.PERCENT // 100
+                hits = sum(near(p) for _, p in parts)
+                if hits or any(map(near, leaks.windows(plain))):
                     want[i, item_id, len(parts)] = hits
-    assert found == want and len(want) > 20
+    assert found == want and len(want) > 20 and 0 in want.values()
 
 
 def test_passages_from_every_word_of_an_item(spark, folder):
@@ -257,7 +284,7 @@ def test_passages_from_every_word_of_an_item(spark, folder):
                 rows.append((len(rows), item_id, f"Nothing known. {quote}, and no more of it."))
     documents = spark.createDataFrame(rows, "doc_id long, wanted long, text string")
     benchmark = spark.createDataFrame(items, "item_id long, text string")
-    found = documents.select("doc_id", F.inline(leaks.leaks(F.col("text"), benchmark)))
+    found = leaks.leaks(documents, benchmark)
     found = {(r.doc_id, r.item_id) for r in found.collect()}
     assert len(rows) > 200
     assert {(i, item_id) for i, item_id, _ in rows} <= found

@@ -254,7 +254,9 @@ class LanguageModel:
         return listed(text)
 
     def _runs(self, each: np.ndarray) -> list[dict]:
-        best = each.argmax(axis=1) if len(each) else np.empty(0, np.int64)
+        if not len(each):
+            return []
+        best = each.argmax(axis=1)
         borders = np.flatnonzero(np.diff(best, prepend=-1))
         return [
             {"lang": self.languages[int(best[a])], "first_word": int(a), "n_words": int(b - a), "score": float(each[a:b, best[a]].mean())}
