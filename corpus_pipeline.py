@@ -42,8 +42,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that hold no passage of a benchmark item."""
-    found = leaks.leaks(F.col("text"), _table(spark, sf_dir, "benchmark"))
-    return docs.where(F.size(found) == 0)
+    return leaks.without_leaks(docs, _table(spark, sf_dir, "benchmark"))
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
