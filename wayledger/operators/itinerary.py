@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayledger.functions import clock
+from wayledger.operators.selection import ranked_overall
 from wayledger.operators.skew import hot_keys, ranked, spread_under
 
 # Category labels, icon first.
@@ -45,8 +46,9 @@ def trips_by_user(trips: DataFrame, user: str | None = None) -> DataFrame:
 
 
 def trips_list(trips: DataFrame) -> DataFrame:
+    """All trips with their place in the list of all, latest start first."""
     listed = trips.select("id", "name", "start_date", "end_date")
-    return listed.orderBy(*down("start_date"), *up("id"))
+    return ranked_overall(listed, [*down("start_date"), *up("id")])
 
 
 def items_by_day(items: DataFrame, trip_id: int | None = None, day: int | None = None) -> DataFrame:

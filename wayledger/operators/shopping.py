@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from wayledger.functions.money import exact_sum, money_text, or_zero
 from wayledger.functions.text import js_trim, text_or
 from wayledger.operators.itinerary import down, headline, is_true, labelled, not_true, up
-from wayledger.operators.skew import Running, hot_keys, ranked, running
+from wayledger.operators.selection import nth_values
+from wayledger.operators.skew import hot_keys, ranked, salted_lookup
 
 # Labels shown for stored codes, the category order, the urgency order.
 URGENCY_LABELS = {"need": "需要", "want": "想要", "maybe": "再看看"}
@@ -213,7 +214,8 @@ def _with_cell(items: DataFrame) -> DataFrame:
     """Cell of each wanted item: urgent or not, and at or above the upper median price.
 
     Prices are compared through counts: an item is at or above the median when at least
-    ``n div 2 + 1`` prices of its list are not greater than its own.
+    ``n div 2 + 1`` prices of its list are not greater than its own.  The median of a hot list is selected by
+    counting, and looked up by its rows where they are.
     """
     rows = items.withColumn("_price", or_zero(F.col("price")))
     hot = hot_keys(rows, ["list_id"])
@@ -227,21 +229,20 @@ def _with_cell(items: DataFrame) -> DataFrame:
             "_free": F.count_if(F.col("_price") <= 0).over(whole),
         }
     )
-    if heavy is not None:
-        # A hot list is reduced to its distinct prices first.
-        prices = heavy.groupBy("list_id", "_price").agg(F.count("*").alias("_same"))
-        sizes = prices.groupBy("list_id").agg(
-            F.sum("_same").alias("_n"), F.coalesce(F.sum(F.when(F.col("_price") <= 0, F.col("_same"))), F.lit(0)).alias("_free")
-        )
-        counted = running(prices, ["list_id"], [F.col("_price")], {"_upto": Running("sum", "_same")}, hot).drop("_same")
-        out = out.unionByName(heavy.join(counted, ["list_id", "_price"]).join(sizes, "list_id"))
     need = F.expr("_n div 2 + 1")
     high = (F.col("_upto") >= need) & (F.col("_free") < need)
-    cell = F.concat(
-        F.when(high, "hi").otherwise("lo"),
-        F.when(F.col("urgency").isin("need", "want"), F.lit("-need")).otherwise(F.lit("-low")),
-    )
-    return out.withColumn("cell", cell).drop("_price", "_upto", "_n", "_free")
+    out = out.withColumn("cell", _cell(high)).drop("_price", "_upto", "_n", "_free")
+    if heavy is None:
+        return out
+    medians = nth_values(heavy, "list_id", F.col("_price") * 100, F.expr("n div 2 + 1"), "id").withColumnRenamed("value", "_median")
+    found = salted_lookup(heavy, medians.drop("n"), ["list_id"], "id", "inner")
+    high = (F.col("_price") * 100 >= F.col("_median")) & (F.col("_median") > 0)
+    return out.unionByName(found.withColumn("cell", _cell(high)).drop("_price", "_median"))
+
+
+def _cell(high: Column) -> Column:
+    need = F.when(F.col("urgency").isin("need", "want"), F.lit("-need")).otherwise(F.lit("-low"))
+    return F.concat(F.when(high, "hi").otherwise("lo"), need)
 
 
 def price_urgency_matrix(buylist: DataFrame) -> DataFrame:

@@ -23,11 +23,12 @@ def _(t):
 
 @query(
     "trips_list",
-    "select id, name, cast(start_date as varchar) as start_date, cast(end_date as varchar) as end_date from trips",
+    """select id, name, cast(start_date as varchar) as start_date, cast(end_date as varchar) as end_date,
+      row_number() over (order by start_date desc nulls first, id) as rank from trips""",
 )
 def _(t):
     return itinerary.trips_list(t.trips).select(
-        "id", "name", F.col("start_date").cast("string"), F.col("end_date").cast("string")
+        "id", "name", F.col("start_date").cast("string"), F.col("end_date").cast("string"), "rank"
     )
 
 
