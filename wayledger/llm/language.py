@@ -48,7 +48,7 @@ STEPS = 25
 PENALTY = 1e-3
 BLOCK = 64
 #: Bytes of words scored at once, about.
-SLICE_BYTES = 500_000
+SLICE_BYTES = 250_000
 
 _NO_WORD = re.compile(r"[\W\d_]+")
 _LETTER = regex.compile(r"\p{L}")
