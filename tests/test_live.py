@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from wayledger.operators.shopping import budget_status, category_rollup
 from wayledger.schemas import schema
 from wayledger.sources.fixtures import RAW, VIEWS, Tables
-from wayledger.streaming import feed
+from wayledger.streaming import feed, totals
 
 
 @pytest.fixture
@@ -79,3 +79,69 @@ def test_redelivered_events_are_dropped(spark, folder, source, tmp_path):
     sink.trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
     seen = spark.read.parquet(str(tmp_path / "out"))
     assert seen.count() == seen.select(F.countDistinct("event_id")).first()[0] == Tables(spark, folder).events.count()
+
+
+STATUS = ("list_id", "status", "total", "remaining", "recurring")
+SHOWN = ("list_id", "category", "items", "unbought", "unbought_sum", "place", "all_bought")
+
+
+def check_totals(live, tables, history):
+    """Budgets and categories equal those of the whole current table."""
+    items = feed.present(history)
+    named = history.select("list_id").distinct()
+    status = budget_status(tables.buylist_budget.join(named, "list_id", "left_semi"), items)
+    found = {r[0]: r for r in rows(live.live_budget(tables.buylist_budget), *STATUS)}
+    want = {r[0]: r for r in rows(status, *STATUS)}
+    # A list that only outdated versions named never counts for anything.
+    held = {r.list_id for r in items.select("list_id").distinct().collect()}
+    assert held <= found.keys()
+    assert {k: v for k, v in want.items() if k in found} == {k: v for k, v in found.items() if k in want}
+    assert all(v[1:] == ("none", 0, None, 0) for k, v in found.items() if k not in want)
+    assert rows(live.live_rollup(), *SHOWN) == rows(category_rollup(items), *SHOWN)
+
+
+def moved_feed(changes):
+    """Items that change their list and category, go and come back; events in any order, some told twice."""
+    other = F.when(F.col("event_id") % 7 == 0, F.col("list_id") % 3).otherwise(F.col("list_id"))
+    changed = changes.withColumns({"list_id": other, "id": F.col("id") % 40})
+    return changed.unionByName(changed.where("event_id % 5 = 0"))
+
+
+@pytest.mark.parametrize("fold_every", [2, 100])
+def test_totals_equal_the_batch(spark, folder, source, tmp_path, fold_every):
+    tables = Tables(spark, folder)
+    live = totals.LiveTotals(spark, str(tmp_path / "live"), fold_every)
+    live.start(moved_feed(stream(spark, source))).awaitTermination()
+    assert live.epoch() == 6 // fold_every
+    history = moved_feed(feed.change_feed(tables.change_feed))
+    check_totals(live, tables, history)
+
+    # A batch that was written but not committed runs again after a restart, and moves nothing twice.
+    last = max((tmp_path / "live/checkpoints/commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    last.unlink()
+    (last.parent / f".{last.name}.crc").unlink()
+    live.start(moved_feed(stream(spark, source))).awaitTermination()
+    check_totals(live, tables, history)
+
+
+def test_totals_from_a_snapshot(spark, folder, source, tmp_path):
+    tables = Tables(spark, folder)
+    snapshot = tables.buylist_items.withColumn("id", F.col("id") % 400).dropDuplicates(["id"])
+    live = totals.LiveTotals(spark, str(tmp_path / "live"), 4)
+    live.start(moved_feed(stream(spark, source)), snapshot).awaitTermination()
+    check_totals(live, tables, feed.as_changes(snapshot).unionByName(moved_feed(feed.change_feed(tables.change_feed))))
+
+
+def test_a_batch_moves_only_its_own_states(spark, folder, source, tmp_path):
+    """The states that a batch reads and writes are those of its items, not of their lists."""
+    changes = stream(spark, source)
+    live = totals.LiveTotals(spark, str(tmp_path / "live"))
+    query = live.start(changes)
+    query.awaitTermination()
+    for progress in query.recentProgress:
+        operators = progress["stateOperators"]
+        items = next(o for o in operators if o["numRowsUpdated"] <= progress["numInputRows"])
+        assert len(operators) == 2 and items["numRowsUpdated"] <= progress["numInputRows"]
+    written = spark.read.parquet(f"{live.folder}/totals/epoch=0")
+    batches = written.groupBy("batch").count().collect()
+    assert len(batches) >= 5 and all(r["count"] <= query.recentProgress[0]["numInputRows"] * 2 for r in batches)

@@ -106,8 +106,8 @@ def patch_items(table: DataFrame, patches: DataFrame, order: str | None = None)
     return joined.select(*[value(c) for c in table.columns])
 
 
-def schedule_items(items: DataFrame, requests: DataFrame, order: str | None = None) -> DataFrame:
-    """Put items on a day and time, behind the items that day already has, in the order of the requests.
+def schedule_patches(items: DataFrame, requests: DataFrame, order: str | None = None) -> DataFrame:
+    """Requests as patches with the position behind the items that their day already has, in the order of the requests.
 
     Of several requests for one item the last counts.  Without ``order`` the item id orders.
     """
@@ -117,7 +117,12 @@ def schedule_items(items: DataFrame, requests: DataFrame, order: str | None = No
     last = requests.groupBy("item_id").agg(F.max_by(F.struct(*rest), at).alias("_last")).select("item_id", "_last.*")
     known = items.select(F.col("id").alias("item_id"), "trip_id")
     placed = append_sort_order(items, last.join(known, "item_id"), order)
-    return patch_items(items, placed.select("item_id", "day_number", "start_time", "sort_order"))
+    return placed.select("item_id", "day_number", "start_time", "sort_order")
+
+
+def schedule_items(items: DataFrame, requests: DataFrame, order: str | None = None) -> DataFrame:
+    """Put items on a day and time, behind the items that day already has."""
+    return patch_items(items, schedule_patches(items, requests, order))
 
 
 def unschedule_items(items: DataFrame, ids: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from wayledger.functions.money import exact_sum, money_text, or_zero
 from wayledger.functions.text import js_trim, text_or
 from wayledger.operators.itinerary import down, headline, is_true, labelled, not_true, up
 from wayledger.operators.selection import nth_values
-from wayledger.operators.skew import hot_keys, ranked, salted_lookup
+from wayledger.operators.skew import HotKeys, hot_keys, ranked, salted_lookup
 
 # Labels shown for stored codes, the category order, the urgency order.
 URGENCY_LABELS = {"need": "需要", "want": "想要", "maybe": "再看看"}
@@ -139,7 +139,8 @@ def days_wanted(buylist: DataFrame, as_of: datetime.datetime) -> DataFrame:
     return buylist.withColumn("days", days).withColumn("days_label", label)
 
 
-def _default_order() -> list[Column]:
+def default_order() -> list[Column]:
+    """The default order of a list as ascending values."""
     return [
         flag("bought").cast("int").alias("_o_bought"),
         (~active()).cast("int").alias("_o_idle"),
@@ -167,7 +168,11 @@ def budget_status(budget: DataFrame, buylist: DataFrame) -> DataFrame:
     """Month total against the budget of each list; lists on either side are kept."""
     now = F.when(active(), or_zero(F.col("price")))
     later = F.when(active(), or_zero(F.col("recurring_cost")))
-    totals = buylist.groupBy("list_id").agg(exact_sum(now).alias("total"), exact_sum(later).alias("recurring"))
+    return budget_rows(budget, buylist.groupBy("list_id").agg(exact_sum(now).alias("total"), exact_sum(later).alias("recurring")))
+
+
+def budget_rows(budget: DataFrame, totals: DataFrame) -> DataFrame:
+    """Status of every list of either table from its budget and its ``total`` and ``recurring`` sums."""
     joined = budget.select("list_id", "monthly_budget").join(totals, "list_id", "full")
     zero = F.lit(0).cast("decimal(20,2)")
     limit = F.coalesce(F.col("monthly_budget").cast("decimal(20,2)"), zero)
@@ -201,12 +206,17 @@ def category_rollup(visible: DataFrame, order: list[str] | None = None) -> DataF
         exact_sum(F.when(unbought, or_zero(F.col("price")))).alias("unbought_sum"),
     )
     others = rows.where(~F.col("category").isin(order))
-    first = others.groupBy(*keys).agg(F.min(F.struct(*_default_order())).alias("_first"))
-    groups = groups.join(first, keys, "left")
+    first = others.groupBy(*keys).agg(F.min(F.struct(*default_order())).alias("_first"))
+    return placed_categories(groups.join(first, keys, "left"), order, hot_keys(visible, ["list_id"]))
+
+
+def placed_categories(groups: DataFrame, order: list[str] | None = None, hot: HotKeys | None = None) -> DataFrame:
+    """Number the categories of each list: those of the fixed order, then the others by ``_first``."""
+    order = order or CATEGORIES
     known = F.array_position(F.array(*[F.lit(c) for c in order]), F.col("category"))
     groups = groups.withColumn("_known", F.nullif(known, F.lit(0).cast("long")))
     place = [F.col("_known").asc_nulls_last(), F.col("_first").asc()]
-    placed = ranked(groups, ["list_id"], place, "place", hot_keys(visible, ["list_id"]))
+    placed = ranked(groups, ["list_id"], place, "place", hot)
     return placed.withColumn("all_bought", F.col("unbought") == 0).drop("_first", "_known")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ["trips", "timeline", "shopping", "changes", "quality", "exports", "replies", "expressions", "live"]
+AREAS = ["trips", "timeline", "shopping", "changes", "quality", "exports", "replies", "expressions", "live", "storage"]
 
 
 def load_all() -> None:

@@ -117,27 +117,27 @@ def _(t):
     )
 
 
-@query(
-    "patch_items",
-    """select id, coalesce(p.day_number, i.day_number) as day_number, coalesce(p.start_time, i.start_time) as start_time,
+PATCH_SQL = """select id, coalesce(p.day_number, i.day_number) as day_number, coalesce(p.start_time, i.start_time) as start_time,
       coalesce(p.is_confirmed, i.is_confirmed) as is_confirmed, i.name
-    from items i left join item_patches p on i.id = p.item_id""",
-)
+    from items i left join item_patches p on i.id = p.item_id"""
+
+
+@query("patch_items", PATCH_SQL)
 def _(t):
     patched = changes.patch_items(t.items, t.item_patches.drop("to_candidate"))
     return patched.select("id", "day_number", "start_time", "is_confirmed", "name")
 
 
-@query(
-    "schedule_items",
-    """with c as (select id, trip_id, 1 as d from items where day_number is null),
+SCHEDULE_SQL = """with c as (select id, trip_id, 1 as d from items where day_number is null),
     placed as (select c.id, coalesce((select max(sort_order) from items i where i.trip_id = c.trip_id
         and i.day_number = 1), -1) + row_number() over (partition by trip_id order by id) as so from c)
     select i.id, case when p.id is null then i.day_number else 1 end as day_number,
       case when p.id is null then i.start_time else '10:30' end as start_time,
       cast(coalesce(p.so, i.sort_order) as int) as sort_order
-    from items i left join placed p on p.id = i.id""",
-)
+    from items i left join placed p on p.id = i.id"""
+
+
+@query("schedule_items", SCHEDULE_SQL)
 def _(t):
     candidates = t.items.where(F.col("day_number").isNull())
     asked = candidates.select(
@@ -146,12 +146,12 @@ def _(t):
     return changes.schedule_items(t.items, asked).select("id", "day_number", "start_time", "sort_order")
 
 
-@query(
-    "unschedule_items",
-    """select id, case when not confirm_required then day_number end as day_number,
+UNSCHEDULE_SQL = """select id, case when not confirm_required then day_number end as day_number,
       case when not confirm_required then start_time end as start_time,
-      case when confirm_required then 0 else sort_order end as sort_order from items""",
-)
+      case when confirm_required then 0 else sort_order end as sort_order from items"""
+
+
+@query("unschedule_items", UNSCHEDULE_SQL)
 def _(t):
     back = changes.unschedule_items(t.items, t.items.where("confirm_required").select("id"))
     return back.select("id", "day_number", "start_time", "sort_order")
@@ -195,12 +195,12 @@ def _updates(t):
     return changes.reorder_updates(planning.reorder_plan(t.items, t.reorder_requests))
 
 
-@query(
-    "apply_plans",
-    f"""with {_REORDER}
+APPLY_SQL = f"""with {_REORDER}
     select i.id, case when p.id is null then start_time else {_clock('s')} end as start_time, coalesce(p.sort_order, i.sort_order) as sort_order
-    from items i left join plan p on p.id = i.id""",
-)
+    from items i left join plan p on p.id = i.id"""
+
+
+@query("apply_plans", APPLY_SQL)
 def _(t):
     return changes.apply_plans(t.items, _updates(t))[0].select("id", "start_time", "sort_order")
 
@@ -276,7 +276,10 @@ def _(t):
     return changes.patch_items(t.items, patches, "at").select("id", "day_number", "start_time", "is_confirmed")
 
 
-@query("delete_rows", "select id, trip_id from items where not (category = 'unknown' and day_number is null)")
+DELETE_SQL = "select id, trip_id from items where not (category = 'unknown' and day_number is null)"
+
+
+@query("delete_rows", DELETE_SQL)
 def _(t):
     gone = t.items.where((F.col("category") == "unknown") & F.col("day_number").isNull()).select("id")
     return changes.delete_rows(t.items, gone).select("id", "trip_id")

@@ -10,7 +10,7 @@ from wayledger.plans.shopping import BUDGET_SQL, budget_columns, rollup_sql
 from wayledger.schemas import SCHEMAS
 from wayledger.session import shared_folder
 from wayledger.sources.fixtures import RAW, VIEWS
-from wayledger.streaming import feed
+from wayledger.streaming import feed, totals
 
 
 def _stream(t):
@@ -91,21 +91,57 @@ def _(t):
     return current.select("id", "list_id", "name", F.col("price").cast("double"), "bought", "quantity")
 
 
+def _totals(t, snapshot=None):
+    live = totals.LiveTotals(t.spark, shared_folder(t.spark, "live-totals"))
+    live.start(_stream(t), snapshot).awaitTermination()
+    return live
+
+
 _LIVE_BUDGET = BUDGET_SQL.format(items="live_items").replace("with sums", "sums", 1)
+_TOUCHED_BUDGET = f"""with {_PRESENT}, touched as (select distinct list_id from change_feed),
+    whole as (with {_LIVE_BUDGET})
+    select * from whole where list_id in (select list_id from touched)"""
+_LIVE_ROLLUP = f"with {_PRESENT}, {rollup_sql('live_items', CATEGORIES)}"
+
+
+def _money(groups):
+    return groups.withColumn("unbought_sum", F.col("unbought_sum").cast("double"))
+
+
+@query("live_budget", _TOUCHED_BUDGET)
+def _(t):
+    """From keyed totals: a batch reads the states of its own items and categories."""
+    return budget_columns(_totals(t).live_budget(t.buylist_budget))
+
+
+@query("live_rollup", _LIVE_ROLLUP)
+def _(t):
+    """Categories of every list that the stream touched; the fixture's lists show all their items."""
+    return _money(_totals(t).live_rollup())
+
+
+_EVERY = """(select list_id, price, recurring_cost, this_month, bought from live_items union all
+    select list_id, price, recurring_cost, this_month, bought from buylist_items
+    where id not in (select id from change_feed))"""
 
 
 @query(
-    "live_budget",
-    f"""with {_PRESENT}, touched as (select distinct list_id from change_feed),
-    whole as (with {_LIVE_BUDGET})
-    select * from whole where list_id in (select list_id from touched)""",
+    "live_budget_from_snapshot",
+    f"""with {_PRESENT}, named as (select list_id from change_feed union select list_id from buylist_items),
+    whole as (with {BUDGET_SQL.format(items=_EVERY).replace("with sums", "sums", 1)})
+    select * from whole where list_id in (select list_id from named)""",
 )
 def _(t):
+    """Budgets of all lists: the states begin with the table as it was."""
+    return budget_columns(_totals(t, t.buylist_items).live_budget(t.buylist_budget))
+
+
+@query("live_budget_from_log", _TOUCHED_BUDGET)
+def _(t):
+    """The same from the change log: the touched lists are reduced again after each batch."""
     return budget_columns(_run(t, t.buylist_budget).live_budget())
 
 
-@query("live_rollup", f"with {_PRESENT}, {rollup_sql('live_items', CATEGORIES)}")
+@query("live_rollup_from_log", _LIVE_ROLLUP)
 def _(t):
-    """Categories of every list that the stream touched; the fixture's lists show all their items."""
-    groups = _run(t, t.buylist_budget).live_rollup()
-    return groups.withColumn("unbought_sum", F.col("unbought_sum").cast("double"))
+    return _money(_run(t, t.buylist_budget).live_rollup())

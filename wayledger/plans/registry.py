@@ -12,6 +12,8 @@ Build = Callable[[Tables], DataFrame]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: The check SQL as written, without the views of the domain tables.
+UNWRAPPED: dict[str, str] = {}
 
 
 def query(key: str, sql: str | None = None) -> Callable[[Build], Build]:
@@ -24,6 +26,7 @@ def query(key: str, sql: str | None = None) -> Callable[[Build], Build]:
         QUERIES[key] = run
         if sql is not None:
             ORACLES[key] = with_views(sql)
+            UNWRAPPED[key] = sql
         return build
 
     return add

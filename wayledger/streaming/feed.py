@@ -66,21 +66,16 @@ def present(changes: DataFrame) -> DataFrame:
     return latest(changes).where(F.col("op") != "delete")
 
 
-class LiveLists:
-    """The change log of one deployment and the tables read from it.
+class Epochs:
+    """Folders of what each micro-batch wrote, in epochs of ``fold_every``.
 
-    Batches are kept in epochs of ``fold_every``.  At its end an epoch is reduced into the
-    first entry of the next one, so readers only ever list and read one epoch.  ``buckets`` is
-    the number of folders that an epoch's lists are spread over; it stays as it was at the start.
-    An item keeps its list: the changes of one list are all there is to know of its items.
+    At its end an epoch is reduced into the first entry of the next one, so readers only ever list and read one epoch.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, fold_every: int = 100, buckets: int = BUCKETS, table: str = TABLE):
+    def __init__(self, spark: SparkSession, folder: str, fold_every: int = 100):
         self.spark = spark
         self.folder = folder
         self.fold_every = fold_every
-        self.buckets = buckets
-        self.table = table
         self.marks = f"{folder}/finished_epochs"
 
     def _path(self, kind: str, epoch: int, batch_id: int | None = None) -> str:
@@ -96,6 +91,25 @@ class LiveLists:
                 return 0
             raise
 
+    def _keep(self, kind: str, rows: DataFrame, epoch: int, batch_id: int) -> None:
+        rows.write.mode("overwrite").parquet(self._path(kind, epoch, batch_id))
+
+    def _mark(self, epoch: int) -> None:
+        self.spark.range(epoch, epoch + 1).toDF("epoch").write.mode("append").parquet(self.marks)
+
+
+class LiveLists(Epochs):
+    """The change log of one deployment and the tables read from it.
+
+    ``buckets`` is the number of folders that an epoch's lists are spread over; it stays as it was at the start.
+    An item keeps its list: the changes of one list are all there is to know of its items.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, fold_every: int = 100, buckets: int = BUCKETS, table: str = TABLE):
+        super().__init__(spark, folder, fold_every)
+        self.buckets = buckets
+        self.table = table
+
     def history(self, buckets: list[int] | None = None) -> DataFrame:
         """The changes that can still decide a row; ``buckets`` prunes the folders read."""
         logged = T.StructType([*change_schema(self.table)]).add("batch", T.LongType()).add("list_bucket", T.IntegerType())
@@ -117,9 +131,6 @@ class LiveLists:
         spread = changes.withColumn("list_bucket", bucket).hint("rebalance", F.col("list_bucket"))
         spread.write.mode("overwrite").partitionBy("list_bucket").parquet(self._path("changes", epoch, batch_id))
 
-    def _keep(self, kind: str, rows: DataFrame, epoch: int, batch_id: int) -> None:
-        rows.write.mode("overwrite").parquet(self._path(kind, epoch, batch_id))
-
     def seed(self, snapshot: DataFrame, budget: DataFrame | None = None) -> None:
         """Begin with the rows that a table holds already; to be called before the first batch."""
         self._log(latest(as_changes(snapshot, self.table)), 0, -1)
@@ -156,7 +167,7 @@ class LiveLists:
         if with_budget:
             self._keep("budgets", self.live_budget(), epoch + 1, batch_id)
             self._keep("rollups", self.live_rollup(), epoch + 1, batch_id)
-        self.spark.range(epoch, epoch + 1).toDF("epoch").write.mode("append").parquet(self.marks)
+        self._mark(epoch)
 
     def live_budget(self) -> DataFrame:
         """Status of every list as of the last batch that touched it."""
