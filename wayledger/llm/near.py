@@ -48,7 +48,7 @@ class Forest:
     depth: int = 12
     least_prefix: int = 3
     #: Orders compared between two contractions.
-    round_orders: int = 4
+    round_orders: int = 6
     #: Sets of a region, or of a group of its classes, that are compared in one task, about.
     cell_bytes: int = 4 << 20
     #: What a set counts for besides its shingles, which bounds the sets of a cell.
@@ -62,6 +62,8 @@ class Forest:
 
 
 _WORD_STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Sets that ask at once in a cell; shingles that more than one in so many sets hold are counted by matrices.
+_ASKERS, _OFTEN = 256, 16
 _MIX_A, _MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -223,51 +225,71 @@ def _cells(placed: DataFrame, trees: list[int], forest: Forest) -> DataFrame:
 def links_in_cell(components: list[bytes], sets: list[np.ndarray], sides: list[int], percent: int) -> list[tuple[bytes, bytes]]:
     """Pairs of components that a pair of sets links, as many as it takes to join what hangs together.
 
-    Sets of side 0 are compared with those of side 1, sets of side -1 with all later ones.  The overlaps of one set with
-    all others are counted through an inverted index, so no pair is written.
+    Sets of side 0 are compared with those of side 1, sets of side -1 with all others.  The component with most sets asks
+    for none of its own, as any pair of two components has a set of another one.  The overlaps of some sets with all
+    others are counted at once: shingles that many sets hold by a product of matrices, the others through an inverted
+    index.  No pair is written.
     """
-    numbers = {c: i for i, c in enumerate(dict.fromkeys(components))}
-    top = list(range(len(numbers)))
-
-    def root(i):
-        while top[i] != i:
-            top[i] = top[top[i]]
-            i = top[i]
-        return i
-
-    of = [numbers[c] for c in components]
+    names, of = np.unique(np.array(components, object), return_inverse=True)
     sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-    crossing = sides[0] >= 0
-    # The side with more sets is indexed, the other one asks.
-    asking = min((0, 1), key=sides.count) if crossing else -1
-    askers = [i for i, side in enumerate(sides) if side == asking]
-    indexed = np.array([i for i, side in enumerate(sides) if side != asking] if crossing else range(len(sets)), np.int64)
-    if not askers or not len(indexed):
+    side = np.array(sides)
+    if side[0] >= 0:
+        # The side with more sets is indexed, the other one asks.
+        asking = int(np.count_nonzero(side == 0) > np.count_nonzero(side == 1))
+        askers, indexed = np.flatnonzero(side == asking), np.flatnonzero(side != asking)
+    else:
+        askers, indexed = np.flatnonzero(of != np.bincount(of).argmax()), np.arange(len(sets))
+    if not len(askers) or not len(indexed):
         return []
-    values, column = np.unique(np.concatenate([sets[i] for i in indexed]), return_inverse=True)
+    values, column, held = np.unique(np.concatenate([sets[i] for i in indexed]), return_inverse=True, return_counts=True)
     owner = np.repeat(np.arange(len(indexed)), sizes[indexed])
-    order = np.argsort(column, kind="stable")
+    often = held > max(len(indexed) // _OFTEN, 8)
+    place = np.cumsum(often) - 1
+    common = often[column]
+    matrix = np.zeros((len(indexed), int(often.sum())), np.float32)
+    matrix[owner[common], place[column[common]]] = 1
+    order = np.flatnonzero(~common)
+    order = order[np.argsort(column[order], kind="stable")]
     holders = owner[order]
     start = np.searchsorted(column[order], np.arange(len(values) + 1))
-    index_sizes = sizes[indexed]
-    left, out = len(numbers), []
-    for i in askers:
-        if left == 1:
-            break
-        at = np.minimum(np.searchsorted(values, sets[i]), len(values) - 1)
-        mine = at[values[at] == sets[i]]
-        lengths = start[mine + 1] - start[mine]
-        spots = np.repeat(start[mine] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
-        shared = np.bincount(holders[spots], minlength=len(indexed))
-        near = np.flatnonzero(100 * shared >= percent * (index_sizes + sizes[i] - shared))
-        for j in indexed[near].tolist():
-            if not crossing and j <= i:
-                continue
-            a, b = root(of[i]), root(of[j])
+    top = np.arange(len(names))
+
+    def root(i):
+        while top[i] != i:
+            top[i] = top[top[i]]
+            i = top[i]
+        return int(i)
+
+    left, out = len(names), []
+    for low in range(0, len(askers), _ASKERS):
+        some = askers[low : low + _ASKERS]
+        asked = np.concatenate([sets[i] for i in some])
+        row = np.repeat(np.arange(len(some)), sizes[some])
+        at = np.minimum(np.searchsorted(values, asked), len(values) - 1)
+        known = values[at] == asked
+        at, row = at[known], row[known]
+        frequent = often[at]
+        part = np.zeros((len(some), matrix.shape[1]), np.float32)
+        part[row[frequent], place[at[frequent]]] = 1
+        rare, row = at[~frequent], row[~frequent]
+        lengths = start[rare + 1] - start[rare]
+        spots = np.repeat(start[rare] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+        cells = np.repeat(row, lengths) * len(indexed) + holders[spots]
+        shared = np.bincount(cells, minlength=len(some) * len(indexed)).reshape(len(some), len(indexed))
+        shared += np.rint(part @ matrix.T).astype(np.int64)
+        near = 100 * shared >= percent * (sizes[some][:, None] + sizes[indexed][None, :] - shared)
+        now = np.array([root(i) for i in range(len(names))])
+        i, j = np.nonzero(near & (now[of[some]][:, None] != now[of[indexed]][None, :]))
+        # Each pair of components once.
+        pairs = np.unique(np.stack([of[some[i]], of[indexed[j]]], axis=1), axis=0)
+        for one, two in pairs.tolist():
+            a, b = root(one), root(two)
             if a != b:
                 top[max(a, b)] = min(a, b)
                 left -= 1
-                out.append((components[i], components[j]))
+                out.append((names[one], names[two]))
+        if left == 1:
+            break
     return out
 
 
