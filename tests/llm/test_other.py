@@ -42,29 +42,74 @@ def test_rules_and_parts(spark):
     assert hosts.judge(pages.where("false"), RULES).count() == 0
 
 
+def exact_walk(weights, seeds, follow):
+    """The walk's scores by solving its equations; weight of nodes without edges is lost."""
+    names = sorted({x for pair in weights for x in pair} | set(seeds))
+    at = {n: i for i, n in enumerate(names)}
+    move = np.zeros((len(names), len(names)))
+    for (a, b), w in weights.items():
+        move[at[a], at[b]] = w
+    move /= np.maximum(move.sum(1, keepdims=True), 1e-300)
+    start = np.array([seeds.get(n, 0.0) for n in names]) * (1 - follow)
+    return dict(zip(names, np.linalg.solve(np.eye(len(names)) - follow * move.T, start), strict=True))
+
+
 def test_walk_is_personalised_pagerank(spark):
+    """Against the exact solution, with a path of twelve links at the end of which scores are still right."""
     draw = random.Random(1)
     weights = defaultdict(float)
     for _ in range(300):
         a, b = draw.randrange(40), draw.randrange(40)
         if a != b:
-            weights[a, b] += draw.randint(1, 3)
-    seeds = {0: 1.0, 7: 0.5}
-    settings = hosts.Spread(rounds=5)
-    total = defaultdict(float)
-    for (a, _), w in weights.items():
-        total[a] += w
-    scores = dict(seeds)
-    for _ in range(5):
-        new = defaultdict(float, {k: (1 - settings.follow) * v for k, v in seeds.items()})
-        for (a, b), w in weights.items():
-            new[b] += settings.follow * scores.get(a, 0) * w / total[a]
-        scores = {k: v for k, v in new.items() if v}
-    edges = spark.createDataFrame([(str(a), str(b), w) for (a, b), w in weights.items()], "source string, target string, weight double")
-    start = spark.createDataFrame([(str(k), v) for k, v in seeds.items()], "node string, score double")
+            weights[f"n{a}", f"n{b}"] += draw.randint(1, 3)
+    for i in range(12):
+        weights[f"path{i}", f"path{i + 1}"] = 1.0
+    seeds = {"n0": 1.0, "n7": 0.5, "path0": 1.0}
+    settings = hosts.Spread(tolerance=1e-6)
+    edges = spark.createDataFrame([(a, b, w) for (a, b), w in weights.items()], "source string, target string, weight double")
+    start = spark.createDataFrame(list(seeds.items()), "node string, score double")
     found = {r.node: r.score for r in hosts.spread(edges, start, settings).collect()}
-    assert found.keys() == {str(k) for k in scores}
-    assert all(found[str(k)] == pytest.approx(v) for k, v in scores.items())
+    want = exact_walk(weights, seeds, settings.follow)
+    assert found.keys() == {n for n, v in want.items() if v > 1e-12}
+    assert all(found[n] == pytest.approx(want[n], abs=5e-6) for n in found)
+    assert hosts.spread(edges, start.where("false"), settings).count() == 0
+
+
+def test_verdicts_are_those_of_the_converged_walk(spark):
+    """Random links between hosts of which some are blocked or allowed by rule; verdicts equal the exact solution's."""
+    draw = random.Random(8)
+    names = [f"h{i}.com" for i in range(30)] + [f"b{i}.net" for i in range(4)] + [f"g{i}.org" for i in range(4)]
+    links = {(a, b) for a, b in zip(names[:12], names[1:12])} | {(draw.choice(names), draw.choice(names)) for _ in range(60)}
+    links |= {("h11.com", "b0.net"), ("g0.org", "h20.com")}
+    weights = defaultdict(float)
+    for a, b in links:
+        if a != b:
+            weights[a, b] += 1.0
+    out = defaultdict(list)
+    for a, b in weights:
+        out[a].append(f'<a href="http://{b}/x">')
+    pages = [(i, f"http://{n}/fr/", " ".join(out[n])) for i, n in enumerate(names)]
+    rows = hosts.judge(spark.createDataFrame(pages, "page_id long, url string, html string"), RULES, hosts.Spread(tolerance=1e-6)).collect()
+    settings = hosts.Spread()
+    trust = exact_walk(weights, {n: 1.0 for n in names if n.endswith(".org")}, settings.follow)
+    distrust = exact_walk({(b, a): w for (a, b), w in weights.items()}, {n: 1.0 for n in names if n.endswith(".net")}, settings.follow)
+    for r in rows:
+        t, d = trust.get(r.host, 0), distrust.get(r.host, 0)
+        method = "block" if d > settings.threshold * (1 - settings.follow) and d > t else "allow"
+        assert r.verdict == (method if r.rule is None else "block" if r.rule == "net/" else "allow")
+    assert {"block", "allow"} <= {r.verdict for r in rows if r.rule is None}
+
+
+def test_a_domain_with_most_hosts(spark, monkeypatch):
+    """Subdomains of one blocked domain are looked up without meeting in one task, and distrust reaches them."""
+    from wayledger.llm import graph
+
+    monkeypatch.setattr(graph, "HOT_PARTS", 20)
+    pages = [(i, f"http://s{i}.wide.example/", "") for i in range(300)] + [(900, "http://wide.example/", '<a href="http://bad.net/">')]
+    pages += [(901, "http://bad.net/", ""), (902, "http://other.example/", "")]
+    rows = {r.page_id: r for r in hosts.judge(spark.createDataFrame(pages, "page_id long, url string, html string"), RULES).collect()}
+    assert rows[900].verdict == "block" and rows[902].distrust == 0
+    assert len({round(rows[i].distrust, 9) for i in range(300)}) == 1 and rows[0].distrust > 0
 
 
 def test_distrust_comes_from_linking_to_blocked_hosts(spark):

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayledger.llm.graph import hot_values, lookup
-from wayledger.session import checkpointed
+from wayledger.session import checkpointed, forget
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The absolute targets of links in a page.
@@ -46,7 +46,8 @@ class Rule:
 
 @dataclass(frozen=True)
 class Spread:
-    rounds: int = 8
+    #: A walk ends when all that is still to come is less than this part of what its seeds started with.
+    tolerance: float = 1e-3
     follow: float = 0.85
     threshold: float = 0.2
 
@@ -79,7 +80,8 @@ def domain_edges(hosts: DataFrame) -> DataFrame:
     parts = F.split("host", r"\.")
     above = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "."))
     named = hosts.where(F.size(parts) > 2).select("host", F.posexplode(above).alias("steps", "up"))
-    found = named.join(hosts.select(F.col("host").alias("up")), "up")
+    # A domain may have any number of hosts below it.
+    found = lookup(named, "up", hosts.select(F.col("host").alias("up"), F.lit(True).alias("known"))).where("known")
     nearest = found.groupBy("host").agg(F.min_by("up", "steps").alias("up"))
     ways = F.array(F.struct("host", "up"), F.struct(F.col("up").alias("host"), F.col("host").alias("up")))
     return nearest.select(F.inline(ways)).select(F.col("host").alias("source"), F.col("up").alias("target"), F.lit(1.0).alias("weight"))
@@ -88,19 +90,27 @@ def domain_edges(hosts: DataFrame) -> DataFrame:
 def spread(edges: DataFrame, seeds: DataFrame, settings: Spread) -> DataFrame:
     """Personalised PageRank: (node, score) where ``seeds`` (node, score) says where a walk starts again.
 
-    Only nodes that a walk reaches have a row; weight that comes to a node without edges starts again at no seed.
+    Only nodes that a walk reaches have a row; weight that comes to a node without edges starts again at no seed.  The
+    walk goes on from its starts, a link a round, until what later rounds could add is below the tolerance.
     """
     out = edges.groupBy("source").agg(F.sum("weight").alias("total"), F.count("*").alias("n"))
     hot = hot_values(out, "source", edges.count())
     parts = lookup(edges, "source", out.select("source", "total"), hot)
     parts = checkpointed(parts.select("source", "target", (F.col("weight") / F.col("total")).alias("part")))
     started = seeds.select("node", (F.col("score") * (1 - settings.follow)).alias("score"))
-    scores = seeds.select("node", "score")
-    for _ in range(settings.rounds):
+    scores = checkpointed(started)
+    mass = scores.agg(F.sum("score")).first()[0] or 0.0
+    enough, fresh = settings.tolerance * mass / (1 - settings.follow), mass
+    while fresh * settings.follow / (1 - settings.follow) > enough:
         here = scores.select(F.col("node").alias("source"), "score")
         moved = lookup(parts, "source", here, hot).where("score is not null")
         moved = moved.select(F.col("target").alias("node"), (F.col("score") * F.col("part") * settings.follow).alias("score"))
-        scores = checkpointed(moved.unionByName(started).groupBy("node").agg(F.sum("score").alias("score")))
+        before, scores = scores, checkpointed(moved.unionByName(started).groupBy("node").agg(F.sum("score").alias("score")))
+        forget(before)
+        total = scores.agg(F.sum("score")).first()[0] or 0.0
+        # Rounds add less and less: what a round adds is what moved on from the one before.
+        fresh, mass = max(total - mass, 0.0), total
+    forget(parts)
     return scores
 
 
