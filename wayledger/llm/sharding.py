@@ -20,6 +20,8 @@ from pyspark.sql.window import Window as W
 from wayledger.session import checkpointed
 
 BUCKET_BYTES = 64 << 20
+#: What a record takes besides its text: its key, its place and its position among those that are drawn.
+RECORD_BYTES = 64
 #: Buckets per block of the running totals.
 BLOCK = 4096
 #: A task takes one bucket, or several one after another where there are more than this.
@@ -32,8 +34,8 @@ def record_bytes(text: Column) -> Column:
 
 
 def count_buckets(records: DataFrame, size: Column, bucket_bytes: int = BUCKET_BYTES) -> int:
-    """Buckets of at most about ``bucket_bytes``, and no fewer than there are shuffle partitions."""
-    total = records.agg(F.sum(size)).first()[0] or 0
+    """Buckets of at most about ``bucket_bytes`` of records, and no fewer than there are shuffle partitions."""
+    total = records.agg(F.sum(size + RECORD_BYTES)).first()[0] or 0
     return max(-(-total // bucket_bytes), int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
