@@ -189,6 +189,43 @@ def test_pieces_like_the_library(segmenter, spark, folder):
         assert ids == theirs or score(ids) == pytest.approx(score(theirs), abs=0.02)
 
 
+def test_long_segments_take_the_same_paths(segmenter, monkeypatch):
+    """Whether segments are searched together or one by one, and in seconds for a million characters without a space."""
+    import time
+
+    from wayledger.llm import pieces
+
+    draw = random.Random(5)
+    texts = ["".join(draw.choice("abcdeéß漢🙂 \n-") for _ in range(draw.randrange(1, 400))) for _ in range(80)]
+    texts += ["a" * 300, "the" * 90, "x" * 97 + " " + "y" * 96, "é" * 200]
+    found = {}
+    for long in (0, 20, 96, 10**9):
+        monkeypatch.setattr(pieces, "LONG", long)
+        segmenter.forget()
+        found[long] = segmenter.encode(texts)
+    assert found[0] == found[20] == found[96] == found[10**9]
+    monkeypatch.setattr(pieces, "LONG", 96)
+    began = time.perf_counter()
+    assert segmenter.decode(ids_of(segmenter.encode(["Donaudampfschiff" * 62_500])[0])) == "Donaudampfschiff" * 62_500
+    assert time.perf_counter() - began < 60
+
+
+def test_what_is_remembered_is_bounded_by_bytes(segmenter, monkeypatch):
+    from wayledger.llm import pieces
+
+    monkeypatch.setattr(pieces, "REMEMBERED_BYTES", 20_000)
+    segmenter.forget()
+    for i in range(40):
+        segmenter.encode([f"w{i}{'x' * 500} and more"])
+        assert segmenter.known_bytes < 20_000 + 6_000
+    segmenter.forget()
+
+
+def test_buckets_of_records_without_text(spark):
+    rows = spark.range(100_000).select(F.col("id").alias("doc_id"), F.lit(None).cast("string").alias("text"))
+    assert sharding.count_buckets(rows, sharding.record_bytes(F.col("text")), 50_000) >= 100_000 * sharding.RECORD_BYTES // 50_000
+
+
 def test_pieces_round_trip(spark, edge, segmenter):
     model = Pieces(spark)
     rows = edge.select("text", model.encode(F.col("text")).alias("coded")).withColumn("back", model.decode(F.col("coded"))).collect()

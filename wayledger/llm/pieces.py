@@ -27,7 +27,10 @@ MARK = "▁"
 MARK_BYTES = MARK.encode()
 #: Stands for a marker of the text itself; no UTF-8 text holds this byte.
 OWN_MARK = 0xFF
-REMEMBERED = 200_000
+#: Bytes of segments and ids that a task remembers, about.
+REMEMBERED_BYTES = 64 << 20
+#: Longer segments are searched one by one: all together they would take a step for each of their bytes.
+LONG = 96
 #: Texts taken at once, and new segments searched at once; the search needs some hundred bytes for each of theirs.
 SLICE_BYTES = 2_000_000
 SLICE_ROWS = 400
@@ -124,12 +127,17 @@ class Segmenter:
         self.char_lengths = lengths
         self.mark_ids = vocabulary.byte_ids[np.frombuffer(MARK_BYTES, np.uint8)]
         self.known: dict[str, bytes] = {}
+        self.known_bytes = 0
         self.table = list(vocabulary.pieces)
         for byte, piece in enumerate(vocabulary.byte_ids):
             self.table[piece] = bytes([byte])
 
     def __getstate__(self):
-        return self.__dict__ | {"known": {}}
+        return self.__dict__ | {"known": {}, "known_bytes": 0}
+
+    def forget(self) -> None:
+        self.known.clear()
+        self.known_bytes = 0
 
     def _edges(self, data, starts, stops):
         """All pieces that match at a character start: their starts, ends and ids."""
@@ -148,6 +156,25 @@ class Segmenter:
             origin, at, stop, state = origin[live], at[live], stop[live], state[live]
         return [np.concatenate(x) for x in zip(*found, strict=True)]
 
+    @staticmethod
+    def _search_long(begin, end, piece, score, ends: set[int], back: np.ndarray, by: np.ndarray) -> None:
+        """Best ways to each place of long segments, from edges by end and then longest first."""
+        # By place: the sum of the best way there, but 0 where a segment begins.
+        sums: dict[int, float] = {}
+        most, at, was, which = -np.inf, -1, 0, 0
+        for low, high, number, value in zip(begin.tolist(), end.tolist(), piece.tolist(), score.tolist(), strict=True):
+            if high != at:
+                if at >= 0:
+                    back[at], by[at] = was, which
+                    if at not in ends:
+                        sums[at] = most
+                most, at = -np.inf, high
+            total = sums.get(low, 0.0) + value
+            if total > most:
+                most, was, which = total, low, number
+        if at >= 0:
+            back[at], by[at] = was, which
+
     def best(self, segments: list[bytes]) -> list[bytes]:
         """The ids of each segment's best path, as packed 32-bit numbers."""
         words = self.vocabulary
@@ -168,18 +195,24 @@ class Segmenter:
         piece = np.concatenate([piece, np.full(int(lone.sum()), -1, np.int32)])
         score = np.where(piece < 0, words.unknown_score, words.scores[piece])
         # By position in the segment, then end, then longest first.
-        position = end - first[np.searchsorted(last, begin, "right")]
-        bits = int(max(self.longest, 4)).bit_length()
-        order = np.argsort((position << 38) | (end << bits) | ((1 << bits) - 1 - (end - begin)), kind="stable")
+        segment = np.searchsorted(last, begin, "right")
+        position = end - first[segment]
+        long = sizes > LONG
+        apart = long[segment]
+        position[apart] = -1
+        order = np.lexsort((begin, end, position))
         begin, end, piece, score, position = begin[order], end[order], piece[order], score[order], position[order]
+        count = int(apart.sum())
         sums = np.full(len(data) + 1, -np.inf)
         sums[first] = 0
         # A segment's end is the next one's start, so ends keep their sums apart from starts.
         reached, back, by = sums.copy(), np.zeros(len(data) + 1, np.int64), np.zeros(len(data) + 1, np.int32)
         is_last = np.zeros(len(data) + 1, bool)
         is_last[last] = True
+        self._search_long(begin[:count], end[:count], piece[:count], score[:count], set(last[long].tolist()), back, by)
+        begin, end, piece, score, position = begin[count:], end[count:], piece[count:], score[count:], position[count:]
         steps = np.flatnonzero(np.diff(position, prepend=0))
-        for low, high in zip(steps, [*steps[1:], len(begin)], strict=True):
+        for low, high in zip(steps, [*steps[1:], len(begin)] if len(steps) else [], strict=True):
             to = end[low:high]
             total = sums[begin[low:high]] + score[low:high]
             firsts = np.flatnonzero(np.diff(to, prepend=-1))
@@ -238,11 +271,13 @@ class Segmenter:
         plain = [MARK + t.replace(" ", MARK) if t and MARK not in t else "" for t in texts]
         segments = [_SEGMENT.findall(t) for t in plain]
         new = {s for found in segments for s in found if s not in known}
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
+        if self.known_bytes > REMEMBERED_BYTES:
+            self.forget()
             new = {s for found in segments for s in found}
         if new:
             self._learn(list(new))
+            # The text, four bytes for each of at most as many ids, and what the table needs.
+            self.known_bytes += sum(5 * len(s) + 200 for s in new)
         own = (self._encode_apart(t) if MARK in t else None for t in texts)
         return [apart if apart is not None else b"".join(map(known.__getitem__, found)) for apart, found in zip(own, segments, strict=True)]
 
@@ -293,7 +328,7 @@ class Pieces:
             for texts in _sliced(batches):
                 yield lists_of(texts, segmenter.encode(texts.to_pylist()))
             # Workers live on between tasks; what was remembered should not.
-            segmenter.known.clear()
+            segmenter.forget()
 
         @F.arrow_udf("struct<ids:array<int>,round_trip:boolean>")
         def checked(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -304,7 +339,7 @@ class Pieces:
                 back = (segmenter.decode(np.frombuffer(p, "<i4").tolist()) for p in packed)
                 same = [(t or "") == b for t, b in zip(plain, back, strict=True)]
                 yield pa.StructArray.from_arrays([lists_of(texts, packed), pa.array(same, pa.bool_())], ["ids", "round_trip"])
-            segmenter.known.clear()
+            segmenter.forget()
 
         @F.arrow_udf("string")
         def decoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
