@@ -181,7 +181,79 @@ def chat_repair(spark: SparkSession, folder: str) -> DataFrame:
     return chat.repair(table(spark, folder, "conversations"))
 
 
-@query("op13_structure_repair")
+def _least(*ways: str) -> str:
+    return f"list_sort([{', '.join(ways)}])[1]"
+
+
+def _repair_sql() -> str:
+    """Plain recursion over the rows from the last to the first, least cost and least edits from every state."""
+    way = lambda state, cost, edit: f"{{'c': {state}.c + {cost}, 'e': '{edit}' || {state}.e}}"
+    never = "{'c': 1000000, 'e': ''}"
+    extra = "(case when fault = 'truncated' then 5 else 0 end)"
+    follows = {"q0": "qu", "qs": "qu", "qu": "qa", "qa": "qu"}
+    plain = []
+    for state, to in follows.items():
+        letter = to[1]
+        keeps = f"case when stays and letter = '{letter}' then {way(to, extra, 'K')} else {never} end"
+        reroles = f"case when stays then {way(to, '1 + ' + extra, 'R')} else {never} end"
+        ways = [way(state, 2, "D"), keeps, reroles]
+        if state == "q0":
+            ways.append(f"case when stays and letter = 's' then {way('qs', extra, 'K')} else {never} end")
+        plain.append(f"{_least(*ways)} as {state}")
+    inserted = ", ".join(f"{_least(state, way(to, 5, 'I'))} as {state}" for state, to in follows.items())
+    return rf"""with recursive polynomial(byte, bits, code) as (
+      select range, 0, range from range(256) union all
+      select byte, bits + 1, xor(code >> 1, 3988292384 * (code & 1)) from polynomial where bits < 8),
+    crc as (select list(code order by byte) as codes from polynomial where bits = 8),
+    named as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+      coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ') as key from conversations),
+    fated as (select named.* exclude (key), xor(4294967295, list_reduce(
+        list_prepend(4294967295, list_transform(string_split(key, ''), lambda x: cast(unicode(x) as bigint))),
+        lambda c, b: xor(codes[(xor(c, b) & 255) + 1], c >> 8))) % 20 as fate from named, crc),
+    damaged as (select conv_id, turn, case when fate = 4 then 'user' else role end as role,
+      case fate when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+      unnest(case when fate = 3 then [0, 1] else [0] end) as copy from fated where fate <> 0),
+    placed as (select *, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as body,
+      row_number() over (partition by conv_id order by turn nulls first, role, text, copy) as pos from damaged),
+    faults as (select *, left(role, 1) as letter, case when body = '' then 'blank'
+      when row_number() over (partition by conv_id, role, text order by pos) > 1 then 'duplicate'
+      when right(body, 1) not in ('.', '!', '?') then 'truncated' else '' end as fault,
+      lag(left(role, 1)) over (partition by conv_id order by pos) as before from placed),
+    sizes as (select conv_id, count(*) as n from faults group by conv_id),
+    paths as (select conv_id, n as pos, {{'c': 0, 'e': ''}} as q0, {{'c': 10, 'e': 'II'}} as qs, {{'c': 5, 'e': 'I'}} as qu,
+        {{'c': 0, 'e': ''}} as qa from sizes
+      union all
+      select conv_id, pos, {inserted} from (select conv_id, pos, {inserted} from (
+        select f.conv_id, f.pos - 1 as pos, {", ".join(plain)} from (select p.*, letter, fault,
+          fault not in ('blank', 'duplicate') as stays, f.pos as row_at from paths p join faults f
+          on f.conv_id is not distinct from p.conv_id and f.pos = p.pos) as f) as one) as two),
+    best as (select conv_id, q0.c as cost, q0.e as audit from paths where pos = 0),
+    letters as (select conv_id, audit, unnest(string_split(audit, '')) as edit, unnest(range(1, length(audit) + 1)) as i
+      from best where audit <> ''),
+    steps as (select *, count(*) filter (edit <> 'I') over w as pos, count(*) filter (edit <> 'D') over w as out
+      from letters window w as (partition by conv_id order by i)),
+    output as (select s.conv_id, s.i, s.edit, s.out, f.role, f.text,
+        bool_or(s.out = 1 and s.edit = 'K' and f.letter = 's') over (partition by s.conv_id) as opens
+      from steps s left join faults f on f.conv_id is not distinct from s.conv_id and f.pos = s.pos and s.edit <> 'I'
+      where s.edit <> 'D'),
+    lines as (select conv_id, i, case when edit = 'K' then role when (out - cast(opens as int)) % 2 = 1 then 'user'
+      else 'assistant' end || ':' || case when edit = 'I' then '' else text end as line from output),
+    digests as (select conv_id, sha256(string_agg(line, chr(10) order by i)) as digest from lines group by conv_id),
+    counts as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps,
+      count(*) filter (fault = 'blank') as blank, count(*) filter (fault = 'duplicate') as duplicate,
+      count(*) filter (fault = 'truncated') as truncated,
+      count(*) filter (before is not null and before || letter not in ('su', 'ua', 'au')) as illegal
+      from faults group by conv_id),
+    ids as (select distinct conv_id from conversations)
+    select ids.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate,
+      coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, coalesce(cost, 0) as cost,
+      coalesce(audit, '') as audit, coalesce(digest, sha256('')) as repaired_sha256
+    from ids left join counts on counts.conv_id is not distinct from ids.conv_id
+      left join best on best.conv_id is not distinct from ids.conv_id
+      left join digests on digests.conv_id is not distinct from ids.conv_id"""
+
+
+@query("op13_structure_repair", _repair_sql())
 def structure_repair(spark: SparkSession, folder: str) -> DataFrame:
     """The faults of every damaged conversation, its cheapest edits and the digest of the repaired rows."""
     conversations = table(spark, folder, "conversations")
