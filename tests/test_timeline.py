@@ -65,7 +65,7 @@ def walk(data):
     return {k: tuple(v) for k, v in out.items()}
 
 
-@pytest.mark.parametrize("hot_rows", [None, "3"])
+@pytest.mark.parametrize("hot_rows", [None, "3", "25"])
 def test_columns_and_conflicts_match_the_walk(spark, data, hot_rows):
     items = spark.createDataFrame(data, ITEM)
     if hot_rows:
@@ -94,6 +94,33 @@ def test_columns_packed_in_groups(spark, data, monkeypatch, pack_rows):
     assert {r.id: (r.cluster, r.col, r.cols) for r in columns} == {k: v[:3] for k, v in want.items()}
 
 
+def test_a_day_of_all_minutes_takes_few_jobs(spark):
+    """One cluster over every minute of a day, far beyond the hot-key limit, and one that begins later."""
+    chance, rows = random.Random(4), []
+    for minute in range(1440):
+        for k in range(3):
+            start = f"{minute // 60:02d}:{minute % 60:02d}"
+            rows.append((minute * 10 + k, 1, 1, start, chance.choice([0, 1, 5, 30]) if k else 2))
+            if minute > 700 and k == 0:
+                rows.append((10**6 + minute, 2, 1, start, 3))
+    items = spark.createDataFrame(rows, ITEM)
+    spark.conf.set(HOT_ROWS, "100")
+    spark.sparkContext.setJobGroup("columns of a long day", "")
+    try:
+        columns = timeline.timeline_columns(items).collect()
+    finally:
+        spark.conf.unset(HOT_ROWS)
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("columns of a long day")
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert {r.id: (r.cluster, r.col, r.cols) for r in columns} == {k: v[:3] for k, v in walk(rows).items()}
+    assert len(jobs) <= 200
+
+
+def test_spans():
+    assert timeline.spans_of([(1, 5), (2, 4), (3, 1), (9, 11), (10, 3), (11, 7)], 10) == [[1, 2, 3], [9], [10, 11]]
+    assert timeline.spans_of([], 10) == []
+
+
 def test_negative_lengths_take_no_part(spark):
     items = spark.createDataFrame([(1, 1, 1, "09:00", 30), (2, 1, 1, "09:20", -60), (3, 1, 1, "09:25", 10)], ITEM)
     assert {r.id: r.conflict for r in timeline.conflict_flags(items).collect()} == {1: True, 3: True}

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wayledger.functions import clock
 from wayledger.operators.itinerary import needs_attention, trip_summary
@@ -223,65 +225,168 @@ def _pack_arrays(rows: DataFrame) -> DataFrame:
     return each.select(*CLUSTER, F.col("x.id").alias("id"), F.col("x.col").alias("col"), "cols")
 
 
+class Columns:
+    """First free columns for items in order of start: free columns wait in one heap, taken ones in another by their end."""
+
+    def __init__(self):
+        self.free: list[int] = []
+        self.taken: list[tuple[int, int]] = []
+        self.width, self.minute, self.opening = 0, None, 0
+
+    def reopen(self, column: int, busy: int) -> None:
+        """A column that was in use until ``busy``."""
+        heapq.heappush(self.taken, (busy, column))
+        self.width = max(self.width, column + 1)
+
+    def place(self, start: int, end: int) -> int:
+        while self.taken and self.taken[0][0] <= start:
+            heapq.heappush(self.free, heapq.heappop(self.taken)[1])
+        if start != self.minute:
+            self.minute, self.opening = start, self.free[0] if self.free else self.width
+        if end > start:
+            at = heapq.heappop(self.free) if self.free else self.width
+            heapq.heappush(self.taken, (end, at))
+        else:
+            # Without length it blocks nothing, and only what began earlier is in its way.
+            at = self.opening
+            if at == self.width:
+                heapq.heappush(self.free, at)
+        self.width = max(self.width, at + 1)
+        return at
+
+    def open(self) -> list[tuple[int, int]]:
+        """All columns with the minute that each is in use until."""
+        return [(column, busy) for busy, column in self.taken] + [(column, self.minute) for column in self.free]
+
+
 def _pack_groups(rows: DataFrame) -> DataFrame:
-    """Pack clusters of bounded size one by one: free columns wait in one heap, taken ones in another by their end."""
+    """Pack clusters of bounded size one by one."""
 
     def packed(cluster: pa.Table) -> pa.Table:
         cluster = cluster.sort_by([("s", "ascending"), ("id", "ascending")])
-        free, taken, columns, width, minute, opening = [], [], [], 0, None, 0
-        for start, end in zip(cluster["s"].to_pylist(), cluster["e"].to_pylist(), strict=True):
-            while taken and taken[0][0] <= start:
-                heapq.heappush(free, heapq.heappop(taken)[1])
-            if start != minute:
-                minute, opening = start, free[0] if free else width
-            if end > start:
-                at = heapq.heappop(free) if free else width
-                heapq.heappush(taken, (end, at))
-            else:
-                # Without length it blocks nothing, and only what began earlier is in its way.
-                at = opening
-                if at == width:
-                    heapq.heappush(free, at)
-            width = max(width, at + 1)
-            columns.append(at)
+        columns = Columns()
+        placed = [columns.place(*item) for item in zip(cluster["s"].to_pylist(), cluster["e"].to_pylist(), strict=True)]
         kept = cluster.select([*CLUSTER, "id"])
-        kept = kept.append_column("col", pa.array(columns, pa.int32()))
-        return kept.append_column("cols", pa.array([width] * len(columns), pa.int32()))
+        kept = kept.append_column("col", pa.array(placed, pa.int32()))
+        return kept.append_column("cols", pa.array([columns.width] * len(placed), pa.int32()))
 
     kinds = dict(rows.dtypes)
     fields = [f"{c} {kinds[c]}" for c in [*CLUSTER, "id"]]
     return rows.groupBy(*CLUSTER).applyInArrow(packed, ", ".join([*fields, "col int", "cols int"]))
 
 
+def spans_of(minutes: list[tuple[int, int]], limit: int) -> list[list[int]]:
+    """Neighbouring minutes (minute, rows) together as long as their rows stay within the limit."""
+    out: list[list[int]] = []
+    held = 0
+    for minute, count in minutes:
+        if not out or held + count > limit:
+            out.append([])
+            held = 0
+        out[-1].append(minute)
+        held += count
+    return out
+
+
 def _pack_minutes(rows: DataFrame) -> DataFrame:
-    """Pack large clusters one start minute at a time.
+    """Pack large clusters span of minutes by span, carrying which columns are in use.
 
-    At minute ``m`` the k-th lasting item takes the k-th column free by then, or a new one
-    beyond the last.  Items without length never block; they take the first free column,
-    or a new one.  The list of minutes on the driver is bounded by the time grammar.
+    A span has as many minutes as the hot-key limit admits rows of one cluster.  Its rows are streamed in order behind the
+    columns that are open, a task a cluster, which holds the open columns only.  A minute that alone has more rows, or
+    more open columns than that, is packed over distributed rows: there the k-th lasting item takes the k-th column free
+    by then, or a new one beyond the last; items without length never block and take the first free column, or a
+    new one.  The list of minutes on the driver is bounded by the time grammar.
     """
     spark = rows.sparkSession
+    limit = setting(spark, HOT_ROWS)
     folder = shared_folder(spark, "columns")
     last = rows.groupBy(*CLUSTER).agg(F.max("s").alias("until"))
     # Few files per minute, more where a minute holds many rows.
     spread = rows.join(last, CLUSTER).hint("rebalance", F.col("s"))
     spread.write.partitionBy("s").parquet(f"{folder}/rows")
     rows = spark.read.parquet(f"{folder}/rows")
-    minutes = [r.s for r in rows.select("s").distinct().orderBy("s").collect()]
+    most = rows.groupBy(*CLUSTER, "s").count().groupBy("s").agg(F.max("count").alias("most"))
+    counts = sorted((r.s, r.most) for r in most.collect())
     column = [*CLUSTER, "until", "col"]
     state = rows.select(*CLUSTER, "until", F.lit(0).alias("col"), F.lit(0).alias("busy")).where(F.lit(False))
-    for step, minute in enumerate(minutes):
-        _place(rows.where(F.col("s") == minute), state, minute).write.parquet(f"{folder}/placed/step={step}")
-        placed = spark.read.parquet(f"{folder}/placed/step={step}")
-        # Only clusters with items still to come keep their columns.
-        taken = placed.select(*column, F.col("e").alias("busy")).unionByName(state).where(F.col("until") > minute)
-        taken.groupBy(*column).agg(F.max("busy").alias("busy")).write.parquet(f"{folder}/state/step={step}")
-        state = spark.read.parquet(f"{folder}/state/step={step}")
-    placed = spark.read.parquet(f"{folder}/placed").select(*CLUSTER, "id", "col")
+    rows_of, wide = dict(counts), 0
+    for step, minutes in enumerate(spans_of(counts, limit)):
+        if max(rows_of[minutes[0]], wide) <= limit:
+            now = rows.where(F.col("s").between(minutes[0], minutes[-1]))
+            seen = Observation()
+            placed = _stream_span(now, state).observe(seen, F.max("n_open").alias("wide"))
+            placed.write.parquet(f"{folder}/placed/step={step}-0")
+            wide = seen.get["wide"] or 0
+            # With the schema given, reading starts no job.
+            state = spark.read.schema(placed.schema).parquet(f"{folder}/placed/step={step}-0").where("id is null")
+            state = state.select(*column, F.col("e").alias("busy"))
+            continue
+        for at, minute in enumerate(minutes):
+            _place(rows.where(F.col("s") == minute), state, minute).write.parquet(f"{folder}/placed/step={step}-{at}")
+            placed = spark.read.parquet(f"{folder}/placed/step={step}-{at}")
+            # Only clusters with items still to come keep their columns.
+            taken = placed.select(*column, F.col("e").alias("busy")).unionByName(state).where(F.col("until") > minute)
+            taken.groupBy(*column).agg(F.max("busy").alias("busy")).write.parquet(f"{folder}/state/step={step}-{at}")
+            state = spark.read.parquet(f"{folder}/state/step={step}-{at}")
+        wide = state.groupBy(*CLUSTER).count().agg(F.max("count")).first()[0] or 0
+    kinds = {f.name: f.dataType for f in rows.schema} | {"col": T.IntegerType()}
+    kept = T.StructType([T.StructField(c, kinds[c]) for c in [*CLUSTER, "id", "col"]])
+    placed = spark.read.schema(kept).parquet(f"{folder}/placed").where("id is not null").select(*kept.names)
     widths = placed.groupBy(*CLUSTER).agg((F.max("col") + 1).alias("cols"))
     return placed.join(widths, CLUSTER).select(*CLUSTER, "id", "col", "cols")
 
 
+def _stream_span(now: DataFrame, state: DataFrame) -> DataFrame:
+    """The items of some minutes with their columns, and the columns open at the end of clusters that go on.
+
+    Rows without id are open columns: what is in use until ``e``.
+    """
+    kinds = dict(now.dtypes)
+    begun = now.select(*CLUSTER, "until", "id", "s", "e", F.lit(None).cast("int").alias("col"))
+    open_ = state.select(*CLUSTER, "until", F.lit(None).cast(kinds["id"]).alias("id"), F.lit(None).cast("int").alias("s"), F.col("busy").alias("e"), "col")
+    both = open_.unionByName(begun).repartition(*CLUSTER)
+    # Nulls first: the open columns of a cluster come before its items.
+    both = both.sortWithinPartitions(*CLUSTER, "s", "id")
+    names = [*CLUSTER, "until", "id", "e", "col", "n_open"]
+    fields = [f"{c} {kinds[c]}" for c in [*CLUSTER, "until", "id", "e"]]
+
+    def streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cluster, until, columns, out, types = None, None, Columns(), [], None
+
+        def close():
+            if cluster is None:
+                return
+            # Nothing of the cluster may begin in this span; one that ends in it needs no columns any more.
+            left = columns.open() if columns.minute is not None else [(column, busy) for busy, column in columns.taken]
+            if columns.minute is None or columns.minute < until:
+                out.extend((*cluster, until, None, busy, column, len(left)) for column, busy in left)
+
+        for batch in batches:
+            types = [batch.schema.field(c).type for c in names[:-2]]
+            for row in zip(*(batch[c].to_pylist() for c in [*CLUSTER, "until", "id", "s", "e", "col"]), strict=True):
+                *key, until_now, id_, start, end, column = row
+                if tuple(key) != cluster:
+                    close()
+                    cluster, until, columns = tuple(key), until_now, Columns()
+                if start is None:
+                    columns.reopen(column, end)
+                else:
+                    out.append((*cluster, until, id_, end, columns.place(start, end), None))
+            yield _span_batch(out, names, types)
+            out.clear()
+        close()
+        if out:
+            yield _span_batch(out, names, types)
+
+    return both.mapInArrow(streamed, ", ".join([*fields, "col int", "n_open int"]))
+
+
+def _span_batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
+    columns = zip(*rows) if rows else [()] * len(names)
+    arrays = [pa.array(list(c), t) for c, t in zip(columns, [*types, pa.int32(), pa.int32()], strict=True)]
+    return pa.RecordBatch.from_arrays(arrays, names)
+
+
 def _place(now: DataFrame, state: DataFrame, minute: int) -> DataFrame:
     free = ranked(state.where(F.col("busy") <= minute), CLUSTER, [F.col("col")], "k").select(
         *CLUSTER, "k", F.col("col").alias("free_col")
