@@ -2,7 +2,7 @@
 
 The vectors are spread over shards of bounded size.  A shard's postings (vector, dimension, value) are kept in segments
 by quantised impact, the bit length of the value's size.  A block of queries is scored against a shard segment by
-segment, highest impact first.  After each the sum so far, plus or minus what the vector's unread values can add (at
+segment, highest impact first, the first ones together.  After each the sum so far, plus or minus what the vector's unread values can add (at
 most the product of the lengths of the query and of the unread part), bounds every score.  Reading stops once the
 bounds prove that few vectors can still be among the k best; those are scored exactly, ties included, and the shards'
 best are merged.
@@ -26,6 +26,8 @@ SHARD_ROWS = 3_000
 BLOCK_ROWS = 2_000
 #: Queries scored at once.
 SLICE = 256
+#: Proof is not tried before the unread values hold at most this part of the vectors' squared lengths.
+UNREAD = 0.1
 #: Reading stops when so many times k vectors per query are left.
 LEFT = 4
 
@@ -114,11 +116,15 @@ def best_in_shard(ids: np.ndarray, segments: list[dict], width: int, query_ids:
         sums = np.zeros((len(some), len(ids)), kind)
         unread = (whole.astype(float) ** 2).sum(1)
         possible = ~own
-        for slots, dims, values in parts:
-            part = np.zeros((width, len(ids)), kind)
+        all_of_it, part = unread.sum(), np.zeros((width, len(ids)), kind)
+        for number, (slots, dims, values) in enumerate(parts, 1):
             part[dims, slots] = values
-            sums += some.astype(kind) @ part
             unread -= np.bincount(slots, values.astype(float) ** 2, len(ids))
+            # While much is unread nothing can be proven, so segments are read on and scored together.
+            if unread.sum() > UNREAD * all_of_it and number < len(parts):
+                continue
+            sums += some.astype(kind) @ part
+            part[:] = 0
             if len(ids) <= k:
                 continue
             # A little more than the exact bound, for the rounding of the roots.
