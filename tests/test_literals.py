@@ -365,3 +365,29 @@ def test_older_files_are_read_and_completed(spark, tmp_path):
     append_log(log, str(tmp_path / "log"))
     append_log(log, str(tmp_path / "log"))
     assert spark.read.parquet(str(tmp_path / "log")).count() == 2
+
+
+def test_summaries(spark):
+    from wayledger.operators import changes, itinerary
+
+    trips = spark.createDataFrame([(1,), (2,), (3,)], "id long")
+    rows = [(1, 1, 2, "A", "09:00", True, False, ""), (2, 1, None, "B", None, True, True, "x"), (3, 2, 2, "C", None, False, False, "")]
+    items = spark.createDataFrame(
+        rows, "id long, trip_id long, day_number int, name string, start_time string, confirm_required boolean, is_confirmed boolean, notes string"
+    )
+    texts = lambda **which: {r.trip_id: r.summary for r in itinerary.listing_summary(trips, items, **which).collect()}
+    assert texts() == {1: "全部項目共 2 筆，其中 1 項必須確認但還沒確認。", 2: "全部項目共 1 筆。", 3: "這趟旅程的全部項目是空的。"}
+    assert texts(only_candidates=True)[1] == "候選項目共 1 筆。" and texts(only_candidates=True)[2] == "這趟旅程的候選項目是空的。"
+    assert texts(day=2, only_unconfirmed=True)[2] == "第 2 天的項目（僅未確認）共 1 筆。"
+    patches = spark.createDataFrame(
+        [(1, None, "10:00", None, None, None, ["day_number"]), (2, 3, None, False, "B2", "y", None), (3, None, None, None, None, None, ["start_time", "notes"]), (9, 1, None, None, None, None, None)],
+        "item_id long, day_number int, start_time string, is_confirmed boolean, name string, notes string, clear array<string>",
+    )
+    found = {r.id: r.summary for r in changes.update_summaries(items, patches).collect()}
+    assert found == {
+        1: "已更新「A」：退回候選；時間改為 10:00。",
+        2: "已更新「B2」：排到第 3 天；取消已確認；改了名稱；更新了 notes。",
+        3: "已更新「C」：更新了 notes。",
+    }
+    none = spark.createDataFrame([(3, None)], "item_id long, notes string")
+    assert [r.summary for r in changes.update_summaries(items, none).collect()] == ["已更新「C」：無變更。"]

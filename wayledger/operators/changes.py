@@ -19,6 +19,8 @@ from wayledger.schemas import DEFAULTS, schema
 # Instructions of the history.
 REORDERED = "重新排序 Day "
 ADJUSTED = "手動調整"
+# What a summary says of a change.
+BACK, CONFIRMED, UNCONFIRMED, RENAMED, UNCHANGED = "退回候選", "標記為已確認", "取消已確認", "改了名稱", "無變更"
 
 
 def _next_id(table: DataFrame) -> Column:
@@ -106,6 +108,35 @@ def patch_items(table: DataFrame, patches: DataFrame, order: str | None = None)
     return joined.select(*[value(c) for c in table.columns])
 
 
+def update_summaries(items: DataFrame, patches: DataFrame, order: str | None = None) -> DataFrame:
+    """One sentence per patched item: which fields the patch gives and what they are now."""
+    patched = patch_items(items, patches, order)
+    folded = fold_patches(patches, order)
+    fields = [c for c in folded.columns if c not in ("item_id", "clear")]
+    cleared = F.col("clear") if "clear" in folded.columns else F.array().cast("array<string>")
+    gone = lambda name: F.coalesce(F.array_contains(cleared, name), F.lit(False))
+    given = {c: F.col(c).isNotNull() | gone(c) for c in fields}
+    flags = folded.select(F.col("item_id").alias("id"), *[g.alias(f"_has_{c}") for c, g in given.items()], cleared.alias("_clear"))
+    rows = patched.join(flags, "id")
+
+    def has(name: str) -> Column:
+        return F.col(f"_has_{name}") if name in fields else F.coalesce(F.array_contains("_clear", name), F.lit(False))
+
+    day, time = F.col("day_number"), F.col("start_time")
+    placed = F.when(day.isNull(), F.lit(BACK)).otherwise(F.concat(F.lit("排到第 "), day.cast("string"), F.lit(" 天")))
+    moved = F.when(has("start_time") & (F.coalesce(time, F.lit("")) != ""), F.concat(F.lit("時間改為 "), time))
+    confirmed = F.when(F.coalesce("is_confirmed", F.lit(False)), F.lit(CONFIRMED)).otherwise(F.lit(UNCONFIRMED))
+    others = [c for c in fields if c not in ("day_number", "start_time", "is_confirmed", "name")]
+    rest = F.array_join(F.filter(F.array(*[F.when(has(c), F.lit(c)) for c in others]).cast("array<string>"), F.isnotnull), "、")
+    parts = [
+        F.when(has("day_number"), placed), moved, F.when(has("is_confirmed"), confirmed), F.when(has("name"), F.lit(RENAMED)),
+        F.when(rest != "", F.concat(F.lit("更新了 "), rest)),
+    ]
+    told = F.concat_ws("；", *parts)
+    what = F.when(told == "", F.lit(UNCHANGED)).otherwise(told)
+    return rows.select("id", F.concat(F.lit("已更新「"), "name", F.lit("」："), what, F.lit("。")).alias("summary"))
+
+
 def schedule_patches(items: DataFrame, requests: DataFrame, order: str | None = None) -> DataFrame:
     """Requests as patches with the position behind the items that their day already has, in the order of the requests.
 

@@ -236,6 +236,24 @@ def attention_count(listing: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+# What listings are called in their summaries.
+ALL_ITEMS, CANDIDATES, ONLY_UNCONFIRMED = "全部項目", "候選項目", "（僅未確認）"
+
+
+def listing_summary(
+    trips: DataFrame, items: DataFrame, day: int | None = None, only_candidates: bool = False, only_unconfirmed: bool = False
+) -> DataFrame:
+    """What the listing of ``items_filtered`` amounts to for every trip, in words: size and items that need attention."""
+    listed = attention_count(items_filtered(items, day, only_candidates, only_unconfirmed), ["trip_id"])
+    scope = CANDIDATES if only_candidates else ALL_ITEMS if day is None else f"第 {day} 天的項目"
+    scope += ONLY_UNCONFIRMED if only_unconfirmed else ""
+    counted = trips.select(F.col("id").alias("trip_id")).join(listed, "trip_id", "left").fillna(0, ["items", "attention"])
+    waiting = F.concat(F.lit("，其中 "), F.col("attention").cast("string"), F.lit(" 項必須確認但還沒確認。"))
+    filled = F.concat(F.lit(f"{scope}共 "), F.col("items").cast("string"), F.lit(" 筆"), F.when(F.col("attention") > 0, waiting).otherwise("。"))
+    text = F.when(F.col("items") == 0, f"這趟旅程的{scope}是空的。").otherwise(filled)
+    return counted.select("trip_id", "items", "attention", text.alias("summary"))
+
+
 def headline(rows: DataFrame, keys: list[str], order: list[Column], entry: Column) -> DataFrame:
     """Count and first three entries per key.
 

@@ -371,3 +371,15 @@ def _(t):
     return stored.select(
         "id", "username", "name", "category", F.col("estimated_price").cast("double"), "status"
     )
+
+
+@query(
+    "update_summaries",
+    """with changed as (select i.id, i.name, coalesce(p.day_number, i.day_number) as d, p.day_number as pd,
+      p.start_time as ps, p.is_confirmed as pc from items i join item_patches p on i.id = p.item_id)
+    select id, '已更新「' || name || '」：' || coalesce(nullif(concat_ws('；',
+      case when pd is not null then '排到第 ' || d || ' 天' end, '時間改為 ' || ps,
+      case when pc then '標記為已確認' when not pc then '取消已確認' end), ''), '無變更') || '。' as summary from changed""",
+)
+def _(t):
+    return changes.update_summaries(t.items, t.item_patches.drop("to_candidate"))

@@ -211,6 +211,25 @@ def _(t):
     return itinerary.attention_count(listing, ["trip_id"])
 
 
+def _summary_sql(scope: str, where: str) -> str:
+    return f"""with listed as (select trip_id, count(*) as n, count(*) filter (confirm_required and not is_confirmed) as a
+      from items where {where} group by trip_id)
+    select id as trip_id, coalesce(n, 0) as items, coalesce(a, 0) as attention, case when coalesce(n, 0) = 0
+      then '這趟旅程的{scope}是空的。' else '{scope}共 ' || n || ' 筆' || case when a > 0
+        then '，其中 ' || a || ' 項必須確認但還沒確認。' else '。' end end as summary
+    from trips left join listed on trip_id = id"""
+
+
+@query("listing_summary", _summary_sql("全部項目", "true"))
+def _(t):
+    return itinerary.listing_summary(t.trips, t.items)
+
+
+@query("listing_summary_unconfirmed", _summary_sql("第 1 天的項目（僅未確認）", "day_number = 1 and not is_confirmed"))
+def _(t):
+    return itinerary.listing_summary(t.trips, t.items, day=1, only_unconfirmed=True)
+
+
 @query(
     "trip_headline",
     """with r as (select *, row_number() over (partition by username order by start_date desc, id) as k,
