@@ -195,3 +195,37 @@ def test_cosines_approximate_the_kernel():
     features = quality.cosines(points, np.zeros(25), np.ones(25))[:, :-1]
     squares = ((points[:, None] - points[None]) ** 2).sum(2)
     assert np.abs(features @ features.T - np.exp(-squares / 2 / quality.WIDTH**2)).max() < 0.25
+
+
+def test_quality_fit_against_numpy(spark):
+    """The whole fit: standardised statistics, weighted ridge by dense normal equations, isotonic steps of binned scores."""
+    import random
+
+    draw, rows = random.Random(3), []
+    for i in range(160):
+        good = i % 3 > 0
+        words = ["lorem", "ipsum", "dolor", "sit", "amet.", "Consectetur"] if good else ["AAA!!", "1234", "###", "a", "?"]
+        text = " ".join(draw.choice(words) for _ in range(draw.randrange(1, 40)))
+        rows.append((int(good), text, draw.random()))
+    share = 0.7
+    sample = spark.createDataFrame(rows, "label int, text string, place double").repartition(6)
+    model = quality.fit(sample, share)
+    x, y, place = np.array([quality.statistics(t) for _, t, _ in rows]), np.array([r[0] for r in rows]), np.array([r[2] for r in rows])
+    mean, spread = x.mean(0), np.sqrt(np.maximum((x**2).mean(0) - x.mean(0) ** 2, 1e-12))
+    assert np.allclose(model.mean, mean) and np.allclose(model.spread, spread)
+    weight = np.where(y == 1, share / (y == 1).sum(), (1 - share) / (y == 0).sum())
+    ends = np.array([quality.CALIBRATION * place[y == k].max() for k in (0, 1)])[y]
+    fitted = place > ends
+    points = quality.cosines(x, mean, spread)
+    a = points[fitted].T @ (points[fitted] * weight[fitted, None])
+    b = points[fitted].T @ (weight[fitted] * y[fitted])
+    want = np.linalg.solve(a + quality.RIDGE * a.trace() / len(a) * np.eye(len(a)), b)
+    assert np.allclose(model.weights, want, atol=1e-6)
+    raw = np.clip(points[~fitted] @ want, -0.5, 1.5)
+    bins = np.minimum(((raw + 0.5) / 2 * quality.BINS).astype(int), quality.BINS - 1)
+    total, ones, counts = (np.bincount(bins, w, quality.BINS) for w in (weight[~fitted] * raw, weight[~fitted] * y[~fitted], weight[~fitted]))
+    some = counts > 0
+    steps, shares = quality.pooled(total[some] / counts[some], ones[some], counts[some])
+    assert np.allclose(model.steps, steps, atol=1e-6) and np.allclose(model.shares, shares, atol=1e-6)
+    scores = np.array([r[0] for r in sample.select(model.score(spark, F.col("text"))).collect()])
+    assert np.allclose(np.sort(scores), np.sort(np.interp(points @ want, steps, shares)), atol=1e-6)
