@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from wayledger.functions import clock
 from wayledger.operators.itinerary import needs_attention, trip_summary
 from wayledger.operators.skew import HotKeys, Running, hot_keys, match, ranked, running, salted_lookup
-from wayledger.session import HOT_ROWS, setting, shared_folder
+from wayledger.session import HOT_ROWS, checkpointed, setting, shared_folder
 
 DAY = ["trip_id", "day_number"]
 CLUSTER = [*DAY, "cluster"]
@@ -190,7 +190,8 @@ def timeline_columns(items: DataFrame) -> DataFrame:
     # No cluster outgrows its day, so the days are measured before anything is computed.
     if _hot_days(items, limit).frame is None:
         return _pack_arrays(_clusters(rows, HotKeys(DAY)))
-    clusters = _clusters(rows, _hot_days(items))
+    # Read several times below, so computed once.
+    clusters = checkpointed(_clusters(rows, _hot_days(items)))
     small, large = hot_keys(clusters, CLUSTER, limit).split(clusters)
     out = _pack_arrays(small)
     if large is None:
