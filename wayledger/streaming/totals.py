@@ -195,7 +195,9 @@ class LiveTotals(Epochs):
         """Write the new totals of one micro-batch; safe to repeat after a failure."""
         epoch = batch_id // self.fold_every
         if epoch < self.epoch():
-            return  # repeated after its epoch was folded
+            # Repeated after its epoch was folded: the states have to be moved all the same.
+            batch.write.format("noop").mode("overwrite").save()
+            return
         self._keep("totals", batch, epoch, batch_id)
         if (batch_id + 1) % self.fold_every == 0:
             self._keep("totals", self._last(), epoch + 1, batch_id)
