@@ -2,8 +2,10 @@
 
 import glob
 import os
+import pickle
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -99,6 +101,37 @@ def test_documents_are_whole_files(spark, tmp_path):
     assert found["1"] == "new" and len(found) == 3
 
 
+def test_documents_in_folders(spark, tmp_path):
+    """The same files, dealt over sub-folders; nothing on the driver grows with their number."""
+    rows = [(k, part, f"{k}:{part}\n") for k in ("1", "a/b c", "ü%41", "_x") for part in range(9)] + [("empty", 0, None), (None, 0, "n")]
+    random.Random(1).shuffle(rows)
+    parts = spark.createDataFrame(rows, "name string, part int, body string")
+    folder = str(tmp_path / "out")
+    documents.write_documents(parts, F.col("name"), folder, ".txt", folders=3)
+    found = lambda: sorted(map(tuple, documents.read_documents(spark, folder, ".txt", 3).collect()))
+    want = {k: "".join(f"{k}:{p}\n" for p in range(9)) for k in ("1", "a/b c", "ü%41", "_x")} | {"None": "n"}
+    assert found() == sorted(want.items())
+    assert set(os.listdir(folder)) <= {"0", "1", "2"} and len(glob.glob(f"{folder}/*/*.txt")) == 6
+    # Written again into folders that are there, a document replaces its file and leaves the others.
+    documents.write_documents(spark.createDataFrame([("1", 0, "new")], parts.schema), F.col("name"), folder, ".txt", folders=3)
+    assert found() == sorted((want | {"1": "new"}).items())
+    plan = documents.read_documents(spark, folder, ".txt", 3)._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan" not in plan
+
+
+def test_what_a_task_reports_has_one_length(tmp_path):
+    lengths = []
+    for number in (1, 300):
+        keys = [str(k) for k in range(number)]
+        batch = pa.RecordBatch.from_pydict({"key": keys, "part": [0] * number, "body": keys})
+        writer = documents.DocumentWriter(f"file://{tmp_path}/out{number:03}", ".txt")
+        message = writer.write(iter([batch]))
+        lengths.append(len(pickle.dumps(message)))
+        writer.commit([message, None])
+        assert len(os.listdir(tmp_path / f"out{number:03}")) == number
+    assert lengths[0] == lengths[1]
+
+
 def test_a_failed_task_leaves_no_file(spark, tmp_path):
     folder = str(tmp_path / "out")
     parts = spark.range(200).selectExpr("id as name", "0 as part", "if(id = 150, raise_error('broken'), 'x') as body")
