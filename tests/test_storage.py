@@ -85,6 +85,38 @@ def test_emptied_buckets_and_repeated_publishing(spark, folder, tmp_path, monkey
     assert table.read().count() == left.count() - 30
 
 
+def test_staged_files_are_moved(spark, folder, tmp_path, monkeypatch):
+    """Publishing writes no row again, and may be done in part or once more."""
+    items = Tables(spark, folder).items
+    table = BucketedTable(spark, str(tmp_path / "items"), "itinerary_items", 4)
+    table.create(items)
+    gone = items.select("id").where(F.pmod(F.xxhash64("id"), F.lit(4)).isin(1, 2) & ((F.col("id") % 2 == 0) | (F.pmod(F.xxhash64("id"), F.lit(4)) == 1)))
+    taken, publish = [], BucketedTable.publish
+    monkeypatch.setattr(BucketedTable, "publish", lambda self, *args: taken.append(args))
+    table.apply(gone, lambda rows: changes.delete_rows(rows, gone))
+    staged, touched = taken[0]
+    assert touched == [1, 2] and table.read().count() == items.count()
+    written = {os.path.basename(p) for p in glob.glob(f"{staged}/rows/bucket=2/*.parquet")}
+
+    class Stopped(Exception):
+        pass
+
+    def stopped(*args):
+        raise Stopped
+
+    # Stopped when all is moved and only the staged folder is left.
+    monkeypatch.setattr("wayledger.sources.buckets.remove", stopped)
+    with pytest.raises(Stopped):
+        publish(table, staged, touched)
+    monkeypatch.undo()
+    left = changes.delete_rows(items, gone).count()
+    for _ in range(2):
+        assert {os.path.basename(p) for p in glob.glob(f"{table.folder}/bucket=2/*.parquet")} == written
+        assert not os.path.exists(f"{table.folder}/bucket=1") and table.read().count() == left
+        publish(table, staged, touched)
+    assert not os.path.exists(staged)
+
+
 def test_documents_are_whole_files(spark, tmp_path):
     rows = [(k, part, f"{k}:{part}\n") for k in ("1", "a/b c", "ü%41") for part in range(50)] + [("empty", 0, "")]
     random.Random(1).shuffle(rows)

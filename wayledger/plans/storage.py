@@ -8,7 +8,7 @@ from wayledger.operators import changes, exports, planning, search
 from wayledger.plans import changes as change_plans
 from wayledger.plans.exports import AS_OF, DOCUMENT_SQL
 from wayledger.plans.registry import query
-from wayledger.session import shared_folder
+from wayledger.session import shared_folder, stored
 from wayledger.sources import documents, raw
 from wayledger.sources.buckets import BucketedTable
 
@@ -17,23 +17,26 @@ BUCKETS = 64
 FOLDERS = 1_024
 
 
-def _bucketed(t) -> BucketedTable:
+def _bucketed(t):
+    """The items in buckets, and the tables with the stored items: batches are made from what the table holds."""
     table = BucketedTable(t.spark, f"{shared_folder(t.spark, 'bucketed')}/items", "itinerary_items", BUCKETS)
     table.create(t.items)
-    return table
+    return table, t.with_table("items", table.read())
 
 
 @query("patch_items_in_buckets", change_plans.PATCH_SQL)
 def _(t):
     """Only the buckets of the patched ids are rewritten."""
-    table, patches = _bucketed(t), t.item_patches.drop("to_candidate")
+    table, t = _bucketed(t)
+    patches = t.item_patches.drop("to_candidate")
     table.apply(patches.select(F.col("item_id").alias("id")), lambda rows: changes.patch_items(rows, patches))
     return table.read().select("id", "day_number", "start_time", "is_confirmed", "name")
 
 
 @query("unschedule_items_in_buckets", change_plans.UNSCHEDULE_SQL)
 def _(t):
-    table, ids = _bucketed(t), t.items.where("confirm_required").select("id")
+    table, t = _bucketed(t)
+    ids = t.items.where("confirm_required").select("id")
     table.apply(ids, lambda rows: changes.unschedule_items(rows, ids))
     return table.read().select("id", "day_number", "start_time", "sort_order")
 
@@ -41,26 +44,27 @@ def _(t):
 @query("schedule_items_in_buckets", change_plans.SCHEDULE_SQL)
 def _(t):
     """Places come from the whole table, read by its narrow columns; the rows written are those of the touched buckets."""
-    table = _bucketed(t)
+    table, t = _bucketed(t)
     asked = t.items.where(F.col("day_number").isNull()).select(
         F.col("id").alias("item_id"), F.lit(1).alias("day_number"), F.lit("10:30").alias("start_time")
     )
-    placed = changes.schedule_patches(table.read(), asked)
+    placed = changes.schedule_patches(t.items, asked)
     table.apply(asked.select(F.col("item_id").alias("id")), lambda rows: changes.patch_items(rows, placed))
     return table.read().select("id", "day_number", "start_time", "sort_order")
 
 
 @query("apply_plans_in_buckets", change_plans.APPLY_SQL)
 def _(t):
-    table = _bucketed(t)
-    updates = changes.reorder_updates(planning.reorder_plan(t.items, t.reorder_requests))
+    table, t = _bucketed(t)
+    # Both the buckets and the changes are read from the plan, so it is made once.
+    updates = stored(changes.reorder_updates(planning.reorder_plan(t.items, t.reorder_requests)), "updates")
     table.apply(updates.select("id"), lambda rows: changes.apply_plans(rows, updates)[0])
     return table.read().select("id", "start_time", "sort_order")
 
 
 @query("delete_rows_in_buckets", change_plans.DELETE_SQL)
 def _(t):
-    table = _bucketed(t)
+    table, t = _bucketed(t)
     gone = t.items.where((F.col("category") == "unknown") & F.col("day_number").isNull()).select("id")
     table.apply(gone, lambda rows: changes.delete_rows(rows, gone))
     return table.read().select("id", "trip_id")

@@ -53,6 +53,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """Write once in the shared folder, by columns, so later branches read only the columns they use."""
+    folder = shared_folder(df.sparkSession, purpose)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def forget(*tables: DataFrame) -> None:
     """Remove the files of ``checkpointed`` tables that nothing will read again."""
     for df in tables:

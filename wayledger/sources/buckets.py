@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wayledger.schemas import schema
-from wayledger.session import remove, shared_folder
+from wayledger.session import remove
 
 BUCKETS = 1_024
 
@@ -17,8 +18,8 @@ BUCKETS = 1_024
 class BucketedTable:
     """One table in ``folder``, a sub-folder for each bucket of ``id``.
 
-    ``buckets`` stays as it was when the table was created.  A batch is staged in the shared folder first and then put in
-    place bucket by bucket; if that is interrupted, ``publish`` with the staged folder does it again.  One writer at
+    ``buckets`` stays as it was when the table was created.  A batch is staged beside the buckets first and then moved into
+    place bucket by bucket; if that is interrupted, ``publish`` with the staged folder does the rest.  One writer at
     a time; a reader that started before a batch may have to start again.
     """
 
@@ -62,18 +63,35 @@ class BucketedTable:
         touched = self.touched(ids)
         if not touched:
             return touched
-        staged = shared_folder(self.spark, "staged")
+        # In the table's own store, where a folder can be moved; readers pass over names that begin with "_".
+        staged = f"{self.folder}/_staged-{uuid.uuid4().hex}"
         rows = self._stored().where(F.col("bucket").isin(touched)).drop("bucket")
         self._spread(self._shaped(change(rows))).write.partitionBy("bucket").parquet(f"{staged}/rows")
         self.publish(staged, touched)
         return touched
 
     def publish(self, staged: str, touched: list[int]) -> None:
-        """Put staged buckets in place; those that were touched and have no rows left go."""
-        rows = self.spark.read.schema(self._stored().schema).parquet(f"{staged}/rows")
-        kept = {r[0] for r in rows.select("bucket").distinct().collect()}
-        placed = rows.hint("rebalance", F.col("bucket")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        placed.partitionBy("bucket").parquet(self.folder)
-        for bucket in set(touched) - kept:
-            remove(self.spark, f"{self.folder}/bucket={bucket}")
+        """Move staged buckets into place; those that were touched and have no rows left go.
+
+        What is still staged is what is still to be done, so buckets without rows get an empty folder before any is moved.
+        """
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        rows, done = path(f"{staged}/rows"), path(f"{staged}/listed")
+        store = rows.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if store.exists(rows) and not store.exists(done):
+            for bucket in touched:
+                store.mkdirs(path(rows, f"bucket={bucket}"))
+            store.mkdirs(done)
+        for bucket in touched:
+            source, target = path(rows, f"bucket={bucket}"), path(f"{self.folder}/bucket={bucket}")
+            if not store.exists(source):
+                continue
+            store.delete(target, True)
+            if store.listStatus(source):
+                if not store.rename(source, target):
+                    raise OSError(f"{source} could not be moved to {target}")
+            else:
+                store.delete(source, True)
+        # The list goes last: without it, missing folders would be made again.
+        store.delete(rows, True)
         remove(self.spark, staged)

@@ -291,6 +291,12 @@ class Tables:
             self._made[name] = self._make(name)
         return self._made[name]
 
+    def with_table(self, name: str, rows: DataFrame) -> Tables:
+        """The same tables, with ``rows`` as one of them and below the views that read it."""
+        other = Tables(self.spark, self.folder)
+        other._made[name] = rows
+        return other
+
     def _make(self, name: str) -> DataFrame:
         # A view and a benchmark table never share a name.
         if name in RAW:
