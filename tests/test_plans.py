@@ -80,3 +80,13 @@ def test_shuffles(stored):
     assert shuffles(shopping.price_urgency_matrix(buylist)) == 1
     assert shuffles(exports.maps_csv_documents(items)) == 1
     assert shuffles(exports.ics_documents(trips, items, datetime.datetime(2026, 1, 1))) == 2
+
+
+def test_schedule_items_derives_the_items_once(spark, folder):
+    """The window over the line items runs for the stored items only."""
+    from wayledger.plans import load_all
+    from wayledger.plans.registry import QUERIES
+
+    load_all()
+    plan = QUERIES["schedule_items"](spark, folder)._jdf.queryExecution().executedPlan().toString()
+    assert "l_orderkey" not in plan and "Window" in plan

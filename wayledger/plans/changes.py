@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from wayledger.operators import changes, itinerary, planning
 from wayledger.plans.registry import query
+from wayledger.session import stored
 
 AS_OF = datetime.date(2001, 8, 15)
 
@@ -139,11 +140,13 @@ SCHEDULE_SQL = """with c as (select id, trip_id, 1 as d from items where day_num
 
 @query("schedule_items", SCHEDULE_SQL)
 def _(t):
-    candidates = t.items.where(F.col("day_number").isNull())
+    # The operator reads the items four times; they are derived once.
+    items = stored(t.items, "items")
+    candidates = items.where(F.col("day_number").isNull())
     asked = candidates.select(
         F.col("id").alias("item_id"), F.lit(1).alias("day_number"), F.lit("10:30").alias("start_time")
     )
-    return changes.schedule_items(t.items, asked).select("id", "day_number", "start_time", "sort_order")
+    return changes.schedule_items(items, asked).select("id", "day_number", "start_time", "sort_order")
 
 
 UNSCHEDULE_SQL = """select id, case when not confirm_required then day_number end as day_number,
