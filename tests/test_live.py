@@ -145,3 +145,15 @@ def test_a_batch_moves_only_its_own_states(spark, folder, source, tmp_path):
     written = spark.read.parquet(f"{live.folder}/totals/epoch=0")
     batches = written.groupBy("batch").count().collect()
     assert len(batches) >= 5 and all(r["count"] <= query.recentProgress[0]["numInputRows"] * 2 for r in batches)
+
+
+def test_items_and_sums_share_pages(spark, folder, source, tmp_path):
+    """A batch pays a round trip to the state store for each page, not for each item; the totals are the same."""
+    tables = Tables(spark, folder)
+    snapshot = tables.buylist_items.withColumn("id", F.col("id") % 400).dropDuplicates(["id"])
+    live = totals.LiveTotals(spark, str(tmp_path / "live"), pages=3)
+    query = live.start(moved_feed(stream(spark, source)), snapshot)
+    query.awaitTermination()
+    updated = [o["numRowsUpdated"] for progress in query.recentProgress for o in progress["stateOperators"]]
+    assert updated and max(updated) <= 3 * 2  # the first batch writes a page once from the snapshot, once from its changes
+    check_totals(live, tables, feed.as_changes(snapshot).unionByName(moved_feed(feed.change_feed(tables.change_feed))))

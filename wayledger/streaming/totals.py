@@ -2,12 +2,13 @@
 
 Two keyed states carry the totals from batch to batch.  The first keeps the last version of every item, by event time and
 then event id, and turns a change into moves: what the old version counted for goes, what the new one counts for
-comes.  The second keeps the sums of a list's category and moves them.  A micro-batch reads and writes the states of its own
-items and categories only, whatever the lists hold; older changes that arrive late or again move nothing.
+comes.  The second keeps the sums of a list's category and moves them.  Items and sums lie in pages by a hash of their key, one
+state a page, as each state that is read or written costs a round trip to the state store.  A micro-batch reads and
+writes the pages of its own items and categories only, whatever the lists hold; ``pages`` says how many there are.  Older
+changes that arrive late or again move nothing.
 
-A category outside the fixed order is placed by its first item, so its state also keeps its items' places; the first is at
-hand, and is looked for again only when it goes.  The sums of one category are spread over SALTS states by item, so the moves
-of a hot list spread as well.
+A category outside the fixed order is placed by its first item, so its sums also keep its items' places.  The sums of one
+category are spread over SALTS states by item, over PLACE_SALTS if it keeps places, so a hot list spreads as well.
 
 Each batch writes the new sums of the categories that it moved to a folder of its own; a replayed batch rewrites it.
 Batches are kept in epochs and folded like those of the change log.
@@ -15,6 +16,7 @@ Batches are kept in epochs and folded like those of the change log.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -28,15 +30,15 @@ from wayledger.operators.shopping import CATEGORIES, active, budget_rows, catego
 from wayledger.streaming.feed import TABLE, Epochs, as_changes
 
 SALTS = 8
+PLACE_SALTS = 4_096
+PAGES = 16_384
 _SUMS = ("n", "unbought", "unbought_cents", "total_cents", "recurring_cents")
 _PLACE = ("o_bought", "o_idle", "o_urgency", "o_age", "o_id")
 _PLACE_DDL = "o_bought INT, o_idle INT, o_urgency INT, o_age LONG, o_id LONG"
 _GROUP = "list_id LONG, category STRING, salt INT"
 _SUMS_DDL = ", ".join(f"{c} LONG" for c in _SUMS)
 #: What an item counts for; ``placed`` says whether its place is kept.
-_COUNTS = f"{_GROUP}, {_SUMS_DDL}, {_PLACE_DDL}, placed BOOLEAN"
-_MOVE = _COUNTS
-_VERSION = f"at LONG, event_id LONG, {_COUNTS}"
+_MOVE = f"{_GROUP}, {_SUMS_DDL}, {_PLACE_DDL}, placed BOOLEAN"
 _TOTAL = f"{_GROUP}, {_SUMS_DDL}, {_PLACE_DDL}"
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -50,126 +52,142 @@ def versions(changes: DataFrame) -> DataFrame:
     place = dict(zip(_PLACE, default_order(), strict=True))
     # A missing time sorts before all others, as it does in a sort.
     place["o_age"] = F.coalesce(place["o_age"], F.lit(-(1 << 63)))
+    other = ~category().isin(CATEGORIES)
     return changes.select(
         "id",
         F.unix_micros("ts").alias("at"),
         "event_id",
         "list_id",
         category().alias("category"),
-        F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"),
+        F.pmod(F.xxhash64("id"), F.when(other, PLACE_SALTS).otherwise(SALTS)).cast("int").alias("salt"),
         live.cast("long").alias("n"),
         (live & unbought).cast("long").alias("unbought"),
         cents("price", unbought).alias("unbought_cents"),
         cents("price", active()).alias("total_cents"),
         cents("recurring_cost", active()).alias("recurring_cents"),
         *[value.alias(name) for name, value in place.items()],
-        (live & ~category().isin(CATEGORIES)).alias("placed"),
+        (live & other).alias("placed"),
     )
 
 
-def _signed(version: Row | tuple, sign: int) -> Row:
-    row = dict(zip(_names(_COUNTS), version, strict=True))
-    return Row(**(row | {c: sign * row[c] for c in _SUMS}))
+def paged(rows: DataFrame, keys: list[str], pages: int) -> DataFrame:
+    return rows.withColumn("page", F.pmod(F.xxhash64(*keys), F.lit(pages)).cast("int"))
 
 
 def _names(ddl: str) -> list[str]:
     return [field.split()[0] for field in ddl.split(", ")]
 
 
-class ItemMoves(StatefulProcessor):
-    """Keyed by item: the last version, and the moves from the one before to it."""
+def _rank(values: tuple) -> tuple:
+    """Orders values that may be missing, these first."""
+    return tuple((v is not None, v) for v in values)
+
+
+class Paged(StatefulProcessor):
+    """One state a page, a JSON array of objects; the initial state has it ready as ``entries``."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.names = _names(_VERSION)
-        self.last = handle.getValueState("last", _VERSION)
+        self.state = handle.getValueState("entries", "entries STRING")
 
-    def _tuple(self, row: Row) -> tuple:
-        return tuple(row[n] for n in self.names)
+    def _load(self) -> list[dict]:
+        kept = self.state.get()
+        return [] if kept is None else json.loads(kept[0])
 
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        kept = self.last.get()
-        old = None if kept is None else tuple(kept)
-        new = max(map(self._tuple, rows), key=lambda v: v[:2])
-        if old is not None and new[:2] <= old[:2]:
-            return
-        self.last.update(new)
-        if old is not None:
-            yield _signed(old[2:], -1)
-        yield _signed(new[2:], 1)
+    def _keep(self, entries: list[dict]) -> None:
+        self.state.update((json.dumps(entries, ensure_ascii=False, separators=(",", ":")),))
 
     def handleInitialState(self, key, initialState: Row, timerValues) -> None:
-        self.last.update(self._tuple(initialState))
+        self.state.update((initialState["entries"],))
 
     def close(self) -> None:
         pass
 
 
-class GroupTotals(StatefulProcessor):
-    """Keyed by list, category and salt: the sums, and the first place of the items of a category that needs one."""
+class ItemMoves(Paged):
+    """Keyed by page of items: the last version of each, and the moves from the one before to it."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.sums = handle.getValueState("sums", _SUMS_DDL)
-        self.first = handle.getValueState("first", _PLACE_DDL)
-        self.places = handle.getMapState("places", _PLACE_DDL, "here BOOLEAN")
+        super().init(handle)
+        self.names = _names(_MOVE)
+
+    def _signed(self, version: dict, sign: int) -> Row:
+        return Row(**{c: sign * version[c] if c in _SUMS else version[c] for c in self.names})
 
-    def _moved(self, rows: Iterator[Row]) -> tuple[int, ...]:
-        sums = list(self.sums.get() or [0] * len(_SUMS))
-        places: dict[tuple, int] = {}
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        newest: dict = {}
+        for row in rows:
+            at = _rank((row["at"], row["event_id"]))
+            if row["id"] not in newest or at > newest[row["id"]][0]:
+                newest[row["id"]] = at, row
+        held = {version["id"]: version for version in self._load()}
+        moved = False
+        for id_, (at, row) in newest.items():
+            old = held.get(id_)
+            if old is not None and at <= _rank((old["at"], old["event_id"])):
+                continue
+            new = row.asDict()
+            del new["page"]
+            held[id_] = new
+            moved = True
+            if old is not None:
+                yield self._signed(old, -1)
+            yield self._signed(new, 1)
+        if moved:
+            self._keep(list(held.values()))
+
+
+class GroupTotals(Paged):
+    """Keyed by page of lists, categories and salts: the sums, and the places of the items of a category that needs one."""
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        group = lambda entry: tuple(entry[c] for c in ("list_id", "category", "salt"))
+        held = {group(entry): entry for entry in self._load()}
+        changed: dict[tuple, dict[tuple, int]] = {}
         for row in rows:
-            for i, name in enumerate(_SUMS):
-                sums[i] += row[name]
+            of = group(row)
+            places = changed.setdefault(of, {})
+            entry = held.setdefault(of, dict(zip(("list_id", "category", "salt"), of, strict=True)) | dict.fromkeys(_SUMS, 0) | {"places": []})
+            for name in _SUMS:
+                entry[name] += row[name]
             if row["placed"]:
                 place = tuple(row[c] for c in _PLACE)
                 places[place] = places.get(place, 0) + row["n"]
-        self.sums.update(tuple(sums))
-        if not places:
-            first = self.first.get()
-            return (*sums, *(first or (None,) * len(_PLACE)))
-        first = self.first.get()
-        first = None if first is None else tuple(first)
-        for place, change in places.items():
-            if change > 0:
-                self.places.updateValue(place, (True,))
-                first = place if first is None else min(first, place)
-            elif change < 0:
-                self.places.removeKey(place)
-        if first is not None and places.get(first, 0) < 0:
-            first = min((tuple(p) for p in self.places.keys()), default=None)
-        if first is None:
-            self.first.clear()
-        else:
-            self.first.update(first)
-        return (*sums, *(first or (None,) * len(_PLACE)))
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        yield Row(**dict(zip(_names(_TOTAL), (*key, *self._moved(rows)), strict=True)))
-
-    def handleInitialState(self, key, initialState: Row, timerValues) -> None:
-        self._moved(iter([initialState]))
-
-    def close(self) -> None:
-        pass
+        out = []
+        for of, places in changed.items():
+            entry = held[of]
+            kept = {tuple(place) for place in entry["places"]}
+            kept |= {place for place, change in places.items() if change > 0}
+            kept -= {place for place, change in places.items() if change < 0}
+            entry["places"] = list(kept)
+            first = min(kept, key=_rank, default=(None,) * len(_PLACE))
+            out.append(Row(**dict(zip(_names(_TOTAL), (*of, *[entry[c] for c in _SUMS], *first), strict=True))))
+        self._keep(list(held.values()))
+        yield from out
 
 
 class LiveTotals(Epochs):
     """Budgets and categories of the lists of one deployment, current after every micro-batch."""
 
-    def __init__(self, spark: SparkSession, folder: str, fold_every: int = 100, table: str = TABLE):
+    def __init__(self, spark: SparkSession, folder: str, fold_every: int = 100, table: str = TABLE, pages: int = PAGES):
+        """``pages`` stays as it was at the start."""
         super().__init__(spark, folder, fold_every)
         self.table = table
+        self.pages = pages
 
     def _seed(self, snapshot: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """The states that rows from before the first event begin with; their sums are written as batch -1."""
+        """The pages that rows from before the first event begin with; their sums are written as batch -1."""
         items = versions(as_changes(snapshot, self.table))
-        first = F.min(F.when(F.col("placed"), F.struct(*_PLACE))).alias("first")
-        sums = items.groupBy(*_names(_GROUP)).agg(*[F.sum(c).alias(c) for c in _SUMS], first)
+        place = F.when(F.col("placed"), F.struct(*_PLACE))
+        places = F.collect_set(F.when(F.col("placed"), F.array(*[F.col(c).cast("long") for c in _PLACE]))).alias("places")
+        sums = items.groupBy(*_names(_GROUP)).agg(*[F.sum(c).alias(c) for c in _SUMS], F.min(place).alias("first"))
         self._keep("totals", sums.select(*_names(_GROUP), *_SUMS, "first.*"), 0, -1)
-        # Items without a place of their own count together.
-        plain = items.where(~F.col("placed")).groupBy(*_names(_GROUP)).agg(*[F.sum(c).alias(c) for c in _SUMS])
-        none = {f.name: F.lit(None).cast(f.dataType) for f in T.StructType.fromDDL(_PLACE_DDL)}
-        plain = plain.withColumns(none | {"placed": F.lit(False)})
-        own = items.where("placed").select(*_names(_COUNTS))
-        return items, plain.select(*_names(_COUNTS)).unionByName(own)
+        groups = items.groupBy(*_names(_GROUP)).agg(*[F.sum(c).alias(c) for c in _SUMS], places)
+
+        def entries(rows: DataFrame, keys: list[str]) -> DataFrame:
+            every = F.to_json(F.collect_list(F.struct(*rows.columns)), {"ignoreNullFields": "false"})
+            return paged(rows, keys, self.pages).groupBy("page").agg(every.alias("entries"))
+
+        return entries(items, ["id"]), entries(groups, _names(_GROUP))
 
     def start(self, changes: DataFrame, snapshot: DataFrame | None = None) -> StreamingQuery:
         """Process what the source holds now, then stop; run again to go on.
@@ -179,9 +197,10 @@ class LiveTotals(Epochs):
         items = groups = None
         if snapshot is not None:
             items, groups = self._seed(snapshot)
-            items, groups = items.groupBy("id"), groups.groupBy(*_names(_GROUP))
-        moves = versions(changes).groupBy("id").transformWithState(ItemMoves(), _MOVE, "Append", "None", items)
-        totals = moves.groupBy(*_names(_GROUP)).transformWithState(GroupTotals(), _TOTAL, "Append", "None", groups)
+            items, groups = items.groupBy("page"), groups.groupBy("page")
+        moves = paged(versions(changes), ["id"], self.pages).groupBy("page").transformWithState(ItemMoves(), _MOVE, "Append", "None", items)
+        moves = paged(moves, _names(_GROUP), self.pages).groupBy("page")
+        totals = moves.transformWithState(GroupTotals(), _TOTAL, "Append", "None", groups)
         before = self.spark.conf.get(_PROVIDER)
         # Keyed states of several variables are kept by this store only; a query keeps the one that it began with.
         self.spark.conf.set(_PROVIDER, _ROCKS)
