@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import datetime
 import decimal
 import math
 import os
+import time
 
 import duckdb
 
@@ -49,3 +51,26 @@ def sql_rows(db, sql: str) -> tuple[list[str], list[tuple]]:
     cursor = db.execute(sql)
     columns = [d[0] for d in cursor.description]
     return sorted(columns), rows_of(columns, cursor.fetchall())
+
+
+def shuffle_files(spark):
+    """Names and bytes of the shuffle files that this session's process has on disk."""
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    found = {}
+    for top in folders:
+        for folder, _, names in os.walk(top.getPath()):
+            for name in names:
+                with contextlib.suppress(FileNotFoundError):
+                    if name.startswith("shuffle_"):
+                        found[name] = os.path.getsize(f"{folder}/{name}")
+    return found
+
+
+def new_shuffle_bytes(spark, before, most):
+    """Bytes of the shuffle files made since, once they are no more than ``most`` or some seconds are over: files go in the background."""
+    for _ in range(50):
+        made = sum(size for name, size in shuffle_files(spark).items() if name not in before)
+        if made <= most:
+            break
+        time.sleep(0.1)
+    return made

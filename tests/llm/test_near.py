@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 import pytest
-from checking import connect, spark_rows, sql_rows
+from checking import connect, new_shuffle_bytes, shuffle_files, spark_rows, sql_rows
 
 from wayledger.llm import graph, near
 from wayledger.llm.queries import ORACLES, QUERIES
@@ -160,6 +160,16 @@ def test_links_in_a_cell(crossing):
     assert [int(root(n)) for n in names] == want
 
 
+def test_finished_steps_leave_no_shuffle_files(spark):
+    """The orders and the sets of all rounds lie on disk while their step runs, not until the end."""
+    texts = corpus(5, 200, 4, 200)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets, before = sum(near.shingle_set(t, 5).nbytes for t in texts), shuffle_files(spark)
+    found = near.near_classes(rows)
+    assert new_shuffle_bytes(spark, before, sets // 2) <= sets // 2
+    assert {r.id: r.component_id for r in found.collect()} == dict(enumerate(exact(texts, 5, 80)))
+
+
 def test_edge_rows(spark):
     texts = ["one two three four five six", None, "", " \n ", "One two THREE four five six", "a b", "a b", "b a", "x"]
     rows = [*enumerate(texts), (0, texts[0]), (None, "nobody's own words here"), (None, texts[0]), (50, "word " * 50_000)]

@@ -7,10 +7,12 @@ import random
 
 import pyarrow as pa
 import pytest
+from checking import new_shuffle_bytes, shuffle_files
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from wayledger.operators import changes, search, shopping
+from wayledger.session import checkpointed
 from wayledger.sources import documents, raw
 from wayledger.sources.buckets import BucketedTable
 from wayledger.sources.fixtures import Tables
@@ -211,3 +213,19 @@ def test_csv_lines(spark, tmp_path):
         ",7,2025-02": "missing_required:list_id",
     }
     assert sum(r.n for r in raw.by_reason(loaded).collect()) == 6
+
+
+def test_checkpointed_leaves_no_shuffle_files(spark):
+    """The rows lie in the shared folder alone; what is run without it keeps its files, and can be run again."""
+    wanted = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    rows = spark.range(10_000).groupBy((F.col("id") % 100).alias("key")).agg(F.sum("id").alias("total"))
+    want, before, option = [(k, sum(range(k, 10_000, 100))) for k in range(100)], shuffle_files(spark), spark.conf.get(wanted)
+    kept = checkpointed(rows)
+    assert new_shuffle_bytes(spark, before, 0) == 0
+    for table in (kept, rows, checkpointed(rows), rows):
+        assert sorted(map(tuple, table.collect())) == want
+    assert spark.conf.get(wanted) == option
+    # A failed run leaves the option as it was, too.
+    with pytest.raises(PySparkException):
+        checkpointed(spark.range(3).select(F.raise_error(F.lit("broken")).alias("key")))
+    assert spark.conf.get(wanted) == option

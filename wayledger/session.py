@@ -10,6 +10,8 @@ HOT_ROWS = "spark.wayledger.hotRows"
 PART_ROWS = "spark.wayledger.partRows"
 _DEFAULTS = {HOT_ROWS: 2_000_000, PART_ROWS: 10_000}
 
+_DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _RUNTIME = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -48,9 +50,19 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Materialise once in the shared folder, so later branches read the same rows."""
-    shared_root(df.sparkSession)
-    return df.checkpoint()
+    """Materialise once in the shared folder, so later branches read the same rows.
+
+    The shuffle files go as soon as the rows lie there, not when the driver next collects its garbage.  The option holds
+    for this run alone: a table that is run again would miss its files, and ``df`` itself may have been run before.
+    """
+    spark = df.sparkSession
+    shared_root(spark)
+    before = spark.conf.get(_DROP_SHUFFLES)
+    spark.conf.set(_DROP_SHUFFLES, "true")
+    try:
+        return df.select("*").checkpoint()
+    finally:
+        spark.conf.set(_DROP_SHUFFLES, before)
 
 
 def stored(df: DataFrame, purpose: str) -> DataFrame:
