@@ -276,7 +276,7 @@ def test_leaks_against_all_windows(spark):
     words = ["".join(draw.choice("etaoins") for _ in range(draw.randint(1, 7))) for _ in range(60)]
     items = [(i, " ".join(draw.choice(words) for _ in range(draw.randint(6, 60)))) for i in range(12)] + [(99, ""), (98, None), (3, "short one")]
     texts = []
-    for number in range(32):
+    for number in range(48):
         base = [draw.choice(words) for _ in range(40)]
         item = draw.choice(items[:12])[1].split()
         if number % 3 == 0:
