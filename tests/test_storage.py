@@ -11,6 +11,7 @@ from checking import new_shuffle_bytes, shuffle_files
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from wayledger.operators import changes, search, shopping
 from wayledger.session import checkpointed
 from wayledger.sources import documents, raw
@@ -119,6 +120,76 @@ def test_staged_files_are_moved(spark, folder, tmp_path, monkeypatch):
     assert not os.path.exists(staged)
 
 
+ITEM = "id long, trip_id long, name string, day_number int, start_time string, sort_order int"
+
+
+@pytest.mark.parametrize("together", [1, 40, 10_000])
+def test_requests_some_buckets_at_a_time(spark, tmp_path, together):
+    """Broadcast together or joined alone, a batch gives what the whole table gives, rows repeated or without id too."""
+    rows = [(i % 150 if i % 7 else None, i, f"n{i}", i % 3, "09:00", i) for i in range(400)]
+    items = spark.createDataFrame(rows, ITEM)
+    table = BucketedTable(spark, str(tmp_path / "items"), "itinerary_items", 8)
+    table.create(items)
+    read = lambda: sorted(table.read().select(*items.columns).collect(), key=str)
+    asked = [(i // 2 if i % 9 else None, i, "changed" if i % 3 else None) for i in range(350)]
+    patches = spark.createDataFrame(asked, "item_id long, sort_order int, name string")
+    want = changes.patch_items(items, patches)
+    assert table.apply_requests(patches, changes.patch_items, "item_id", together) == list(range(8))
+    assert read() == sorted(want.select(*items.columns).collect(), key=str)
+    gone = patches.where("sort_order < 60 or pmod(xxhash64(item_id), 8) = 3").select(F.col("item_id").alias("id"))
+    want = changes.delete_rows(want, gone)
+    table.apply_requests(gone, changes.delete_rows, together=together)
+    assert read() == sorted(want.select(*items.columns).collect(), key=str)
+    before = files_of(table.folder)
+    assert table.apply_requests(gone.where("id is null"), changes.delete_rows) == [] and files_of(table.folder) == before
+    assert not glob.glob(f"{table.folder}/_staged-*")
+
+
+def test_rows_stay_with_the_tasks_that_read_them(spark, folder, tmp_path):
+    """Few requests of some buckets are broadcast however large a table Spark takes them for; the rows meet no shuffle."""
+    items = Tables(spark, folder).items
+    table = BucketedTable(spark, str(tmp_path / "items"), "itinerary_items", 4)
+    table.create(items)
+    option, plans = "spark.sql.autoBroadcastJoinThreshold", []
+    before = spark.conf.get(option)
+
+    def planned(change):
+        def made(rows, part):
+            plans.append((changed := change(rows, part))._jdf.queryExecution().executedPlan().toString())
+            return changed
+
+        return made
+
+    ids = items.where("confirm_required").select("id")
+    spark.conf.set(option, "-1")
+    try:
+        for change in (changes.unschedule_items, changes.delete_rows):
+            table.apply_requests(ids, planned(change))
+    finally:
+        spark.conf.set(option, before)
+    assert len(plans) == 2 and all("BroadcastHashJoin" in p and "SortMergeJoin" not in p for p in plans)
+    assert "hashpartitioning" not in plans[1] and plans[0].count("hashpartitioning") == 1
+    assert table.read().count() == changes.delete_rows(items, ids).count()
+
+
+@pytest.mark.parametrize("name", ["unschedule_items_in_buckets"])
+def test_stored_forms_leave_no_shuffle_files(spark, tmp_path, name):
+    """Nothing but the table or the files is left for the reading: what was written last isn't kept in shuffles, too."""
+    spark.range(40).selectExpr(
+        "id as o_orderkey", "id as o_custkey", "'F' as o_orderstatus", "1.0D as o_totalprice",
+        "timestamp_ntz'1995-01-01 00:00:00' as o_orderdate", "'5-LOW' as o_orderpriority",
+    ).write.parquet(str(tmp_path / "orders.parquet"))
+    spark.range(200).selectExpr(
+        "id % 40 as l_orderkey", "id * 7 as l_partkey", "id as l_suppkey", "cast(id % 5 as int) as l_linenumber", "1.0D * id as l_quantity",
+        "1.0D as l_extendedprice", "0.0D as l_discount", "0.0D as l_tax", "if(id % 3 = 0, 'A', 'R') as l_returnflag", "'F' as l_linestatus",
+        "timestamp_ntz'1995-02-01 00:00:00' as l_shipdate",
+    ).write.parquet(str(tmp_path / "lineitem.parquet"))
+    before = shuffle_files(spark)
+    made = entry.queries()[name](spark, str(tmp_path))
+    assert new_shuffle_bytes(spark, before, 0) == 0
+    assert made.count() > 0
+
+
 def test_documents_are_whole_files(spark, tmp_path):
     rows = [(k, part, f"{k}:{part}\n") for k in ("1", "a/b c", "ü%41") for part in range(50)] + [("empty", 0, "")]
     random.Random(1).shuffle(rows)

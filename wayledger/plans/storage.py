@@ -8,7 +8,7 @@ from wayledger.operators import changes, exports, planning, search
 from wayledger.plans import changes as change_plans
 from wayledger.plans.exports import AS_OF, DOCUMENT_SQL
 from wayledger.plans.registry import query
-from wayledger.session import shared_folder, stored
+from wayledger.session import shared_folder
 from wayledger.sources import documents, raw
 from wayledger.sources.buckets import BucketedTable
 
@@ -29,7 +29,7 @@ def _(t):
     """Only the buckets of the patched ids are rewritten."""
     table, t = _bucketed(t)
     patches = t.item_patches.drop("to_candidate")
-    table.apply(patches.select(F.col("item_id").alias("id")), lambda rows: changes.patch_items(rows, patches))
+    table.apply_requests(patches, changes.patch_items, "item_id")
     return table.read().select("id", "day_number", "start_time", "is_confirmed", "name")
 
 
@@ -37,7 +37,7 @@ def _(t):
 def _(t):
     table, t = _bucketed(t)
     ids = t.items.where("confirm_required").select("id")
-    table.apply(ids, lambda rows: changes.unschedule_items(rows, ids))
+    table.apply_requests(ids, changes.unschedule_items)
     return table.read().select("id", "day_number", "start_time", "sort_order")
 
 
@@ -49,16 +49,15 @@ def _(t):
         F.col("id").alias("item_id"), F.lit(1).alias("day_number"), F.lit("10:30").alias("start_time")
     )
     placed = changes.schedule_patches(t.items, asked)
-    table.apply(asked.select(F.col("item_id").alias("id")), lambda rows: changes.patch_items(rows, placed))
+    table.apply_requests(placed, changes.patch_items, "item_id")
     return table.read().select("id", "day_number", "start_time", "sort_order")
 
 
 @query("apply_plans_in_buckets", change_plans.APPLY_SQL)
 def _(t):
     table, t = _bucketed(t)
-    # Both the buckets and the changes are read from the plan, so it is made once.
-    updates = stored(changes.reorder_updates(planning.reorder_plan(t.items, t.reorder_requests)), "updates")
-    table.apply(updates.select("id"), lambda rows: changes.apply_plans(rows, updates)[0])
+    updates = changes.reorder_updates(planning.reorder_plan(t.items, t.reorder_requests))
+    table.apply_requests(updates, lambda rows, part: changes.apply_plans(rows, part)[0])
     return table.read().select("id", "start_time", "sort_order")
 
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,26 +51,35 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     return f"{shared_root(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """What is written or checkpointed within drops its shuffle files as soon as it ends, not when the driver next
+    collects its garbage.  Not for tables that are collected: one that is run again would miss its files.
+    """
+    before = spark.conf.get(_DROP_SHUFFLES)
+    spark.conf.set(_DROP_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_DROP_SHUFFLES, before)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Materialise once in the shared folder, so later branches read the same rows.
 
-    The shuffle files go as soon as the rows lie there, not when the driver next collects its garbage.  The option holds
-    for this run alone: a table that is run again would miss its files, and ``df`` itself may have been run before.
+    The option holds for this run alone, as ``df`` itself may have been run before.
     """
     spark = df.sparkSession
     shared_root(spark)
-    before = spark.conf.get(_DROP_SHUFFLES)
-    spark.conf.set(_DROP_SHUFFLES, "true")
-    try:
+    with shuffles_dropped(spark):
         return df.select("*").checkpoint()
-    finally:
-        spark.conf.set(_DROP_SHUFFLES, before)
 
 
 def stored(df: DataFrame, purpose: str) -> DataFrame:
     """Write once in the shared folder, by columns, so later branches read only the columns they use."""
     folder = shared_folder(df.sparkSession, purpose)
-    df.write.parquet(folder)
+    with shuffles_dropped(df.sparkSession):
+        df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
