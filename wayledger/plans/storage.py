@@ -65,7 +65,7 @@ def _(t):
 def _(t):
     table, t = _bucketed(t)
     gone = t.items.where((F.col("category") == "unknown") & F.col("day_number").isNull()).select("id")
-    table.apply(gone, lambda rows: changes.delete_rows(rows, gone))
+    table.apply_requests(gone, changes.delete_rows)
     return table.read().select("id", "trip_id")
 
 
