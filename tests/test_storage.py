@@ -172,7 +172,7 @@ def test_rows_stay_with_the_tasks_that_read_them(spark, folder, tmp_path):
     assert table.read().count() == changes.delete_rows(items, ids).count()
 
 
-@pytest.mark.parametrize("name", ["unschedule_items_in_buckets", "delete_rows_in_buckets"])
+@pytest.mark.parametrize("name", ["unschedule_items_in_buckets", "delete_rows_in_buckets", "ics_files"])
 def test_stored_forms_leave_no_shuffle_files(spark, tmp_path, name):
     """Nothing but the table or the files is left for the reading: what was written last isn't kept in shuffles, too."""
     spark.range(40).selectExpr(
