@@ -15,8 +15,9 @@ from wayledger.schemas import schema
 from wayledger.session import remove, shuffles_dropped
 
 BUCKETS = 1_024
-#: Requests that are broadcast together at most, and groups of buckets that are made at the same time.
-TOGETHER, AT_ONCE = 500_000, 4
+#: Requests that are broadcast together at most, the bytes of text for which one counts once more, and groups of buckets that
+#: are made at the same time.
+TOGETHER, TEXT_BYTES, AT_ONCE = 500_000, 100, 4
 
 
 class BucketedTable:
@@ -95,7 +96,9 @@ class BucketedTable:
         with shuffles_dropped(self.spark):
             asked.hint("rebalance", F.col("_bucket")).write.partitionBy("_bucket").parquet(f"{staged}/requests")
         asked = self.spark.read.schema(asked.schema).parquet(f"{staged}/requests")
-        counts = dict(asked.groupBy("_bucket").count().collect())
+        texts = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in asked.schema if f.dataType == T.StringType()]
+        weight = F.lit(1) + F.floor(sum(texts, F.lit(0)) / TEXT_BYTES)
+        counts = dict(asked.groupBy("_bucket").agg(F.sum(weight)).collect())
         groups: list[list[int]] = []
         for bucket in sorted(counts):
             if groups and sum(counts[b] for b in groups[-1]) + counts[bucket] <= together:
